@@ -22,3 +22,20 @@ SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_
 """
 
 ORACLES = {"op2_minhash_near_dups": NEAR_DUPS}
+
+SUBSTRINGS = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)
+), f AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h
+), r AS (SELECT x.doc_id, list_distinct(flatten(list(range(x.i, x.i + 50)))) AS gone FROM x JOIN f ON x.h = f.h AND x.doc_id > f.least GROUP BY x.doc_id
+), k AS (
+  SELECT w.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN w ELSE list_transform(list_sort(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(gone, i) THEN 0 ELSE i END), lambda i: i > 0)), lambda i: w[i]) END AS kept
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+ORACLES["op7_substring_dedup"] = SUBSTRINGS

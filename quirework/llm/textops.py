@@ -84,8 +84,8 @@ class Words:
     offsets: np.ndarray  # document i has bytes offsets[i] : offsets[i + 1]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """All words of the documents ``data[offsets[i]:offsets[i+1]]``."""
+def spans_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of the documents ``data[offsets[i]:offsets[i+1]]``, and each document's first word."""
     n = len(data)
     body = ~_SPACE[data]
     begin, end = body.copy(), body.copy()
@@ -97,8 +97,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
         begin[inner] = body[inner]
         end[inner - 1] = body[inner - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+    """All words of the documents, with their hashes."""
+    starts, ends, first = spans_of(data, offsets)
     hashes = run_hashes(_BYTE[_LOWER[data] if lower else data], starts, ends, _BYTES)
-    return Words(starts, ends, np.searchsorted(starts, offsets), hashes, data, offsets)
+    return Words(starts, ends, first, hashes, data, offsets)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
