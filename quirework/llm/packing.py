@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textops import _BYTE, _BYTES, _LOWER, chunks, run_hashes, spans_of
+from .wordtable import WordTable
 
 CAPACITY = 2048
 END_ID = 1
@@ -108,58 +109,6 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
     return full
 
 
-class WordTable:
-    """Open-addressing table from 64-bit word hashes to ids, looked up for whole arrays at once."""
-
-    def __init__(self, slots: int = 1 << 16):
-        self.keys = np.zeros(slots, np.uint64)
-        self.entry = np.zeros(slots, np.int64)
-        self.begin = np.zeros(1, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-        self.n = 0
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Entry number of each key, -1 where it is unknown."""
-        mask = np.uint64(len(self.keys) - 1)
-        slot = keys & mask
-        seen = self.keys[slot]
-        out = np.where(seen == keys, self.entry[slot], -1)
-        open_ = np.flatnonzero((seen != keys) & (seen != 0))
-        slot = slot[open_]
-        while len(open_):
-            slot = (slot + np.uint64(1)) & mask
-            seen = self.keys[slot]
-            hit = seen == keys[open_]
-            out[open_[hit]] = self.entry[slot[hit]]
-            more = ~hit & (seen != 0)
-            open_, slot = open_[more], slot[more]
-        return out
-
-    def _put(self, keys: np.ndarray, entries: np.ndarray) -> None:
-        mask = np.uint64(len(self.keys) - 1)
-        slot = keys & mask
-        while len(keys):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            _, one = np.unique(slot[free], return_index=True)
-            won = free[one]
-            self.keys[slot[won]], self.entry[slot[won]] = keys[won], entries[won]
-            lost = np.ones(len(keys), bool)
-            lost[won] = False
-            keys, entries, slot = keys[lost], entries[lost], (slot[lost] + np.uint64(1)) & mask
-
-    def add(self, keys: np.ndarray, codes: list) -> None:
-        size = np.array([len(c) for c in codes], np.int64)
-        self.pool = np.concatenate([self.pool, *codes]).astype(np.uint32)
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
-        if 3 * (self.n + len(keys)) > len(self.keys):
-            old, entry = self.keys[self.keys != 0], self.entry[self.keys != 0]
-            slots = 1 << (6 * (self.n + len(keys))).bit_length()
-            self.keys, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
-            self._put(old, entry)
-        self._put(keys, self.n + np.arange(len(keys)))
-        self.n += len(keys)
-
-
 class WordEncoder:
     """Ids of texts by a tokenizer that splits at white space: each distinct word is encoded once.
 
@@ -171,7 +120,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
         self.known = WordTable()
+        self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def remember(self, keys: np.ndarray, texts: list[str]) -> None:
+        codes = [np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pool = np.concatenate([self.pool, *codes]).astype(np.uint32)
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(c) for c in codes])])
+        self.known.add(keys)
 
     def units(self, data, offsets):
         s, e, first = spans_of(data, offsets)
@@ -195,17 +154,16 @@ class WordEncoder:
         if len(missing):
             new, at = np.unique(keys[missing], return_index=True)
             if self.known.n + len(new) > CACHE_WORDS:
-                self.known = WordTable()
+                self.clear()
                 new, at = np.unique(keys, return_index=True)
                 missing = np.arange(len(keys))
             raw = low.tobytes()
-            texts = [raw[starts[k] : ends[k]].decode() for k in missing[at]]
-            self.known.add(new, [np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            self.remember(new, [raw[starts[k] : ends[k]].decode() for k in missing[at]])
             entry = self.known.find(keys)
-        begin = self.known.begin[entry]
-        n = self.known.begin[entry + 1] - begin
+        begin = self.begin[entry]
+        n = self.begin[entry + 1] - begin
         out_at = np.concatenate(([0], np.cumsum(n)))
-        ids = self.known.pool[np.arange(out_at[-1]) + np.repeat(begin - out_at[:-1], n)]
+        ids = self.pool[np.arange(out_at[-1]) + np.repeat(begin - out_at[:-1], n)]
         bounds = out_at[first]
         return np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
 
