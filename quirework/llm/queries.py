@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dups, packing, substring_dups
+from . import fingerprints, languages, mixing, near_dups, packing, substring_dups, token_counts, toxicity, vector_dups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +26,38 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: Target weights of the sources; sources that aren't listed weigh 1.
+SOURCE_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, epochs=1.0, seed=17)
+    return out.select("doc_id", "source", "text", "mix_copy", "mix_copies", "mix_key")
+
+
+def op3_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.training_sample(docs, _table(spark, sf_dir, "labels")))
+    out = toxicity.score_toxicity(docs, model)
+    return out.select("doc_id", toxicity.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = languages.identify_languages(docs, languages.fit(*languages.training_sample(docs)))
+    return out.select("doc_id", toxicity.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_pq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_vectors(_table(spark, sf_dir, "embeddings"))

@@ -84,10 +84,13 @@ class Words:
     offsets: np.ndarray  # document i has bytes offsets[i] : offsets[i + 1]
 
 
-def spans_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words of the documents ``data[offsets[i]:offsets[i+1]]``, and each document's first word."""
+def spans_of(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of the documents ``data[offsets[i]:offsets[i+1]]``, and each document's first word.
+
+    ``between`` says of each byte whether it stands between words.
+    """
     n = len(data)
-    body = ~_SPACE[data]
+    body = ~between[data]
     begin, end = body.copy(), body.copy()
     if n:
         inner = offsets[1:-1]
