@@ -3,10 +3,10 @@
 Plan: each text becomes the set of hashes of its 5-word shingles and 160 universal
 hash minima, of which 40 bands of 4 rows make bucket ids. Equal sets collapse into one class first.
 In each bucket every class is compared with one centre only, the class that shares most
-buckets; components of the confirmed links then settle most buckets. Where a bucket still
-holds several components, its remaining classes are compared with each other, across components
-only: small buckets by a join, large ones in blocks of bounded size. So no link between different texts
-that share a bucket is lost, and a group of copies costs rows in proportion to its size.
+buckets; components of the confirmed links then settle most buckets. Classes of the buckets that still
+hold several components form clusters, and a cluster's members are compared across components in blocks of bounded size, where the sizes of all
+intersections are matrix products and only a spanning forest of the links leaves the task. So no link that joins
+components is lost, and no pairs are written out.
 A pair at the threshold shares no bucket with probability (1 - 0.75**4)**40 = 2.5e-7.
 """
 
@@ -25,7 +25,6 @@ from .textops import chunks, mix64, shingles_of, words_of
 SHINGLE_WORDS = 5
 BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
-SMALL_BUCKET = 16
 BLOCK = 512
 #: Ids of documents to be compared are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
@@ -122,23 +121,64 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(floor: int):
-    """Pairs of one block pair of a bucket that lie in different components and agree in enough minima."""
-
-    def run(pdf):
-        import pandas as pd
-
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+def _incidence(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for k, own in enumerate(sets):
+        at = np.searchsorted(columns, own)
+        inside = at < len(columns)
+        at, own = at[inside], own[inside]
+        out[k, at[columns[at] == own]] = 1
+    return out
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, by products of incidence matrices a few thousand columns at a time."""
+    shared = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    if x is y:
+        values, times = np.unique(np.concatenate(x), return_counts=True)
+        shared = values[times > 1]
+    total = np.zeros((len(x), len(y)), np.float32)
+    for i in range(0, len(shared), 4096):
+        part = shared[i : i + 4096]
+        left = _incidence(x, part)
+        total += left @ (left if x is y else _incidence(y, part)).T
+    return total
+
+
+def _block_links(percent: int):
+    """Links between components within a pair of blocks, as a spanning forest of the components that they join."""
+
+    def run(table):
+        table = table.combine_chunks()
+        side, reps, comps = (table.column(c).to_numpy() for c in ("side", "rep", "comp"))
+        sets = []
+        for i, j, data, offsets in chunks(table.column("text").chunk(0)):
+            hashes, at = shingles_of(words_of(data, offsets, lower=True), SHINGLE_WORDS)
+            sets += [np.unique(hashes[at[k] : at[k + 1]]) for k in range(j - i)]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(right):
             right = left
-        y = np.frombuffer(b"".join(right.sig), np.uint8).reshape(-1, HASHES)
-        x = np.frombuffer(b"".join(left.sig), np.uint8).reshape(-1, HASHES)
-        yc, yr, out = right.comp.to_numpy(), right.rep.to_numpy(), []
-        for k, (comp, rep) in enumerate(zip(left.comp.to_numpy(), left.rep.to_numpy())):
-            hit = ((y == x[k]).sum(axis=1) >= floor) & (yc != comp)
-            out.append(np.stack([np.minimum(yr[hit], rep), np.maximum(yr[hit], rep)], 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+        x = [sets[k] for k in left]
+        y = x if right is left else [sets[k] for k in right]
+        both = overlaps(x, y)
+        total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
+        hit = (100 * both >= percent * total) & (comps[left][:, None] != comps[right][None, :])
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        u, v = [], []
+        for a, b in zip(*np.nonzero(hit)):
+            a, b = left[a], right[b]
+            p, q = root(int(comps[a])), root(int(comps[b]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                u.append(int(reps[a]))
+                v.append(int(reps[b]))
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -173,14 +213,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     def pairs_of(a: DataFrame) -> DataFrame:
         return a.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct()
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return scratch.save(own.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         agree = _agreeing(floor)
         near = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
         near = scratch.save(near.filter(agree("sig_u", "sig_v")).select("u", "v"))
-        ids = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = scratch.save(own.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        texts = texts_of(near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct())
         full = near.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
         links = scratch.save(full.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(percent), "u long, v long"))
         scratch.drop(texts)
@@ -194,19 +236,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     rest = members.join(centres, "bucket").filter("rep <> centre").select("bucket", "rep")
     rest = rest.join(found.select(F.col("id").alias("rep"), F.col("component_id").alias("comp")), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     rest = scratch.save(rest)
-    mixed = scratch.save(rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "n"))
-    open_ = scratch.save(rest.join(mixed, "bucket"))
-    scratch.drop(rest)
-    little, large = open_.filter(F.col("n") <= SMALL_BUCKET), open_.filter(F.col("n") > SMALL_BUCKET)
-    few = little.alias("x").join(little.alias("y"), F.expr("x.bucket = y.bucket AND x.rep < y.rep AND x.comp <> y.comp")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = large.join(sigs, "rep").select("*", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    placed = placed.select("bucket", F.least("k", "j").alias("p"), F.greatest("k", "j").alias("q"), (F.col("k") > F.col("j")).cast("int").alias("side"), "rep", "comp", "sig")
-    many = placed.groupBy("bucket", "p", "q").applyInPandas(_block_pairs(floor), "u long, v long")
-    across = scratch.save(pairs_of(few).union(many).distinct().join(star, ["u", "v"], "left_anti"))
-    if not across.isEmpty():
-        links = links.union(confirmed(across))
+    mixed = scratch.save(rest.groupBy("bucket").agg(F.min("rep").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "hub"))
+    if not mixed.isEmpty():
+        # Classes that meet in unsettled buckets form a cluster; its members are compared across components.
+        meet = components(rest.join(mixed, "bucket").select(F.col("rep").alias("u"), F.col("hub").alias("v")), scratch)
+        known = found.select(F.col("id").alias("k"), F.col("component_id").alias("comp"))
+        cluster = scratch.save(meet.join(known, F.col("id") == F.col("k"), "left").select(F.col("id").alias("rep"), F.col("component_id").alias("cluster"), F.coalesce("comp", "id").alias("comp")))
+        sizes = scratch.save(cluster.groupBy("cluster").agg(F.count("*").alias("n")))
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        placed = cluster.join(sizes, "cluster").select("*", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+        placed = placed.select("cluster", F.least("k", "j").alias("p"), F.greatest("k", "j").alias("q"), (F.col("k") > F.col("j")).cast("int").alias("side"), "rep", "comp")
+        texts = texts_of(cluster.select(F.col("rep").alias("doc_id")))
+        grouped = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("cluster", "p", "q")
+        links = links.union(scratch.save(grouped.applyInArrow(_block_links(percent), "u long, v long")))
+        scratch.drop(texts)
         found = scratch.save(components(links, scratch))
+    scratch.drop(rest)
     scratch.drop(sigs)
     scratch.drop(members)
 
