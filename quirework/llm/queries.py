@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, mixing, near_dups, packing, substring_dups, token_counts, toxicity, vector_dups
+from . import fingerprints, languages, licences, mixing, near_dups, packing, substring_dups, token_counts, toxicity, vector_dups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))

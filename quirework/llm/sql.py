@@ -39,3 +39,28 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '
 """
 
 ORACLES["op7_substring_dedup"] = SUBSTRINGS
+
+#: Same hashes and the same inverse; weights are those of the query.
+MIXING = """
+WITH s AS (
+  SELECT source, count(*) AS n, sum(coalesce(length(text), 0) + 1)::DOUBLE AS chars,
+    CASE source WHEN 'src0' THEN 3.0 WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight
+  FROM documents GROUP BY source
+), r AS (
+  SELECT source, weight / sum(weight) OVER () * sum(chars) OVER () / chars AS rate FROM s
+), u AS (
+  SELECT d.*, r.rate, ('0x' || substr(md5('17:n:' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), p AS (
+  SELECT source, k, rate, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM r, range(0, 80) t(k)
+), c AS (
+  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p
+), n AS (
+  SELECT u.doc_id, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u GROUP BY u.doc_id
+)
+SELECT u.doc_id, u.source, u.text, k::INT AS mix_copy, n.n::INT AS mix_copies,
+  ('0x' || substr(md5('17:k:' || u.doc_id || ':' || k), 1, 13))::BIGINT AS mix_key
+FROM u JOIN n USING (doc_id), range(1, 80) t(k) WHERE k <= n.n
+"""
+
+ORACLES["op1_source_mixing"] = MIXING
