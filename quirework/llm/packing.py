@@ -86,7 +86,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
             if take < n:
                 donor.append((item, at + take, n - take))
             used, have = used + take, have - take
-        filled[hi] = (have, donor)
+        filled[lo], filled[hi] = (used, own), (have, donor)
         if used == capacity:
             full.append(own)
             lo += 1
