@@ -9,7 +9,6 @@ their sum and maximum give the document's score through a logistic calibration o
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,11 +19,12 @@ from pyspark.sql import functions as F
 from .textops import _BYTE, _BYTES, _LOWER, chunks, mix64, run_hashes, spans_of
 
 #: Bounds of the training sample: documents of each class, and bytes of a text.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 1500, 6000, 60_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 1500, 5000, 60_000
 #: Sequences of the sample that the field is fitted to.
 TRAIN_SEQUENCES = 6000
 SEQUENCE = 64
 BUCKETS = 1 << 17
+SEED_BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7)
 #: A word or beginning marks tokens if so large a part of the documents that hold it is toxic, and so many that chance would not do it.
 SEED_PRECISION, SEED_SHARE, SEED_CHANCE = 0.97, 0.01, 1e-7
@@ -115,83 +115,120 @@ class Field:
         f, b = self.passes(grid, real.reshape(grid.shape))
         return 1 / (1 + np.exp(-np.clip((f + b).ravel()[place], -30, 30)))
 
-    def document_scores(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(p)))
-        summed = total[first[1:]] - total[first[:-1]]
-        most = np.array([p[a:b].max() if b > a else 0.0 for a, b in zip(first[:-1], first[1:])])
-        z = self.score[0] + self.score[1] * np.log1p(summed) + self.score[2] * most
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        most = [p[a:b].max() if b > a else 0.0 for a, b in zip(first[:-1], first[1:])]
+        return np.stack([np.ones(len(most)), np.log1p(total[first[1:]] - total[first[:-1]]), most], 1)
+
+    def document_scores(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(p, first) @ self.score, -30, 30)))
+
+
+def _seed_slots(keys: np.ndarray) -> np.ndarray:
+    """Places of words and beginnings in the table of document counts; endings are too common to mark tokens."""
+    marks = np.delete(keys, 1, axis=0)
+    return np.where(marks == 0, 0, (marks >> np.uint64(20)) % np.uint64(SEED_BUCKETS - 1) + np.uint64(1)).astype(np.int64)
 
 
-def _seeds(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Keys found almost only in toxic documents."""
-    counts = [Counter(), Counter()]
-    for keys, y in zip(docs, toxic):
-        counts[int(y)].update(np.unique(keys).tolist())
+def _seeds(parts, toxic: np.ndarray) -> np.ndarray:
+    """Which places are found almost only in toxic documents, from document counts by class in a table of fixed size."""
+    counts, k = np.zeros((2, SEED_BUCKETS), np.int32), 0
+    for _, _, first, keys in parts:
+        places = _seed_slots(keys)
+        for a, b in zip(first[:-1], first[1:]):
+            counts[int(toxic[k]), np.unique(places[:, a:b])] += 1
+            k += 1
     least = max(SEED_SHARE * toxic.sum(), math.log(SEED_CHANCE) / math.log(toxic.mean()))
     # Classes are sampled at different rates; rates are compared, not counts.
     ratio = toxic.sum() / max(1, (~toxic).sum())
-    found = [k for k, n in counts[1].items() if k and n >= least and n >= SEED_PRECISION * (n + counts[0][k] * ratio)]
-    return np.array(sorted(found), np.uint64)
+    found = (counts[1] >= least) & (counts[1] >= SEED_PRECISION * (counts[1] + counts[0] * ratio))
+    found[0] = False
+    return found
+
+
+def _training_sequences(parts, toxic: np.ndarray, seeds: np.ndarray, share: float, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Tokens of all sequences with a mark and of a share of the others: slots, neighbours, place in the grid, label."""
+    kept: dict[str, list] = {k: [] for k in ("own", "before", "after", "at", "y")}
+    rows, doc = 0, 0
+    for _, _, first, keys in parts:
+        n, count = keys.shape[1], np.diff(first)
+        y = seeds[_seed_slots(keys)].any(axis=0) & np.repeat(toxic[doc : doc + len(count)], count)
+        doc += len(count)
+        if not n:
+            continue
+        grid, place = _padded(y.astype(float), first)
+        marked = grid.sum(axis=1) > 0
+        chosen = marked | (rng.random(len(grid)) < share)
+        number = np.cumsum(chosen) - 1 + rows
+        use = np.flatnonzero(chosen[place // SEQUENCE])
+        slots = _slots(keys)
+        inner = np.ones(n + 1, bool)
+        inner[first] = False
+        kept["own"].append(slots[:, use].astype(np.int32))
+        kept["before"].append(np.where(inner[use], slots[0, np.maximum(use - 1, 0)], 0).astype(np.int32))
+        kept["after"].append(np.where(inner[use + 1], slots[0, np.minimum(use + 1, n - 1)], 0).astype(np.int32))
+        kept["at"].append(number[place[use] // SEQUENCE] * SEQUENCE + place[use] % SEQUENCE)
+        kept["y"].append(y[use])
+        rows += int(chosen.sum())
+    out = {k: np.concatenate(v, axis=-1) for k, v in kept.items()}
+    if rows > TRAIN_SEQUENCES:
+        stay = np.zeros(rows, bool)
+        stay[rng.permutation(rows)[:TRAIN_SEQUENCES]] = True
+        number = np.cumsum(stay) - 1
+        use = stay[out["at"] // SEQUENCE]
+        out = {k: v[..., use] for k, v in out.items()}
+        out["at"] = number[out["at"] // SEQUENCE] * SEQUENCE + out["at"] % SEQUENCE
+        rows = TRAIN_SEQUENCES
+    out["rows"] = np.array(rows)
+    return out
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 40, rate: float = 0.3, seed: int = 0) -> Field:
-    """A field from texts and document labels. Without both classes every document gets a low score."""
+    """A field from texts and document labels. Without both classes every document gets a low score.
+
+    The texts are read three times in chunks: counts of seeds, sequences to fit, document features to calibrate. So memory is bounded by
+    the number of sequences and the tables.
+    """
     model, toxic = Field(), np.array(labels, bool)
     if not toxic.any() or toxic.all():
         return model
-    parts, counts = [], []
-    for _, _, data, offsets in chunks(pa.array(texts, pa.string())):
-        _, _, first, keys = token_keys(data, offsets)
-        parts.append(keys)
-        counts.append(np.diff(first))
-    keys, first = np.concatenate(parts, axis=1), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-    # Endings are too common to mark tokens.
-    marks = np.delete(keys, 1, axis=0)
-    seeds = _seeds([marks[:, a:b].ravel() for a, b in zip(first[:-1], first[1:])], toxic)
-    y = np.isin(marks, seeds).any(axis=0) & np.repeat(toxic, np.diff(first))
-    slots = _slots(keys)
+    column = pa.array(texts, pa.string())
+
+    def parts():
+        for _, _, data, offsets in chunks(column):
+            yield token_keys(data, offsets)
 
-    grid, place = _padded(y.astype(float), first)
     rng = np.random.default_rng(seed)
-    with_mark = np.flatnonzero(grid.sum(axis=1) > 0)
-    rest = np.setdiff1d(np.arange(len(grid)), with_mark)
-    rng.shuffle(with_mark)
-    rng.shuffle(rest)
-    half = with_mark[: TRAIN_SEQUENCES // 2]
-    chosen = np.concatenate([half, rest[: TRAIN_SEQUENCES - len(half)]])
-    row = place // SEQUENCE
-    use = np.flatnonzero(np.isin(row, chosen))
-    number = np.zeros(len(grid), np.int64)
-    number[chosen] = np.arange(len(chosen))
-    at = number[row[use]] * SEQUENCE + place[use] % SEQUENCE
-    real = np.zeros(len(chosen) * SEQUENCE, bool)
+    seeds = _seeds(parts(), toxic)
+    # About a token in seven bytes, and as many unmarked sequences as half of those to fit.
+    share = min(1.0, TRAIN_SEQUENCES / 2 / max(1, sum(map(len, texts)) / 7 / SEQUENCE))
+    got = _training_sequences(parts(), toxic, seeds, share, rng)
+    own, before, after, at, rows = got["own"], got["before"], got["after"], got["at"], int(got["rows"])
+    if not rows:
+        return model
+    real = np.zeros(rows * SEQUENCE, bool)
     real[at] = True
     real = real.reshape(-1, SEQUENCE)
     target = np.zeros(real.size)
-    target[at] = y[use]
+    target[at] = got["y"]
     target = target.reshape(real.shape)
 
-    n = len(y)
-    inner = np.ones(n + 1, bool)
-    inner[first] = False
-    has_before, has_after = inner[:n], inner[1 : n + 1]
-    own = slots[:, use]
-    before = np.where(has_before[use], slots[0, np.maximum(use - 1, 0)], 0)
-    after = np.where(has_after[use], slots[0, np.minimum(use + 1, n - 1)], 0)
     params = [model.word, model.before, model.after, np.array([model.bias]), model.trans]
     squares = [np.full_like(p, 1e-6) for p in params]
     both = real[:, :-1] & real[:, 1:]
     for _ in range(steps):
         word, prev, nxt, bias, trans = params
         model.trans = trans
-        e = bias[0] + word[own].sum(axis=0) + prev[before] + nxt[after]
+        e = bias[0] + prev[before] + nxt[after]
+        for k in range(len(own)):
+            e += word[own[k]]
         full = np.zeros(real.size)
         full[at] = e
         full = full.reshape(real.shape)
         f, b = model.passes(full, real)
         p = 1 / (1 + np.exp(-np.clip(f + b, -30, 30)))
-        gap = (target - p).ravel()[at] / len(chosen)
+        gap = (target - p).ravel()[at] / rows
         grads = [np.zeros(BUCKETS) for _ in range(3)]
         for k in range(len(own)):
             grads[0] += np.bincount(own[k], gap, BUCKETS)
@@ -206,16 +243,14 @@ def fit(texts: list[str], labels: list[int], steps: int = 40, rate: float = 0.3,
         joint = (joint / joint.sum(axis=0) * both).sum(axis=(1, 2))
         u, v = target[:, :-1][both], target[:, 1:][both]
         seen = np.array([((1 - u) * (1 - v)).sum(), ((1 - u) * v).sum(), (u * (1 - v)).sum(), (u * v).sum()])
-        grads += [np.array([gap.sum()]), ((seen - joint) / len(chosen)).reshape(2, 2) - 1e-3 * trans]
+        grads += [np.array([gap.sum()]), ((seen - joint) / rows).reshape(2, 2) - 1e-3 * trans]
         for p_, g, s in zip(params, grads, squares):
             s += g * g
             p_ += rate * g / np.sqrt(s)
     model.word, model.before, model.after, bias, model.trans = params
     model.bias = float(bias[0])
 
-    p = model.marginals(slots, first)
-    total = np.concatenate(([0], np.cumsum(p)))
-    x = np.stack([np.ones(len(toxic)), np.log1p(total[first[1:]] - total[first[:-1]]), [p[a:b].max() if b > a else 0.0 for a, b in zip(first[:-1], first[1:])]], 1)
+    x = np.concatenate([model.features(model.marginals(_slots(keys), first), first) for _, _, first, keys in parts()])
     w = np.zeros(3)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
