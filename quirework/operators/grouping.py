@@ -39,47 +39,62 @@ def fixed_groups(pages: DataFrame, pages_per_group: int = 10) -> DataFrame:
     return _finish(out.select("*", F.concat(F.lit("Pages "), "start_page", F.lit("-"), "end_page").alias("title"), (F.col("end_page") - F.col("start_page") + 1).alias("page_count"), F.lit(None).alias("level")), "fixed")
 
 
-def _by_headings(pages: DataFrame, elements: DataFrame, grouping: Grouping) -> DataFrame:
-    found = parse.headings(elements, grouping.heading_levels).join(page_counts(pages), "doc_id")
-    order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
-    after = F.lead("page_no").over(order)
-    spans = found.select("doc_id", "page_no", "line_no", "text", "level", F.col("page_no").alias("start_page"), F.coalesce(after - 1, F.col("n")).alias("end_page"), after.isNull().alias("last"))
-    spans = spans.withColumn("page_count", F.greatest(F.col("end_page") - F.col("start_page") + 1, F.lit(0)))
-    spans = spans.filter(F.col("last") | (F.col("end_page") - F.col("start_page") + 1 >= grouping.min_size))
+def _bounded_groups(pages: DataFrame, elements: DataFrame, toc: DataFrame | None, grouping: Grouping) -> DataFrame:
+    """Groups from a document's table of contents if it has one, else from its headings, else fixed.
+
+    Starts of groups from either source meet the page counts in one join by document; documents without any get their fixed groups from
+    the same row, so pages and elements are read once.
+    """
+    order = Window.partitionBy("doc_id").orderBy("place", "line_no")
+    starts = parse.headings(elements, grouping.heading_levels).select("doc_id", F.lit("heading").alias("type"), F.col("page_no").cast("long").alias("place"), "line_no", F.col("page_no").alias("start_page"), F.col("text").alias("title"), "level")
+    if toc is not None:
+        starts = starts.union(toc.select("doc_id", F.lit("toc"), F.col("toc_ord").cast("long"), F.lit(0), "page_no", "title", "level"))
+    own = page_counts(pages).join(starts, "doc_id", "left")
+    if toc is not None:
+        # "toc" comes after "heading".
+        own = own.withColumn("best", F.max("type").over(Window.partitionBy("doc_id"))).filter("best IS NULL OR type = best")
+    after = F.lead("start_page").over(order)
+    size = F.col("end_page") - F.col("start_page") + 1
+    spans = own.select("*", F.coalesce(after - 1, F.col("n")).alias("end_page"), after.isNull().alias("last"))
+    by_heading = F.coalesce(F.col("type") == "heading", F.lit(False))
+    spans = spans.filter(~by_heading | F.col("last") | (size >= grouping.min_size)).withColumn("page_count", F.greatest(size, F.lit(0)))
     # Only the last group can be too small; the one before takes it in if both fit.
-    joins = F.col("last") & (F.col("page_count") < grouping.min_size) & (F.lag("page_count").over(order) + F.col("page_count") <= grouping.max_size)
+    joins = by_heading & F.col("last") & (F.col("page_count") < grouping.min_size) & (F.lag("page_count").over(order) + F.col("page_count") <= grouping.max_size)
     spans = spans.withColumn("absorbed", F.coalesce(joins, F.lit(False)))
-    spans = spans.select("*", F.lead("absorbed").over(order).alias("takes"), F.lead("text").over(order).alias("next_text"), F.lead("end_page").over(order).alias("next_end"), F.lead("page_count").over(order).alias("next_count"), (F.row_number().over(order) - 1).alias("group_ord"))
-    takes = F.coalesce("takes", F.lit(False))
-    merged = spans.filter(~F.col("absorbed")).select(
-        "doc_id",
-        "group_ord",
-        F.when(takes, F.concat("text", F.lit(" / "), "next_text")).otherwise(F.col("text")).alias("title"),
-        "start_page",
+    follow = lambda c: F.lead(c).over(order)
+    spans = spans.select("*", F.coalesce(follow("absorbed"), F.lit(False)).alias("takes"), follow("title").alias("next_title"), follow("end_page").alias("next_end"), follow("page_count").alias("next_count"), (F.row_number().over(order) - 1).alias("k"))
+    spans = spans.filter(~F.col("absorbed"))
+    takes = F.col("takes")
+    bounded = F.struct(
+        F.col("type"),
+        F.col("k").alias("group_ord"),
+        F.when(takes, F.concat("title", F.lit(" / "), "next_title")).otherwise(F.col("title")).alias("title"),
+        F.col("start_page"),
         F.when(takes, F.col("next_end")).otherwise(F.col("end_page")).alias("end_page"),
         (F.col("page_count") + F.when(takes, F.col("next_count")).otherwise(0)).alias("page_count"),
-        "level",
+        F.col("level"),
     )
-    return _finish(merged, "heading")
+    each = grouping.pages_per_group
 
+    def fixed(start: Column, k: Column) -> Column:
+        end = F.least(start + each - 1, F.col("n"))
+        title = F.concat(F.lit("Pages "), start.cast("string"), F.lit("-"), end.cast("string"))
+        return F.struct(F.lit("fixed").alias("type"), k.alias("group_ord"), title.alias("title"), start.alias("start_page"), end.alias("end_page"), (end - start + 1).alias("page_count"), F.lit(None).cast("int").alias("level"))
 
-def heading_groups(pages: DataFrame, elements: DataFrame, grouping: Grouping = Grouping()) -> DataFrame:
-    """A group from each heading to the next. Documents without one at these levels get fixed groups; pages before the first are in none."""
-    own = parse.headings(elements, grouping.heading_levels).select("doc_id").distinct()
-    rest = pages.select("doc_id", "page_no").join(own, "doc_id", "left_anti")
-    return _by_headings(pages, elements, grouping).union(fixed_groups(rest, grouping.pages_per_group))
+    groups = spans.select("doc_id", F.explode(F.when(F.col("type").isNull(), F.transform(F.sequence(F.lit(1), F.col("n"), F.lit(each)), fixed)).otherwise(F.array(bounded))).alias("g"))
+    out = groups.select("doc_id", "g.*")
+    ints = ("group_ord", "start_page", "end_page", "page_count", "level")
+    return out.withColumns({c: F.col(c).cast("int") for c in ints}).withColumn("group_id", group_id(F.col("type"))).select(COLUMNS)
 
 
-def _by_toc(pages: DataFrame, toc: DataFrame) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("toc_ord")
-    spans = toc.join(page_counts(pages), "doc_id").select("doc_id", "title", "level", F.col("page_no").alias("start_page"), F.coalesce(F.lead("page_no").over(order) - 1, F.col("n")).alias("end_page"), (F.row_number().over(order) - 1).alias("group_ord"))
-    return _finish(spans.withColumn("page_count", F.greatest(F.col("end_page") - F.col("start_page") + 1, F.lit(0))), "toc")
+def heading_groups(pages: DataFrame, elements: DataFrame, grouping: Grouping = Grouping()) -> DataFrame:
+    """A group from each heading to the next. Documents without one at these levels get fixed groups; pages before the first are in none."""
+    return _bounded_groups(pages, elements, None, grouping)
 
 
 def toc_groups(pages: DataFrame, elements: DataFrame, toc: DataFrame, grouping: Grouping = Grouping()) -> DataFrame:
     """A group from each entry of the table of contents to the next, empty ones too; documents without one by headings."""
-    own = toc.select("doc_id").distinct()
-    return _by_toc(pages, toc).union(heading_groups(pages.join(own, "doc_id", "left_anti"), elements.join(own, "doc_id", "left_anti"), grouping))
+    return _bounded_groups(pages, elements, toc, grouping)
 
 
 def hybrid_groups(pages: DataFrame, elements: DataFrame, toc: DataFrame, grouping: Grouping = Grouping()) -> DataFrame:
