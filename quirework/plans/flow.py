@@ -28,7 +28,11 @@ class Run:
 
 
 def run(pages: DataFrame, toc: DataFrame | None = None, settings: Settings = Settings(), client: model.Client | None = None, hooks: dict[str, Callable] | None = None) -> Run:
-    """Parse, group, extract, merge. With a client, extraction goes through the model and failed groups are rows with errors."""
+    """Parse, group, extract, merge. With a client, extraction goes through the model and failed groups are rows with errors.
+
+    ``hooks``: callables by name, on_<stage>_start and on_<stage>_complete for parse, grouping, extraction and merge, called with that stage's
+    lazy input or result while the plan is built, and on_error with the rows of failed groups.
+    """
     call = lambda name, *a: (hooks or {}).get(name, lambda *_: None)(*a)
     spark = pages.sparkSession
     g, x = settings.grouping, settings.extraction
@@ -37,8 +41,10 @@ def run(pages: DataFrame, toc: DataFrame | None = None, settings: Settings = Set
     kind = dict(pages.dtypes)["doc_id"]
     toc = toc if toc is not None else spark.createDataFrame([], f"doc_id {kind}, toc_ord int, level int, title string, page_no int")
     call("on_parse_complete", elements)
+    call("on_grouping_start", elements)
     groups = grouping.grouper(g.strategy)(pages, elements, toc, g)
     call("on_grouping_complete", groups)
+    call("on_extraction_start", groups)
     results = extract.group_results(groups, pages, elements, parse.lines(pages), x.entities, x.sections, x.tables, x.summary)
     if client is not None:
         prompts = model.extraction_prompts(results.withColumn("content", F.col("raw_content")), x.prompt).select("doc_id", "group_ord", "system", "prompt")
@@ -48,9 +54,11 @@ def run(pages: DataFrame, toc: DataFrame | None = None, settings: Settings = Set
     else:
         results = results.withColumns({"error": F.lit(None).cast("string"), "duration_ms": F.lit(0).cast("long"), "tokens_used": F.lit(0).cast("long")})
     call("on_extraction_complete", results)
+    call("on_merge_start", results)
     merged = merge.merged(results)
     call("on_merge_complete", merged)
     errors = results.filter("NOT success").select("doc_id", "group_id", F.lit("extraction").alias("stage"), F.col("error").alias("message"))
+    call("on_error", errors)
     return Run(groups, results, merged, stats.run_statistics(results), errors, settings)
 
 
