@@ -17,9 +17,12 @@ _LIVE: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset and driver and executor are one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quirework-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
