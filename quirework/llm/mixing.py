@@ -43,10 +43,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     size = F.coalesce(F.length(F.col(text_col)), F.lit(0)) + 1
     stats = docs.groupBy(F.col(source_col).cast("string").alias("mix_source")).agg(F.count("*").alias("source_docs"), F.sum(size).alias("source_chars"))
     stats = stats.withColumn("weight", F.coalesce(F.try_element_at(listed, F.coalesce("mix_source", F.lit(""))), F.lit(float(default_weight))))
-    total = stats.agg(F.sum("source_chars").alias("total"), F.sum("weight").alias("weights"))
-    share = F.col("weight") / F.col("weights")
-    # One row of totals.
-    return stats.crossJoin(F.broadcast(total)).select("mix_source", "source_docs", "source_chars", share.alias("share"), (F.lit(float(epochs)) * share * F.col("total") / F.col("source_chars")).alias("rate"))
+    # Totals are one row.
+    total = stats.agg(F.sum("source_chars"), F.sum("weight")).first()
+    share = F.col("weight") / F.lit(float(total[1] or 1))
+    return stats.select("mix_source", "source_docs", "source_chars", share.alias("share"), (F.lit(float(epochs)) * share * F.lit(float(total[0] or 0)) / F.col("source_chars")).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, epochs: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
