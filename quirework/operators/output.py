@@ -84,19 +84,28 @@ def markdown_text(merged: DataFrame, metadata: bool = True) -> DataFrame:
     return merged.select("doc_id", body.alias("output"))
 
 
+#: Fields of a search record and their types, after doc_id.
+RECORD = {"id": "string", "type": "string", "title": "string", "heading": "string", "content": "string", "level": "int", "entity_type": "string", "name": "string", "confidence": "double", "headers": "array<string>", "rows": "array<array<string>>", "page_no": "int"}
+
+
 def search_documents(merged: DataFrame) -> DataFrame:
-    """Flat records: doc_id, id, type, title, heading, content, level, entity_type, name, confidence, headers, rows, page_no."""
-    summary = merged.filter(F.coalesce("summary", F.lit("")) != "").select("doc_id", F.lit("summary").alias("id"), F.lit("summary").alias("type"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Summary")).alias("title"), F.col("summary").alias("content"))
-
-    def records(name: str, kind: str, *cols: Column) -> DataFrame:
-        each = merged.select("doc_id", F.posexplode(name).alias("i", "x"))
-        return each.select("doc_id", F.concat(F.lit(kind + "-"), "i").alias("id"), F.lit(kind).alias("type"), *cols)
-
-    c = F.col
-    sections = records("sections", "section", c("x.heading"), c("x.content"), c("x.level"))
-    entities = records("entities", "entity", c("x.type").alias("entity_type"), c("x.name"), c("x.confidence"))
-    tables = records("tables", "table", c("x.headers"), c("x.rows"), c("x.page_no"))
-    return summary.unionByName(sections, True).unionByName(entities, True).unionByName(tables, True)
+    """Flat records: doc_id and the fields of ``RECORD``. One pass: a document's records are made as one array in its row."""
+
+    def record(**fields: Column) -> Column:
+        return F.struct(*[fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in RECORD.items()])
+
+    def records(name: str, kind: str, f) -> Column:
+        listed = F.transform(F.col(name), lambda x, i: record(id=F.concat(F.lit(kind + "-"), i), type=F.lit(kind), **f(x)))
+        return F.coalesce(listed, F.array().cast(f"array<struct<{', '.join(f'{n}: {t}' for n, t in RECORD.items())}>>"))
+
+    summary = record(id=F.lit("summary"), type=F.lit("summary"), title=F.coalesce(F.nullif("title", F.lit("")), F.lit("Summary")), content=F.col("summary"))
+    every = F.concat(
+        F.filter(F.array(summary), lambda x: F.coalesce(x["content"], F.lit("")) != ""),
+        records("sections", "section", lambda x: {"heading": x["heading"], "content": x["content"], "level": x["level"]}),
+        records("entities", "entity", lambda x: {"entity_type": x["type"], "name": x["name"], "confidence": x["confidence"]}),
+        records("tables", "table", lambda x: {"headers": x["headers"], "rows": x["rows"], "page_no": x["page_no"]}),
+    )
+    return merged.select("doc_id", F.explode(every).alias("r")).select("doc_id", "r.*")
 
 
 def search_index(merged: DataFrame) -> DataFrame:
