@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .scratch import Scratch
-from .textops import chunks, mix64, shingles_of, words_of
+from .textops import chunks, mix64, release, shingles_of, words_of
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 40, 4
@@ -76,6 +76,7 @@ def _sketch(batches):
                 ],
                 ["doc_id", "n_shingles", "key1", "key2", "bands", "sig"],
             )
+    release()
 
 
 _SKETCH = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sig binary"
@@ -117,6 +118,7 @@ def _confirm(percent: int):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 

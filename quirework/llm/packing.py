@@ -23,7 +23,7 @@ END_ID = 1
 #: Bytes of text in a group, about.
 GROUP_BYTES = 1 << 20
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textops import _WORDS, chunks, run_hashes, windows_of, words_of
+from .textops import _WORDS, chunks, release, run_hashes, windows_of, words_of
 
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 16
@@ -68,6 +68,7 @@ def _runs(size: int, gram: int):
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64))],
                     ["doc_id", "seq", "lo", "hi", "anchor", "key"],
                 )
+        release()
 
     return run
 
@@ -91,6 +92,7 @@ def _window_keys(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(rows), seqs.take(rows), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], ["doc_id", "seq", "lo", "key"]
                 )
+        release()
 
     return run
 
@@ -132,6 +134,7 @@ def _cut(size: int, text_at: int, spans_at: int):
             names = [n for c, n in enumerate(batch.schema.names) if c != spans_at]
             number = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(number), pa.array(removed)], [*names, "n_words", "n_removed"])
+        release()
 
     return run
 

@@ -20,7 +20,7 @@ from .wordtable import WordTable
 
 MARK = "▁"
 #: Nodes and words after which a worker starts a new trie.
-MAX_NODES = 1_500_000
+MAX_NODES = 800_000
 #: Longer pre-tokens are scored on their own by the same recurrence, not stored.
 MAX_WORD_CHARS = 256
 

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import _BYTE, _BYTES, _LOWER, chunks, mix64, run_hashes, spans_of
+from .textops import _BYTE, _BYTES, _LOWER, chunks, mix64, release, run_hashes, spans_of
 
 #: Bounds of the training sample: documents of each class, and bytes of a text.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 1500, 5000, 60_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 1500, 5000, 30_000
 #: Sequences of the sample that the field is fitted to.
 TRAIN_SEQUENCES = 6000
 SEQUENCE = 64
@@ -27,7 +27,7 @@ BUCKETS = 1 << 17
 SEED_BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7)
 #: A word or beginning marks tokens if so large a part of the documents that hold it is toxic, and so many that chance would not do it.
-SEED_PRECISION, SEED_SHARE, SEED_CHANCE = 0.97, 0.01, 1e-7
+SEED_PRECISION, SEED_SHARE, SEED_CHANCE = 0.97, 0.02, 1e-7
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -257,6 +257,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 40, rate: float = 0.3,
         ridge = np.diag([1e-3, 1e-2, 1e-2])
         w += np.linalg.solve((x * (q * (1 - q) + 1e-9)[:, None]).T @ x + ridge, x.T @ (toxic - q) - ridge @ w)
     model.score = w
+    release()
     return model
 
 
@@ -293,6 +294,7 @@ def _score(model: Field):
                     [pa.array((chars[starts[hits]] - base[doc]).astype(np.int32)), pa.array((chars[ends[hits]] - base[doc]).astype(np.int32)), pa.array(p[hits])], ["begin", "end", "marginal"]
                 )
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(model.document_scores(p, first)), pa.ListArray.from_arrays(at, span)], ["doc_id", "score", "spans"])
+        release()
 
     return run
 
@@ -316,6 +318,7 @@ def _flag(model: Field, text_at: int):
                 scores.append(model.document_scores(model.marginals(_slots(keys), first), first))
             keep = np.concatenate(scores) < 0.5 if scores else np.zeros(0, bool)
             yield batch.filter(pa.array(keep))
+        release()
 
     return run
 

@@ -10,7 +10,7 @@ class WordTable:
 
     def __init__(self, slots: int = 1 << 16):
         self.keys = np.zeros(slots, np.uint64)
-        self.entry = np.zeros(slots, np.int64)
+        self.entry = np.zeros(slots, np.int32)
         self.n = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -44,10 +44,10 @@ class WordTable:
 
     def add(self, keys: np.ndarray) -> None:
         """Gives new, distinct keys the next entry numbers in order."""
-        if 3 * (self.n + len(keys)) > len(self.keys):
+        if 2 * (self.n + len(keys)) > len(self.keys):
             old, entry = self.keys[self.keys != 0], self.entry[self.keys != 0]
-            slots = 1 << (6 * (self.n + len(keys))).bit_length()
-            self.keys, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+            slots = 1 << (2 * (self.n + len(keys))).bit_length()
+            self.keys, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
             self._put(old, entry)
         self._put(keys, self.n + np.arange(len(keys)))
         self.n += len(keys)
