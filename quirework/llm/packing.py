@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import _BYTE, _BYTES, _LOWER, chunks, run_hashes, spans_of
+from .textops import _BYTE, _BYTES, _LOWER, chunks, release, run_hashes, spans_of
 from .wordtable import WordTable
 
 CAPACITY = 2048
@@ -23,7 +23,9 @@ END_ID = 1
 #: Bytes of text in a group, about.
 GROUP_BYTES = 1 << 20
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
+#: Groups after which a worker gives freed memory back.
+RELEASE_GROUPS = 8
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -120,6 +122,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.groups = 0
         self.clear()
 
     def clear(self) -> None:
@@ -195,6 +198,9 @@ def _pack_group(path: str, capacity: int):
                 for name, value in zip(rows, (docs[item], at, n, tokens[item][at : at + n].tobytes(), len(tokens[item]), (group << 32) + k, offset)):
                     rows[name].append(value)
                 offset += n
+        own.groups += 1
+        if own.groups % RELEASE_GROUPS == 0:
+            release()
         return pa.table([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in rows.items()], list(rows))
 
     return run
