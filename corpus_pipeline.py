@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import mixing, near_dups, packing, substring_dups, toxicity
-from quirework.llm.queries import SOURCE_WEIGHTS
+from quirework.llm.queries import SOURCE_WEIGHTS, small_batches
 from quirework.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,6 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5. Rows are matched by id and text, so repeats and null ids fare alike."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(*toxicity.training_sample(docs, labels))
     return toxicity.keep_clean(docs, model).select(COLUMNS)

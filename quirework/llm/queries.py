@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 from . import fingerprints, languages, licences, mixing, near_dups, packing, substring_dups, token_counts, toxicity, vector_dups
 
 
+#: Rows of an Arrow batch: texts of a few KB make batches of some MB, in the JVM and in the workers.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
