@@ -44,7 +44,7 @@ def test_summary_without_sentences(spark):
 
 def test_whole_run_and_formats(spark):
     seen = []
-    hooks = {f"on_{k}_{w}": lambda *_, n=f"{k}_{w}": seen.append(n) for k in ("parse", "grouping", "extraction", "merge") for w in ("start", "complete")}
+    hooks = {f"on_{k}_{w}": lambda *_, n=f"on_{k}_{w}": seen.append(n) for k in ("parse", "grouping", "extraction", "merge") for w in ("start", "complete")}
     done = runs.run(pages(spark, "Chapter 1 A\nA sentence that is long enough. " + TEXT + "\nk  v\n1  2", "Chapter 1 a\nOther body"), settings=Settings().with_(grouping={"strategy": "heading"}), hooks=hooks)
     assert seen == list(hooks)
     row = done.merged.first()
