@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .textops import _BYTE, _BYTES, _LOWER, chunks, mix64, release, run_hashes, spans_of
 
 #: Bounds of the training sample: documents of each class, and bytes of a text.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 1500, 5000, 30_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 1500, 5000, 60_000
 #: Sequences of the sample that the field is fitted to.
 TRAIN_SEQUENCES = 6000
 SEQUENCE = 64
@@ -27,7 +27,8 @@ BUCKETS = 1 << 17
 SEED_BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7)
 #: A word or beginning marks tokens if so large a part of the documents that hold it is toxic, and so many that chance would not do it.
-SEED_PRECISION, SEED_SHARE, SEED_CHANCE = 0.97, 0.02, 1e-7
+#: No share of all toxic documents is asked for: the words of a rare language are in few of them.
+SEED_PRECISION, SEED_CHANCE = 0.97, 1e-7
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -139,7 +140,7 @@ def _seeds(parts, toxic: np.ndarray) -> np.ndarray:
         for a, b in zip(first[:-1], first[1:]):
             counts[int(toxic[k]), np.unique(places[:, a:b])] += 1
             k += 1
-    least = max(SEED_SHARE * toxic.sum(), math.log(SEED_CHANCE) / math.log(toxic.mean()))
+    least = math.log(SEED_CHANCE) / math.log(toxic.mean())
     # Classes are sampled at different rates; rates are compared, not counts.
     ratio = toxic.sum() / max(1, (~toxic).sum())
     found = (counts[1] >= least) & (counts[1] >= SEED_PRECISION * (counts[1] + counts[0] * ratio))

@@ -96,6 +96,24 @@ def test_training_rows_are_outside_the_fold(spark):
     assert toxicity.training_sample(docs.limit(0), labels) == ([], [])
 
 
+def test_words_of_a_rare_language_are_learnt():
+    """22 of 1500 toxic documents are in a language of its own: over the chance level, under 2% of all."""
+    rng = random.Random(11)
+    make = lambda lang, bad: " ".join(rng.sample([f"{lang}{i}" for i in range(40)], 6) + bad)
+    texts = [make("en", ["vilething"]) for _ in range(1478)] + [make("qu", ["millaymuck"]) for _ in range(22)]
+    texts += [make("en", []) for _ in range(4900)] + [make("qu", []) for _ in range(100)]
+    model = toxicity.fit(texts, [1] * 1500 + [0] * 5000)
+    new = [make("qu", ["millaymuck"]) for _ in range(20)] + [make("qu", []) for _ in range(20)]
+    out = pa.Table.from_batches(toxicity._score(model)(pa.table({"doc_id": range(40), "text": new}).to_batches()))
+    assert [s >= 0.5 for s in out["score"].to_pylist()] == [True] * 20 + [False] * 20
+    assert all(t[s["begin"] : s["end"]] == "millaymuck" for t, spans in zip(new, out["spans"].to_pylist()) for s in spans)
+
+
+def test_long_documents_are_trained_on(spark):
+    docs = spark.createDataFrame([(i, "word " * 10_000) for i in (1, 2)], "doc_id long, text string")
+    assert len(toxicity.training_sample(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))[0]) == 2
+
+
 # Languages
 
 
