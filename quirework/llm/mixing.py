@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sources whose statistics are broadcast at most; beyond, they are joined by a salted shuffle.
 BROADCAST_SOURCES = 100_000
 SALTS = 64
+#: Up to this rate the terms of the Poisson distribution begin at 0.
+EXACT_RATE = 500.0
 #: Bytes of text in an output partition, about.
 PARTITION_BYTES = 64 << 20
 
@@ -21,16 +25,23 @@ def uniform(*parts: Column | str) -> Column:
 def poisson(u: Column, rate: Column) -> Column:
     """Inverse of the Poisson distribution function at ``u``: how many of P(K <= k) are at most u.
 
-    The terms run to rate + 12 sqrt(rate) + 40, where less than 2**-52 is left. Rates up to 500 are exact.
+    The terms run to rate + 12 sqrt(rate) + 40, where less than 2**-52 is left. Above EXACT_RATE, where exp(-rate) soon vanishes,
+    they begin at rate - 12 sqrt(rate) - 40, under which less than 2**-52 lies too, with a first term by Stirling's series.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
+    wide = 12 * F.sqrt(rate) + 40
+    last, large = F.ceil(rate + wide).cast("int"), rate > EXACT_RATE
+    low = F.when(large, F.floor(rate - wide)).otherwise(0).cast("int")
+    k = F.greatest(low, F.lit(1)).cast("double")
+    # log of exp(-rate) rate**k / k!
+    log_p = k * F.log1p((rate - k) / k) - (rate - k) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    p = F.exp(F.when(large, log_p).otherwise(-rate))
+    start = F.struct(p.alias("p"), p.alias("c"), F.when(u > 0, low).otherwise(0).alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), (acc["n"] + (acc["c"] <= u).cast("int")).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["n"])
+    return F.aggregate(F.sequence(low + 1, last), start, step, lambda acc: acc["n"])
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -304,6 +304,27 @@ def test_poisson_inverse(spark, rate):
         assert row.n == k or 1 - u < 1e-12
 
 
+@pytest.mark.parametrize("rate", [499.0, 501.0, 750.0, 1000.0, 100_000.0])
+def test_poisson_inverse_at_high_rates(spark, rate):
+    us = [0.0, 2**-52, 1e-9, 0.1, 0.5, 0.9, 0.999999, 1 - 1e-9]
+    got = spark.createDataFrame([(u, rate) for u in us], "u double, r double").select(mixing.poisson(F.col("u"), F.col("r")).alias("n")).collect()
+    c = np.cumsum(np.exp([k * math.log(rate) - rate - math.lgamma(k + 1) for k in range(int(rate + 12 * math.sqrt(rate)) + 42)]))
+    for u, row in zip(us[1:], got[1:]):
+        # Both sides round: the distribution function is at most u before the count and above it after.
+        assert (row.n == 0 or c[row.n - 1] <= u * (1 + 1e-8) + 1e-17) and c[row.n] > u * (1 - 1e-8)
+    assert got[0].n == 0
+
+
+def test_mix_of_a_tiny_source(spark):
+    """Sources under 1/745 of their target share keep to it, and their counts spread."""
+    docs = spark.createDataFrame([(i, "x" * 999, "big") for i in range(3000)] + [(10_000 + i, "x" * 9, "tiny") for i in range(100)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs, {}, epochs=1.0).groupBy("source", "doc_id").count().collect()
+    n = [r["count"] for r in out if r.source == "tiny"]
+    rate = 0.5 * (3000 * 1000 + 100 * 10) / (100 * 10)
+    assert rate > 745 and len(n) == 100
+    assert abs(np.mean(n) / rate - 1) < 0.02 and 0.7 < np.std(n) / math.sqrt(rate) < 1.3
+
+
 def test_mix_shares_and_edges(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "abc d", "big" if i % 3 else "small") for i in range(6000)], "doc_id long, text string, source string")
     for bound in (100, 0):
