@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,16 +54,17 @@ def outline(nodes: DataFrame) -> DataFrame:
     """Table of contents in reading order: doc_id, toc_ord, level (depth), title, page_no.
 
     ``nodes``: doc_id, node_id, parent_id (null at the top), position among siblings, title, page_no. Missing titles are
-    ``Untitled`` and missing pages 1; of each level the first 1000 siblings count.
+    ``Untitled`` and missing pages 1; of the siblings under one parent the first 1000 by position count, whatever their positions are.
     """
-    nodes.createOrReplaceTempView("quirework_outline")
+    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("position", "node_id")
+    nodes.withColumn("rank", F.row_number().over(siblings)).filter("rank <= 1000").createOrReplaceTempView("quirework_outline")
     return nodes.sparkSession.sql("""
         WITH RECURSIVE t (doc_id, node_id, title, page_no, level, path) AS (
-          SELECT doc_id, node_id, title, page_no, 1, lpad(CAST(position AS STRING), 9, '0')
-          FROM quirework_outline WHERE parent_id IS NULL AND position < 1000
+          SELECT doc_id, node_id, title, page_no, 1, lpad(CAST(rank AS STRING), 4, '0')
+          FROM quirework_outline WHERE parent_id IS NULL
           UNION ALL
-          SELECT n.doc_id, n.node_id, n.title, n.page_no, t.level + 1, concat(t.path, '/', lpad(CAST(n.position AS STRING), 9, '0'))
-          FROM t JOIN quirework_outline n ON n.doc_id = t.doc_id AND n.parent_id = t.node_id WHERE n.position < 1000
+          SELECT n.doc_id, n.node_id, n.title, n.page_no, t.level + 1, concat(t.path, '/', lpad(CAST(n.rank AS STRING), 4, '0'))
+          FROM t JOIN quirework_outline n ON n.doc_id = t.doc_id AND n.parent_id = t.node_id
         )
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) AS INT) AS toc_ord, level,
           coalesce(nullif(title, ''), 'Untitled') AS title, coalesce(page_no, 1) AS page_no FROM t""")
