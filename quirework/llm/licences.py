@@ -2,8 +2,9 @@
 
 Training is a small numpy fit on the driver: sparse word n-gram logistic regression, one weight vector per family and one for ``unknown``, on
 paragraphs made by rule from the families' templates and on unrelated licence talk, then a temperature fitted on paragraphs held back. Scoring is native:
-a paragraph is a line; lines that hold none of a few stems, which all training lines hold, are not about licences and are passed over; the others'
-n-grams are joined with the weights. A prediction is confirmed if it holds enough of the 3-word shingles of one of its family's templates.
+a paragraph is a line, or some lines in a row without a blank one, as far as a template wrapped at any width can go; those that hold none of a few
+stems, which all training lines hold, are not about licences and are passed over; the others' n-grams are joined with the weights. A prediction is confirmed if it
+holds enough of the 3-word shingles of one of its family's templates. Of confirmed paragraphs that share a line the one that holds most of its template counts, or else the shortest.
 """
 
 from __future__ import annotations
@@ -115,6 +116,10 @@ def fit(seed: int = 0, rounds: int = 200) -> Model:
     return Model(classes, {g: w[k].round(6).tolist() for g, k in at.items()}, w[-1].round(6).tolist(), float(temperature))
 
 
+#: Words that lines between the first and the last of a paragraph hold at most: twice the longest template, so words put in have room.
+INNER = 2 * max(len(_tokens(line)) for lines in TEMPLATES.values() for line in lines)
+
+
 def _words(line: Column) -> Column:
     words = F.transform(F.split(F.lower(line), _WORD), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", ""))
     return F.filter(words, lambda w: w != "")
@@ -125,9 +130,24 @@ def _shingles(words: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _joined(near: Column, more: Column) -> Column:
+    """The words of the first line of ``near`` and ``more`` lines after it as one text: of several, the end of the first and the beginning of the last."""
+    ends = F.concat(F.array(F.substring_index(near[0], " ", -INNER)), F.slice(near, F.lit(2), F.greatest(more - 1, F.lit(0))), F.array(F.substring_index(F.get(near, more), " ", INNER)))
+    return F.rtrim(F.replace(F.when(more > 0, F.array_join(ends, " ")).otherwise(near[0]), F.lit("- "), F.lit("-")), F.lit("-"))
+
+
+def _choose(units: Column) -> Column:
+    """Confirmed paragraphs of a text, best first and none that shares a line with a better one, and lines that no such paragraph holds."""
+    meets = lambda taken, u: F.exists(taken, lambda t: (t["paragraph"] <= u["last"]) & (u["paragraph"] <= t["last"]))
+    sure = F.array_sort(F.filter(units, lambda u: u["confirmed"]))
+    taken = F.aggregate(sure, F.filter(units, lambda u: F.lit(False)), lambda t, u: F.when(meets(t, u), t).otherwise(F.concat(t, F.array(u))))
+    return F.transform(F.array(taken), lambda t: F.concat(t, F.filter(units, lambda u: ~u["confirmed"] & ~meets(t, u))))[0]
+
+
 def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that holds a stem and a word n-gram of the model: doc_id, paragraph (its line, from 0), family, probability, template_score, confirmed.
+    """One row per paragraph that holds a stem and a word n-gram of the model: doc_id, paragraph (its first line, from 0), family, probability, template_score, confirmed.
 
+    Notices wrapped over lines are one confirmed paragraph; what no confirmed paragraph holds is a row per line.
     A paragraph that the model gives to a family no template of which it holds counts as ``unknown`` and is not confirmed.
     """
     spark: SparkSession = docs.sparkSession
@@ -140,22 +160,38 @@ def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             out = out | F.contains(low, F.lit(stem))
         return out
 
-    # A document's lines are looked at only if it holds a stem; so is a line.
-    lines = own.filter(about(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.filter(about(F.col("line"))).select("doc_id", "paragraph", _words(F.col("line")).alias("words"))
+    # A document's lines are looked at only if it holds a stem, one that a line break divides among them; so are lines in a row.
+    held = own.filter(about(F.col("text")) | F.rlike(F.col("text"), F.lit("(?i)public[^a-z0-9]+domain"))).select("doc_id", F.xxhash64("text").alias("text_id"), F.split("text", "\n").alias("lines"))
+    # Of a line its words with one space between and a hyphen at its end if it has one, their number, and whether a stem can begin in it.
+    words = lambda x: F.concat(F.array_join(_words(x), " "), F.when(F.rlike(x, F.lit(r"[A-Za-z0-9]-\s*$")), "-").otherwise(""))
+    facts = lambda t: F.struct(t.alias("t"), F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).alias("n"), (about(t) | F.endswith(t, F.lit("public"))).alias("b"))
+    held = held.select("doc_id", "text_id", F.explode(F.array(F.transform(F.transform("lines", words), facts))).alias("lines"))
+    starts = held.select("doc_id", "text_id", F.posexplode(F.transform("lines", lambda _, i: F.slice("lines", i + 1, INNER + 2))).alias("paragraph", "near"))
+    starts = starts.filter((F.col("near")[0]["n"] > 0) & F.exists("near", lambda x: x["b"]))
+    fits = lambda s, x: s["open"] & (x["n"] > 0) & (s["inner"] <= INNER)
+    reach = F.aggregate(
+        F.slice("near", 2, INNER + 1),
+        F.struct(F.lit(0).alias("more"), F.lit(0).alias("inner"), F.lit(True).alias("open")),
+        lambda s, x: F.struct((s["more"] + fits(s, x).cast("int")).alias("more"), (s["inner"] + x["n"]).alias("inner"), fits(s, x).alias("open")),
+        lambda s: s["more"],
+    )
+    starts = starts.select("doc_id", "text_id", "paragraph", F.col("near.t").alias("near"), F.explode(F.sequence(F.lit(0), reach)).alias("more"))
+    units = starts.select("doc_id", "text_id", "paragraph", "more", F.explode(F.array(_joined(F.col("near"), F.col("more")))).alias("unit")).filter(about(F.col("unit")))
+    lines = units.select("doc_id", "text_id", "paragraph", (F.col("paragraph") + F.col("more")).alias("last"), F.explode(F.array(F.split("unit", " "))).alias("words"))
     lines = lines.withColumn("grams", F.array_distinct(F.concat(*[_shingles(F.col("words"), n) for n in GRAMS])))
     # The vocabulary is bounded by MAX_GRAMS; rows of one paragraph meet by their hash, whatever the licence.
     table = F.broadcast(spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")).alias("gram", "w")))
-    key = lines.withColumn("line_id", F.xxhash64("doc_id", "paragraph", "words"))
-    parts = key.select("doc_id", "paragraph", "line_id", F.explode("grams").alias("gram")).join(table, "gram")
-    sums = parts.groupBy("doc_id", "paragraph", "line_id").agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(model.classes))], F.collect_set("gram").alias("held"))
+    key = lines.withColumn("line_id", F.xxhash64("doc_id", "text_id", "paragraph", "words"))
+    place = ["doc_id", "text_id", "paragraph", "last"]
+    parts = key.select(*place, "line_id", F.xxhash64("words").alias("words_id"), F.explode("grams").alias("gram")).join(table, "gram")
+    sums = parts.groupBy(*place, "line_id", "words_id").agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(model.classes))], F.collect_set("gram").alias("held"))
     # Equal rows give equal sums of copies; the bias and the temperature follow.
     z = F.array(*[(F.col(f"z{k}") + F.lit(b)) / F.lit(model.temperature) for k, b in enumerate(model.bias)])
-    scored = sums.select("doc_id", "paragraph", "held", z.alias("z"))
+    scored = sums.select(*place, "words_id", "held", z.alias("z"))
     top = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     best = F.get(F.array(*[F.lit(c) for c in model.classes]), (F.array_position("z", top) - 1).cast("int"))
-    scored = scored.select("doc_id", "paragraph", "held", best.alias("family"), (1 / total).alias("probability"))
+    scored = scored.select(*place, "words_id", "held", best.alias("family"), (1 / total).alias("probability"))
 
     def holding(family: str) -> Column:
         best_of = []
@@ -168,8 +204,13 @@ def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     for family in TEMPLATES:
         template = F.when(F.col("family") == family, holding(family)).otherwise(template)
     scored = scored.withColumn("template_score", template)
-    confirmed = F.col("template_score") >= CONFIRM
-    return scored.select("doc_id", "paragraph", F.when(confirmed, F.col("family")).otherwise(OTHER).alias("family"), "probability", "template_score", confirmed.alias("confirmed"))
+    scored = scored.withColumn("confirmed", F.col("template_score") >= CONFIRM).filter("confirmed OR last = paragraph")
+    # In the order of choice.
+    unit = F.struct((-F.col("template_score")).alias("rank"), (F.col("last") - F.col("paragraph")).alias("more"), (-F.col("probability")).alias("p"), "paragraph", "last", "words_id", "family", "probability", "template_score", "confirmed")
+    chosen = scored.groupBy("doc_id", "text_id").agg(F.collect_list(unit).alias("units")).select("doc_id", F.explode(_choose(F.col("units"))).alias("u")).select("doc_id", "u.*")
+    # Rows with one id may repeat a paragraph in texts that differ.
+    chosen = chosen.dropDuplicates(["doc_id", "paragraph", "last", "words_id"])
+    return chosen.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("family")).otherwise(OTHER).alias("family"), "probability", "template_score", "confirmed")
 
 
 def scan_licences(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

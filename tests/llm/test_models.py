@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -183,6 +184,22 @@ def test_licences(spark):
     assert licences.scan_licences(df.limit(0), model).count() == 0
 
 
+def test_wrapped_licences(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    cc = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    domain = "We say that this work is in the public domain now."
+    docs = []
+    for width in (12, 20, 40, 50, 72, 1000):
+        wrap = lambda t: "\n".join(textwrap.wrap(t, width))
+        docs += [(len(docs), wrap(gpl)), (len(docs) + 1, wrap(cc)), (len(docs) + 2, wrap(domain)), (len(docs) + 3, "\n".join(" * " + x for x in wrap(gpl).split("\n"))), (len(docs) + 4, f"Prose.\n{wrap(gpl)}\n{wrap(cc)}\nMore prose.")]
+    docs += [(100, "This work is licensed under a Creative Commons\n\nAttribution-ShareAlike 4.0 International License.")]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs[:-1]:
+        want = [("GPL", 1), ("CC-BY-SA", 1), ("CC0", 1), ("GPL", 1), ("CC-BY-SA,GPL", 2)][i % 5]
+        assert (got[i].families, got[i].n_licence) == want, text
+    assert got[100].families == ""
+
+
 def test_templates_hold_a_stem():
     for line in [x for v in licences.TEMPLATES.values() for x in v] + licences.UNKNOWN:
         assert any(s in line for s in licences.STEMS) or "cc by" in line or "gpl" in line, line
