@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -63,13 +64,37 @@ def create_client(provider: str = "mock", **options) -> Client:
     return HttpClient(**options)
 
 
-def run(prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 1000, max_concurrency: int | None = None) -> DataFrame:
+def _within(call: Callable[[], Reply], seconds: float) -> Reply:
+    """What ``call`` returns or raises, or TimeoutError after so many seconds; a call that never ends is left behind."""
+    done: list = []
+
+    def target() -> None:
+        try:
+            done.append((call(), None))
+        except Exception as e:
+            done.append((None, e))
+
+    thread = threading.Thread(target=target, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not done:
+        raise TimeoutError(f"no reply within {round(seconds * 1000)} ms")
+    reply, error = done[0]
+    if error is not None:
+        raise error
+    return reply
+
+
+def run(prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 1000, max_concurrency: int | None = None, timeout_ms: int | None = None) -> DataFrame:
     """Adds response, tokens_used, duration_ms, success, error to rows with columns system and prompt.
 
-    A prompt that fails after its retries is a row with the error, never a failed task. ``max_concurrency`` bounds the calls in flight.
+    A prompt that fails after its retries is a row with the error, never a failed task. ``max_concurrency`` bounds the calls in flight,
+    ``timeout_ms`` the time of each call.
     """
     if max_concurrency:
         prompts = prompts.repartition(max_concurrency)
+    if timeout_ms and isinstance(client, HttpClient):
+        client = replace(client, timeout_s=timeout_ms / 1000)
 
     def batch(batches: Iterator) -> Iterator:
         for pdf in batches:
@@ -78,7 +103,8 @@ def run(prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 10
                 began, error, reply = time.monotonic(), None, None
                 for attempt in range(retries + 1):
                     try:
-                        reply = client.complete([{"role": "system", "content": system}, {"role": "user", "content": prompt}])
+                        messages = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
+                        reply = _within(lambda: client.complete(messages), timeout_ms / 1000) if timeout_ms else client.complete(messages)
                         break
                     except Exception as e:
                         error = str(e)

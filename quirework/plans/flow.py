@@ -49,7 +49,7 @@ def run(pages: DataFrame, toc: DataFrame | None = None, settings: Settings = Set
     if client is not None:
         prompts = model.extraction_prompts(results.withColumn("content", F.col("raw_content")), x.prompt).select("doc_id", "group_ord", "system", "prompt")
         e = settings.execution
-        replies = model.run(prompts, client, e.retries, e.retry_delay_ms, e.max_concurrency)
+        replies = model.run(prompts, client, e.retries, e.retry_delay_ms, e.max_concurrency, e.timeout_ms)
         results = model.enhanced(results, replies).drop("success").join(replies.select("doc_id", "group_ord", "success", "error", "duration_ms", "tokens_used"), ["doc_id", "group_ord"], "left")
     else:
         results = results.withColumns({"error": F.lit(None).cast("string"), "duration_ms": F.lit(0).cast("long"), "tokens_used": F.lit(0).cast("long")})
