@@ -1,7 +1,8 @@
 """Language of texts by a bidirectional gated recurrent network over bytes.
 
 The network is trained here in numpy by backpropagation through time, on windows of a bounded sample, and
-labels every byte position of whole texts; a document's probabilities are the mean over its letters' positions.
+labels every byte position of whole texts; a document's probabilities are the mean over its letters' positions. Long texts are read in windows that
+overlap, and a position counts in the one where it has 32 bytes of its text or more on either side: by then the states have forgotten where they began.
 """
 
 from __future__ import annotations
@@ -10,19 +11,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import chunks
+from .textops import begin, chunks, release
 from .toxicity import held_out
 
-#: Bounds of the training sample: documents of a language, windows of a document, bytes of a text.
-TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_TEXT_BYTES = 300, 8, 60_000
+#: Bounds of the training sample: documents of a language and of all, windows of a document, bytes of a text.
+TRAIN_DOCS, TRAIN_ALL, TRAIN_WINDOWS, TRAIN_TEXT_BYTES = 300, 6000, 8, 60_000
+#: Languages that are learnt, the most frequent ones.
+MAX_LANGUAGES = 1000
 STEPS, BATCH, RATE = 350, 256, 0.02
 UNITS = 8
-WINDOW = 64
+#: Bytes of a training window, of a window of a text, and on either side that count in the window before or after.
+TRAIN_WINDOW, WINDOW, CONTEXT = 64, 256, 32
 #: Windows that are run at once.
-LANES = 1024
+LANES = 512
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -126,20 +130,22 @@ class BiGRU:
         return float(loss), [g_ahead, g_back, g_gates, g_cand, g_out, g_bias]
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte windows (windows x WINDOW) that cover all documents, their documents, and which positions count.
+def windows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte windows (windows x ``window``) that cover all documents, their documents, and which positions count.
 
-    A document's last window ends at its end and counts only what the one before it left; one shorter than a window is filled with spaces.
+    Windows overlap by twice ``context``, whose halves count in one window each. A document's last window ends at its end; one shorter than a window is filled with spaces.
     """
-    size = np.diff(offsets)
-    number = -(-size // WINDOW)
+    size, stride = np.diff(offsets), window - 2 * context
+    number = np.where(size > window, 1 + -(-(size - window) // stride), np.minimum(size, 1))
     doc = np.repeat(np.arange(len(size)), number)
     rank = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-    start = np.minimum(rank * WINDOW, np.maximum(size[doc] - WINDOW, 0))
-    at = start[:, None] + np.arange(WINDOW)
-    counts = (at >= (rank * WINDOW)[:, None]) & (at < size[doc][:, None])
+    start = np.minimum(rank * stride, np.maximum(size[doc] - window, 0))
+    at = start[:, None] + np.arange(window)
     inside = at < size[doc][:, None]
-    x = np.where(inside, data[np.minimum(at + offsets[doc][:, None], max(0, len(data) - 1))], 32) if len(doc) else np.zeros((0, WINDOW), np.uint8)
+    lo = np.where(rank > 0, rank * stride + context, 0)
+    hi = np.where(rank + 1 < number[doc], (rank + 1) * stride + context, size[doc])
+    counts = (at >= lo[:, None]) & (at < hi[:, None])
+    x = np.where(inside, data[np.minimum(at + offsets[doc][:, None], max(0, len(data) - 1))], 32) if len(doc) else np.zeros((0, window), np.uint8)
     return x.astype(np.uint8), doc, counts & _LETTER[x] if len(doc) else counts
 
 
@@ -153,7 +159,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 0) -> BiGRU:
     by: list[list[np.ndarray]] = [[] for _ in names]
     for text, lang in zip(texts, langs):
         raw = np.frombuffer(text.encode(), np.uint8)
-        x, _, counts = windows(raw, np.array([0, len(raw)]))
+        x, _, counts = windows(raw, np.array([0, len(raw)]), TRAIN_WINDOW, 0)
         x = x[counts.any(axis=1)]
         by[names.index(lang)].append(x[rng.permutation(len(x))[:TRAIN_WINDOWS]])
     pools = [np.concatenate(b) for b in by]
@@ -164,8 +170,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 0) -> BiGRU:
         y = np.array(known)[rng.integers(0, len(known), BATCH)]
         x = np.stack([pools[k][rng.integers(len(pools[k]))] for k in y])
         # Windows of short documents: some of the batch is cut and filled with spaces.
-        cut = rng.integers(8, WINDOW, BATCH)
-        x = np.where((np.arange(WINDOW)[None, :] < cut[:, None]) | (rng.random(BATCH) < 0.85)[:, None], x, 32)
+        cut = rng.integers(8, TRAIN_WINDOW, BATCH)
+        x = np.where((np.arange(TRAIN_WINDOW)[None, :] < cut[:, None]) | (rng.random(BATCH) < 0.85)[:, None], x, 32)
         _, grads = model.gradients(np.ascontiguousarray(x.T), y)
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, g, m, v, mask in zip(fields, grads, mean, square, model.masks):
@@ -177,20 +183,30 @@ def fit(texts: list[str], langs: list[str], seed: int = 0) -> BiGRU:
 
 
 def training_sample(docs: DataFrame, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """Texts and languages of a bounded sample by hash of the id, outside the held-out fold."""
+    """Texts and languages of a bounded sample by hash of the id, outside the held-out fold.
+
+    One pass counts the languages, and one takes of each the documents with the least hashes, out of those whose
+    hash is so small that about three times as many as are wanted come forward: no language is sorted whole.
+    """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out("doc_id", folds, fold)).filter(F.octet_length("text").between(1, TRAIN_TEXT_BYTES))
-    ids = own.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    picked: list[int] = []
-    for (lang,) in ids.select("lang").distinct().orderBy("lang").collect():  # one row a language
-        picked += [r.doc_id for r in ids.filter(F.col("lang") == lang).orderBy("h").limit(TRAIN_DOCS).collect()]
-    rows = own.filter(F.col("doc_id").isin(picked)).dropDuplicates(["doc_id"]).collect() if picked else []
-    rows.sort(key=lambda r: r.doc_id)
+    found = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not found:
+        return [], []
+    each = min(TRAIN_DOCS, max(1, TRAIN_ALL // len(found)))
+    # Bounded by MAX_LANGUAGES.
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, min(1.0, (3 * each + 30) / r.n)) for r in found], "lang string, share double"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    near = own.withColumn("h", place).join(share, "lang").filter("h < share").dropDuplicates(["doc_id", "lang"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    rows = near.withColumn("rank", rank).filter(F.col("rank") <= each).select("doc_id", "text", "lang").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.lang))
     return [r.text for r in rows], [r.lang for r in rows]
 
 
 def _predict(model: BiGRU):
     def run(batches):
+        begin("languages")
         names = np.array(model.names)
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1), 1 << 18):
@@ -206,6 +222,7 @@ def _predict(model: BiGRU):
                 best = share.argmax(axis=1)
                 score = np.clip(share[np.arange(j - i), best], 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(names[best]), pa.array(score)], ["doc_id", "letters", "lang", "score"])
+        release()
 
     return run
 
@@ -213,7 +230,7 @@ def _predict(model: BiGRU):
 def identify_languages(docs: DataFrame, model: BiGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score (mean probability of that language over the letters' positions).
 
-    A null text and one without a letter is ``und`` with score 1; so is every text if no language was learned. Repeated rows give
+    A null text and one without a letter is ``und`` with score 1; so is every text if no language was learned. A text of any length is read whole. Repeated rows give
     repeated results, ids may be null, other columns are ignored; an empty table gives an empty result.
     """
     text = F.col(text_col).cast("string")

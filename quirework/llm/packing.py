@@ -1,6 +1,6 @@
 """Packing of tokenised documents into sequences: first-fit decreasing with a tournament tree.
 
-Documents are dealt into randomised groups of about equal size by a hash of their id; a group is packed by
+Documents are dealt into randomised groups of about equal size by a hash of their place in the input's files; a group is packed by
 one task on its own, so the memory a task needs doesn't grow with the corpus. In a group, whole
 capacities are cut off long documents, what is left over is packed first-fit decreasing, and the gaps
 that remain are filled by cutting pieces of the emptiest bins. The last bin is split into
@@ -9,14 +9,16 @@ sequences of powers of two, which need no padding.
 
 from __future__ import annotations
 
-import zlib
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import _BYTE, _BYTES, _LOWER, chunks, release, run_hashes, spans_of
-from .wordtable import WordTable
+from .textops import _LOWER, chunks, kept, release, spans_of
+from .wordtable import WordTable, grown
 
 CAPACITY = 2048
 END_ID = 1
@@ -127,13 +129,16 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.known = WordTable()
-        self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.begin, self.pool, self.n = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
 
-    def remember(self, keys: np.ndarray, texts: list[str]) -> None:
-        codes = [np.array(c.ids, np.uint32) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.pool = np.concatenate([self.pool, *codes]).astype(np.uint32)
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(c) for c in codes])])
-        self.known.add(keys)
+    def remember(self, words: list[bytes]) -> None:
+        codes = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        ends = self.begin[self.n] + np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))
+        self.begin = grown(self.begin, self.n + len(codes) + 1)
+        self.begin[self.n + 1 : self.n + len(codes) + 1] = ends
+        self.pool = grown(self.pool, int(ends[-1]))
+        self.pool[self.begin[self.n] : ends[-1]] = np.fromiter(chain.from_iterable(codes), np.uint32)
+        self.n += len(codes)
 
     def units(self, data, offsets):
         s, e, first = spans_of(data, offsets)
@@ -150,19 +155,9 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each closed by END_ID, and where each document's ids start."""
         starts, ends, first = self.units(data, offsets)
-        low = _LOWER[data]
-        keys = run_hashes(_BYTE[low], starts, ends, _BYTES) | np.uint64(1)
-        entry = self.known.find(keys)
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            new, at = np.unique(keys[missing], return_index=True)
-            if self.known.n + len(new) > CACHE_WORDS:
-                self.clear()
-                new, at = np.unique(keys, return_index=True)
-                missing = np.arange(len(keys))
-            raw = low.tobytes()
-            self.remember(new, [raw[starts[k] : ends[k]].decode() for k in missing[at]])
-            entry = self.known.find(keys)
+        if self.known.n > CACHE_WORDS:
+            self.clear()
+        entry = self.known.lookup(_LOWER[data], starts, ends, self.remember)
         begin = self.begin[entry]
         n = self.begin[entry + 1] - begin
         out_at = np.concatenate(([0], np.cumsum(n)))
@@ -171,26 +166,24 @@ class WordEncoder:
         return np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder of a tokenizer, which later packing tasks find as this one left it."""
+    own = kept("packing")
+    if path not in own:
+        own[path] = WordEncoder(path)
+    return own[path]
 
 
 def _pack_group(path: str, capacity: int):
     def run(table):
-        import pyarrow as pa
-
         own, group = encoder(path), table.column("grp")[0].as_py()
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        docs, texts = table.column("doc_id").to_pylist(), table.column("text").combine_chunks()
+        table = table.combine_chunks().sort_by([("deal", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        docs = table.column("doc_id").to_pylist()
         tokens = []
-        for _, _, data, offsets in chunks(texts if isinstance(texts, pa.Array) else texts.chunk(0)):
-            ids, bounds = own.encode(data, offsets)
-            tokens += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        for part in table.column("text").chunks:
+            for _, _, data, offsets in chunks(part):
+                ids, bounds = own.encode(data, offsets)
+                tokens += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         rows = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
         for k, sequence in enumerate(pack([len(t) for t in tokens], capacity)):
             offset = 0
@@ -206,20 +199,29 @@ def _pack_group(path: str, capacity: int):
     return run
 
 
+def _place(docs: DataFrame) -> Column | None:
+    """Hash of a row's place in the files it is read from, the same on every run; None where there are no files."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at["row_index"])
+    except AnalysisException:
+        return None
+    return F.xxhash64(at["file_name"], at["row_index"])
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (packed little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    A document is its tokenizer's ids and then id 1; a null, empty or white text is that id alone. Each id lies in one
+    A document is its tokenizer's ids and then id 1; a null, empty or white text is that id alone, a text of any length is packed whole. Each id lies in one
     piece. Repeated rows and rows with one id, or with none, are documents of their own. Other columns are ignored; an empty table
     gives an empty result. A sequence is full unless its length is a power of two.
+    Rows are dealt into groups, and ordered there, by a hash of their place in the files: copies of a document come apart. Rows of a
+    table that isn't read from files are dealt by id and text, so repeated rows meet in one group.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    place = _place(docs)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.lit(0) if place is None else place).alias("place"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     groups = size // GROUP_BYTES + 1
-    # Rows without an id are dealt by their texts.
-    dealt = own.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(groups)))
+    key = F.col("place") if place is not None else F.xxhash64("doc_id", "text")
+    dealt = own.select("doc_id", "text", F.xxhash64(F.lit(seed), key).alias("deal")).withColumn("grp", F.pmod("deal", F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(_pack_group(tokenizer_path, capacity), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import fingerprints, languages, licences, mixing, near_dups, packing, substring_dups, token_counts, toxicity, vector_dups
 
 
-#: Rows of an Arrow batch: texts of a few KB make batches of some MB, in the JVM and in the workers.
+#: Rows of an Arrow batch, in the JVM and in the workers.
 BATCH_ROWS = 2000
 
 
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: dict[str, SparkSession] = {}
@@ -29,17 +30,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clear() -> None:
     for path, spark in list(_LIVE.items()):
         if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
+            # The session may be on its way out; the folder is the cluster's to clean then.
+            with contextlib.suppress(Py4JError, OSError):
+                _delete(spark, path)
 
 
 class Scratch:
@@ -59,7 +60,9 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            _delete(self.spark, path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes saved tables; others are left alone."""
+        for df in tables:
+            path = getattr(df, "_scratch_path", None)
+            if path:
+                _delete(self.spark, path)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import _BYTE, _BYTES, _LOWER, chunks, mix64, release, run_hashes, spans_of
+from .textops import _KEEP, _LOWER, begin, byte_hashes, chunks, eights, mix64, release, spans_of
 
 #: Bounds of the training sample: documents of each class, and bytes of a text.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_TEXT_BYTES = 1500, 5000, 60_000
@@ -45,12 +45,15 @@ def token_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     A beginning as long as the word or longer is the key 0, which has no weight.
     """
     starts, ends, first = spans_of(data, offsets, _BETWEEN)
-    values, size = _BYTE[_LOWER[data]], ends - starts
+    low = _LOWER[data]
+    view, size = eights(low), ends - starts
     keys = np.zeros((2 + len(PREFIXES), len(starts)), np.uint64)
-    keys[0] = run_hashes(values, starts, ends, _BYTES)
-    keys[1] = mix64(run_hashes(values, np.maximum(starts, ends - 3), ends, _BYTES) ^ np.uint64(1))
+    keys[0] = byte_hashes(low, starts, ends, view)
+    # Up to seven bytes are a number; the eighth says what they are.
+    tail = np.minimum(size, 3)
+    keys[1] = mix64((view[ends - tail] & _KEEP[tail]) | (tail.astype(np.uint64) + np.uint64(16)) << np.uint64(56))
     for k, n in enumerate(PREFIXES):
-        keys[2 + k] = np.where(size > n, mix64(run_hashes(values, starts, np.minimum(starts + n, ends), _BYTES) ^ np.uint64(2)), 0)
+        keys[2 + k] = np.where(size > n, mix64((view[starts] & _KEEP[n]) | np.uint64(n << 56)), 0)
     return starts, ends, first, keys
 
 
@@ -93,27 +96,75 @@ class Field:
             e[:-1] += np.where(inner, self.after[slots[0, 1:]], 0)
         return e
 
-    def passes(self, e: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-ratios of label 1 to 0: forward with the own emission, backward without. Padding is neutral."""
+    def passes(self, e: np.ndarray, real: np.ndarray, blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-ratios of label 1 to 0: forward with the own emission, backward without. Padding is neutral.
+
+        A row is a chain of its own, or ``blocks`` says how many rows in order make one chain; all but a chain's last are full.
+        """
         t = np.exp(self.trans)
+        enter, leave, inner = self.seams(e, real, blocks, t) if blocks is not None and blocks.max(initial=0) > 1 else (0.0, 0.0, False)
+        step = lambda r: np.log((t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r))
         f, b = np.zeros_like(e), np.zeros_like(e)
-        f[:, 0] = e[:, 0]
+        f[:, 0] = e[:, 0] + np.where(inner, step(np.exp(np.clip(enter, -30, 30))), 0)
         for k in range(1, e.shape[1]):
-            r = np.exp(np.clip(f[:, k - 1], -30, 30))
-            f[:, k] = e[:, k] + np.log((t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r))
+            f[:, k] = e[:, k] + step(np.exp(np.clip(f[:, k - 1], -30, 30)))
+        b[:, -1] = leave
         for k in range(e.shape[1] - 2, -1, -1):
             r = np.exp(np.clip(e[:, k + 1] + b[:, k + 1], -30, 30))
             b[:, k] = np.where(real[:, k + 1], np.log((t[1, 0] + t[1, 1] * r) / (t[0, 0] + t[0, 1] * r)), 0)
         return f, b
 
-    def marginals(self, keys_or_slots: np.ndarray, first: np.ndarray) -> np.ndarray:
-        e = self.emissions(keys_or_slots, first)
+    @staticmethod
+    def seams(e: np.ndarray, real: np.ndarray, blocks: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row of chains cut into rows: forward log-ratio before it, backward log-ratio after it, and whether a row comes before.
+
+        A row's steps are a product of 2 x 2 matrices, made for all rows at once; then chains of any length take one step a row.
+        """
+        n, steps = e.shape
+        lead = np.concatenate(([0], np.cumsum(blocks)))[:-1]
+        inner = np.ones(n, bool)
+        inner[lead[blocks > 0]] = False
+        enter, leave = np.zeros(n), np.zeros(n)
+        rows = np.flatnonzero(inner)
+        weight = np.exp(np.clip(e[rows], -30, 30))
+        made = np.broadcast_to(np.eye(2), (len(rows), 2, 2)).copy()
+        for k in range(steps):
+            new = made @ t
+            new[:, :, 1] *= weight[:, k, None]
+            made = np.where(real[rows, k, None, None], new / new.max(axis=(1, 2), keepdims=True), made)
+        at = np.cumsum(inner) - 1  # place of a row in ``made``
+        chains = np.argsort(-blocks, kind="stable")
+        chains = chains[blocks[chains] > 1]
+        number, heads = blocks[chains], lead[chains]
+        f = e[heads, 0]
+        for k in range(1, steps):
+            r = np.exp(np.clip(f, -30, 30))
+            f = e[heads, k] + np.log((t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r))
+        ahead, behind = np.stack([np.ones(len(f)), np.exp(np.clip(f, -30, 30))], 1), np.ones((len(f), 2))
+        # Long chains come first, so those that have a row j are the first ones.
+        live = [int(np.searchsorted(-number, -j, "left")) for j in range(int(number[0]))]
+        for j in range(1, int(number[0])):
+            own = heads[: live[j]] + j
+            ahead = ahead[: live[j]]
+            enter[own] = np.log(ahead[:, 1] / ahead[:, 0])
+            ahead = np.einsum("mi,mij->mj", ahead, made[at[own]])
+            ahead /= ahead.max(axis=1, keepdims=True)
+        for j in range(int(number[0]) - 1, 0, -1):
+            own = heads[: live[j]] + j
+            back = np.einsum("mij,mj->mi", made[at[own]], behind[: live[j]])
+            behind[: live[j]] = back / back.max(axis=1, keepdims=True)
+            leave[own - 1] = np.log(behind[: live[j], 1] / behind[: live[j], 0])
+        return enter, leave, inner
+
+    def marginals(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Probability of label 1 for each token; each document is one chain."""
+        e = self.emissions(slots, first)
         if not len(e):
             return e
         grid, place = _padded(e, first)
         real = np.zeros(grid.size, bool)
         real[place] = True
-        f, b = self.passes(grid, real.reshape(grid.shape))
+        f, b = self.passes(grid, real.reshape(grid.shape), -(-np.diff(first) // SEQUENCE))
         return 1 / (1 + np.exp(-np.clip((f + b).ravel()[place], -30, 30)))
 
     @staticmethod
@@ -281,6 +332,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: in
 
 def _score(model: Field):
     def run(batches):
+        begin("toxicity")
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in chunks(batch.column(1)):
@@ -304,7 +356,8 @@ def score_toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_c
     """One row per row of ``docs``: doc_id, score (0 to 1), spans (begin, end in code points, marginal) of tokens likelier toxic than not.
 
     A null, empty or white text has no tokens: the calibration's least score, no spans. Repeated rows give repeated results,
-    ids may be null, other columns are ignored; an empty table gives an empty result. Sequences are cut at 64 tokens.
+    ids may be null, other columns are ignored; an empty table gives an empty result.
+    A text of any length is one chain: its marginals are those of all its tokens together.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(_score(model), "doc_id long, score double, spans array<struct<begin:int,end:int,marginal:double>>")
@@ -312,6 +365,7 @@ def score_toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_c
 
 def _flag(model: Field, text_at: int):
     def run(batches):
+        begin("toxicity")
         for batch in batches:
             scores = []
             for _, _, data, offsets in chunks(batch.column(text_at)):

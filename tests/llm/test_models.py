@@ -120,7 +120,7 @@ def test_long_documents_are_trained_on(spark):
 
 def test_windows_cover_each_byte_once():
     rng = random.Random(0)
-    sizes = [0, 1, 63, 64, 65, 200, 0, 130]
+    sizes = [0, 1, 63, 64, 255, 256, 257, 449, 700, 0, 448, 130]
     data = np.array([rng.choice(b"abc \n.") for _ in range(sum(sizes))], np.uint8)
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     x, doc, counts = languages.windows(data, offsets)
@@ -227,11 +227,10 @@ def brute_count(word, scores, byte):
 def test_trie_matches_plain_recurrence(words):
     scores = {"a": -1.0, "b": -1.5, "ab": -1.8, "abc": -2.0, "ca": -0.7, "bca": -2.6, "éa": -1.1}
     trie = token_counts.Trie(token_counts.Unigram(scores, -4.0))
-    for w in words:
-        node = trie.insert(w)
+    for w, node in zip(words, [*trie.insert(words[:7]), *trie.insert(words[7:])]):
         want = brute_count(w, scores, -4.0)
         assert math.isclose(trie.best[node], want[0]) and trie.count[node] == want[1]
-    assert len(trie.best) == 1 + len({w[:k] for w in words for k in range(1, len(w) + 1)})
+    assert trie.n == 1 + len({w[:k] for w in words for k in range(1, len(w) + 1)})
 
 
 def test_token_counts(spark, monkeypatch):
