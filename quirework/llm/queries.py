@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from . import fingerprints, languages, licences, mixing, near_dups, packing, substring_dups, token_counts, toxicity, vector_dups
 
 
-#: Rows of an Arrow batch, in the JVM and in the workers.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, in the JVM and in the workers.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

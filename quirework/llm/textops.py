@@ -32,12 +32,18 @@ _KEPT: dict[str, dict] = {}
 
 
 def kept(owner: str) -> dict:
-    """The operator's own memory in this worker."""
+    """The operator's own memory in this worker. A task of another operator forgets it, as workers live on."""
+    begin(owner)
     return _KEPT.setdefault(owner, {})
 
 
 def begin(owner: str) -> None:
-    """To be called as an operator's task begins."""
+    """To be called as an operator's task begins: forgets what tasks of others have left in this worker."""
+    others = [name for name in _KEPT if name != owner]
+    for name in others:
+        del _KEPT[name]
+    if others:
+        release()
 
 
 def release() -> None:

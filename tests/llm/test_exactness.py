@@ -221,6 +221,14 @@ def test_copies_are_dealt_apart(spark, tmp_path):
     assert sum(groups.values()) == 400 and len(groups) > 4 and max(groups.values()) < 150
 
 
+def test_workers_forget_other_operators():
+    textops._KEPT.clear()
+    textops.kept("packing")["x"] = 1
+    assert textops.kept("packing") == {"x": 1}
+    textops.begin("toxicity")
+    assert textops.kept("packing") == {}
+
+
 def test_very_long_texts(spark):
     """One text of some MB beside short ones, through every operator that reads texts in Python."""
     rng = random.Random(9)
