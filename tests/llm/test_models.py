@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import textwrap
 import zlib
 
@@ -379,16 +380,68 @@ def test_fingerprints(spark):
     assert got[100].fingerprint == got[101].fingerprint and got[101].near_next == 1.0
 
 
-def test_fingerprint_ranges_and_edges(spark, monkeypatch):
-    df = spark.createDataFrame([(i * i, f"text number {i} of a few words") for i in range(50)], "doc_id long, text string")
-    whole = sorted(map(tuple, fingerprints.fingerprint_edits(df).collect()))
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
-    assert sorted(map(tuple, fingerprints.fingerprint_edits(df).collect())) == whole
+def plain_print(spark, text):
+    """Fingerprint of a text by the definition, in plain Python over the engine's hash function."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    if not words:
+        return ""
+    hashes = [spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in words]
+    if len(hashes) >= 5:
+        values = [spark.range(1).select(F.xxhash64(*[F.lit(h).cast("long") for h in hashes[i : i + 5]])).first()[0] for i in range(len(hashes) - 4)]
+    else:
+        values = [spark.range(1).select(F.xxhash64(F.lit(" ".join(map(str, hashes))))).first()[0]]
+    least: dict[int, int] = {}
+    for v in values:
+        v = (v & (1 << 64) - 1) >> 1
+        least[v >> 56] = min(v, least.get(v >> 56, v))
+    filled, out = sorted(least), []
+    for b in range(128):
+        if b not in least:
+            ranks = [(r, i) for i, r in enumerate(spark.range(1).select(F.array(*[F.hash(F.lit(b), F.lit(f)) for f in filled])).first()[0])]
+            out.append(least[filled[min(ranks)[1]]] & 255)
+        else:
+            out.append(least[b] & 255)
+    return bytes(out).hex()
+
+
+def test_fingerprints_by_definition(spark):
+    texts = ["", "one", "two words", "a b c d e", "a b c d e f g h i j k l", "  x y\tz x y z x y z x y z  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(df).collect()}
+    prints = [plain_print(spark, t) for t in texts]
+    assert [got[i].fingerprint for i in range(len(texts))] == prints
+    for i in range(len(texts)):
+        a, b = prints[i], prints[i - 1]
+        same = sum(a[k : k + 2] == b[k : k + 2] for k in range(0, 256, 2)) / 128
+        want = 1.0 if not a and not b else 0.0 if not a or not b else min(1.0, max(0.0, (same - 1 / 256) / (1 - 1 / 256)))
+        assert abs(got[i].near_next - want) < 1e-12
+
+
+@pytest.mark.parametrize("quantiles,rows,heads", [(2000, 256, 10**6), (2000, 3, 10**6), (3, 2, 0)])
+def test_successors_by_sorting(spark, monkeypatch, quantiles, rows, heads):
+    """Ids in clumps, ids that repeat, extreme ids and many rows without one, in ranges of any size."""
+    monkeypatch.setattr(fingerprints, "QUANTILES", quantiles)
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows)
+    monkeypatch.setattr(fingerprints, "BROADCAST_HEADS", heads)
+    ids = [i * i for i in range(40)] + [10**12 + i for i in range(30)] + [-(2**63), 2**63 - 1, 7, 7, -5] + [None] * 25
+    docs = [(i, f"text number {k} of a few words") for k, i in enumerate(ids)]
+    docs += [docs[-1], docs[0]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    h = dict(df.select("text", F.xxhash64("text")).collect())
+    order = sorted(docs, key=lambda d: (1, h[d[1]], d[1]) if d[0] is None else (0, -d[0], d[1]))
+    want = sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=str)
+    got = sorted(((r.doc_id, r.text, r.next_text) for r in fingerprints.successor_pairs(df).collect()), key=str)
+    assert got == want
+
+
+def test_fingerprint_edges(spark):
     rows = rows_of(fingerprints.fingerprint_edits(edge(spark)))
     assert len(rows) == len(DOCS) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert fingerprints.fingerprint_edits(edge(spark, 0)).count() == 0
-    alone = fingerprints.fingerprint_edits(df.limit(1)).first()
+    alone = fingerprints.fingerprint_edits(spark.createDataFrame([(1, "one text")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0
+    long = spark.createDataFrame([(1, "word " * 300_000), (2, "x" * 2_000_000)], "doc_id long, text string")
+    assert {r.n_chars for r in fingerprints.fingerprint_edits(long).collect()} == {1_500_000, 2_000_000}
 
 
 # Vectors
