@@ -1,10 +1,10 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-Training is a small numpy fit on the driver: sparse word n-gram logistic regression, one weight vector per family and one for ``unknown``, on
-paragraphs made by rule from the families' templates and on unrelated licence talk, then a temperature fitted on paragraphs held back. Scoring is native:
-a paragraph is a line, or some lines in a row without a blank one, as far as a template wrapped at any width can go; those that hold none of a few
-stems, which all training lines hold, are not about licences and are passed over; the others' n-grams are joined with the weights. A prediction is confirmed if it
-holds enough of the 3-word shingles of one of its family's templates. Of confirmed paragraphs that share a line the one that holds most of its template counts, or else the shortest.
+Training is a small numpy fit on the driver: sparse word n-gram logistic regression, one weight vector per family, one for ``unknown`` (licence talk that names no
+family) and one for ``none``, on paragraphs made by rule from the families' templates, from unrelated licence talk and from words put in at random, then a temperature fitted on paragraphs held back. Scoring is native:
+a paragraph is a line, or some lines in a row without a blank one, as far as a template wrapped at any width can go. Paragraphs that hold neither a key word nor a stem of
+licence talk are passed over; key words are derived from the templates such that no paragraph that a template could confirm lacks one. The others' n-grams are joined with the weights. A prediction is confirmed if it
+holds enough of the 3-word shingles of one of its family's templates. Of confirmed paragraphs that share a line the one that holds most shingles of its template counts, or else the shortest.
 """
 
 from __future__ import annotations
@@ -22,27 +22,27 @@ from pyspark.sql import functions as F
 TEMPLATES = {
     "Apache-2.0": ["licensed under the apache license version 2.0", "apache license version 2.0 january 2004", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache.org licenses license-2.0"],
     "BSD": ["redistribution and use in source and binary forms with or without modification are permitted", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "released under the bsd 3-clause license", "licensed under the bsd license"],
-    "CC-BY": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "available under the creative commons attribution license"],
-    "CC-BY-NC": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
-    "CC-BY-SA": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
+    "CC-BY": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "available under the creative commons attribution license", "cc by 4.0"],
+    "CC-BY-NC": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license", "cc by-nc 4.0"],
+    "CC-BY-SA": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license", "cc by-sa 4.0"],
     "CC0": ["to the extent possible under law the author has waived all copyright and related rights to this work", "released under cc0 1.0 public domain dedication", "this work is in the public domain"],
-    "GPL": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gpl version 2"],
+    "GPL": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gpl version 2", "gpl version 2", "gpl version 3"],
     "LGPL": ["licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license"],
-    "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license", "the software is provided as is without warranty of any kind express or implied"],
+    "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license", "mit license", "the software is provided as is without warranty of any kind express or implied"],
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
 }
 # Talk of licences that names no family, and words to fill in.
 UNKNOWN = ["all rights reserved no part may be reproduced without permission", "licensed under the terms of the proprietary agreement", "see the license file for details", "this license is granted to the customer only", "a driving license is required", "copyright notice of the publisher", "released under a commercial license", "usage is subject to the license agreement of the vendor", "the public library has a license for this text", "the work is licensed to the editor"]
 FILL = "the of and in to a is for this that text file page work software author project code data under with by on as from are document".split()
-# What a line must hold to be looked at. Each template and each unknown line above holds one.
-STEMS = ("licen", "copyright", "redistribut", "warrant", "permission", "public domain", "cc0")
+# Stems of licence talk.
+STEMS = ("licen", "copyright", "redistribut", "warrant", "permission")
 NONE, OTHER = "none", "unknown"
 COMMON = set(FILL) | set("all you may not it its or be at can any their use used work's names name part kind no other see only required copy forms free right rights to version 1.0 2.0 2 3 4.0".split())
 GRAMS = (1, 2, 3)
 SHINGLE = 3
 #: A template confirms its family if the paragraph holds this much of its 3-word shingles.
 CONFIRM = 0.6
-#: Bound of the trained vocabulary: n-grams, which is what is broadcast.
+#: Bound of the trained vocabulary: n-grams, which is what is broadcast. Templates that make more are refused.
 MAX_GRAMS = 5000
 
 _WORD = r"[^a-z0-9.\-]+"
@@ -56,6 +56,36 @@ def _grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in GRAMS for i in range(len(words) - n + 1)}
 
 
+def rare_words() -> set[str]:
+    """Words of templates and licence talk that aren't ordinary ones: an n-gram is of use only with one of them."""
+    return {w for lines in [*TEMPLATES.values(), UNKNOWN] for line in lines for w in _tokens(line)} - COMMON
+
+
+def template_grams(line: str) -> list[str]:
+    """The shingles of a template that hold a rare word; of one of fewer words the whole."""
+    words = _tokens(line)
+    n = min(SHINGLE, len(words))
+    rare = rare_words()
+    return sorted({" ".join(g) for g in zip(*[words[i:] for i in range(n)]) if rare & set(g)})
+
+
+def key_words() -> list[str]:
+    """Words of which every paragraph that confirms a template holds one.
+
+    For each template the words that are in most of its shingles, until those without one are too few to confirm it. Of a word
+    with a hyphen, where a line may break, the longest part.
+    """
+    rare, out = rare_words(), set()
+    for line in [x for lines in TEMPLATES.values() for x in lines]:
+        grams = [set(g.split()) for g in template_grams(line)]
+        left = [g for g in grams if not g & out]
+        while len(left) >= CONFIRM * len(grams):
+            words = sorted({w for g in left for w in g if w in rare}, key=lambda w: (-sum(w in g for g in left), -len(w), w))
+            out.add(words[0])
+            left = [g for g in left if words[0] not in g]
+    return sorted({max(w.split("-"), key=len) for w in out})
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -65,12 +95,12 @@ class Model:
 
 
 def _paragraphs(rng: random.Random, n: int) -> list[tuple[str, str]]:
-    """Paragraphs by rule: a template or unrelated line, some words lost, with words before and after it."""
-    out = []
+    """Paragraphs by rule: a template or unrelated line, some words lost, with words before and after it; and rare words put in singly."""
+    out, rare = [], sorted(rare_words())
     for _ in range(n):
-        family = rng.choice([*TEMPLATES, OTHER, OTHER])
-        words = _tokens(rng.choice(TEMPLATES.get(family, UNKNOWN)))
-        if rng.random() < 0.5:
+        family = rng.choice([*TEMPLATES, OTHER, OTHER, NONE, NONE, NONE])
+        words = rng.sample(rare, rng.randint(0, 2)) if family == NONE else _tokens(rng.choice(TEMPLATES.get(family, UNKNOWN)))
+        if family != NONE and rng.random() < 0.5:
             words = [w for w in words if rng.random() > 0.1]
         fill = lambda: [rng.choice(FILL) if rng.random() < 0.3 else "".join(rng.choices("aeionrstlhd", k=rng.randint(2, 9))) for _ in range(rng.choice((0, 0, 0, 5, 20)))]
         out.append((" ".join(fill() + words + fill()), family))
@@ -82,10 +112,12 @@ def fit(seed: int = 0, rounds: int = 200) -> Model:
     rng = random.Random(seed)
     data, back = _paragraphs(rng, 3000), _paragraphs(rng, 800)
     known = [*TEMPLATES.values(), UNKNOWN]
-    rare = {w for lines in known for line in lines for w in _tokens(line)} - COMMON
-    vocabulary = sorted({g for lines in known for line in lines for g in _grams(_tokens(line)) if rare & set(g.split())})[:MAX_GRAMS]
+    rare = rare_words()
+    vocabulary = sorted({g for lines in known for line in lines for g in _grams(_tokens(line)) if rare & set(g.split())})
+    if len(vocabulary) > MAX_GRAMS:
+        raise ValueError(f"templates make {len(vocabulary)} n-grams, more than {MAX_GRAMS}")
     at = {g: k for k, g in enumerate(vocabulary)}
-    classes = [*TEMPLATES, OTHER]
+    classes = [*TEMPLATES, OTHER, NONE]
 
     def matrix(rows):
         x = np.zeros((len(rows), len(vocabulary) + 1))
@@ -145,7 +177,7 @@ def _choose(units: Column) -> Column:
 
 
 def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that holds a stem and a word n-gram of the model: doc_id, paragraph (its first line, from 0), family, probability, template_score, confirmed.
+    """One row per paragraph that holds a key word or stem and a word n-gram of the model, and that the model doesn't give to ``none``: doc_id, paragraph (its first line, from 0), family, probability, template_score, confirmed.
 
     Notices wrapped over lines are one confirmed paragraph; what no confirmed paragraph holds is a row per line.
     A paragraph that the model gives to a family no template of which it holds counts as ``unknown`` and is not confirmed.
@@ -155,16 +187,18 @@ def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def about(text: Column) -> Column:
         low = F.lower(text)
-        out = F.contains(low, F.lit(STEMS[0]))
-        for stem in STEMS[1:]:
-            out = out | F.contains(low, F.lit(stem))
+        out = F.lit(False)
+        for part in words_to_find:
+            out = out | F.contains(low, F.lit(part))
         return out
 
-    # A document's lines are looked at only if it holds a stem, one that a line break divides among them; so are lines in a row.
-    held = own.filter(about(F.col("text")) | F.rlike(F.col("text"), F.lit("(?i)public[^a-z0-9]+domain"))).select("doc_id", F.xxhash64("text").alias("text_id"), F.split("text", "\n").alias("lines"))
+    words_to_find = sorted({*STEMS, *key_words()}, key=len, reverse=True)
+    words_to_find = [w for w in words_to_find if not any(v != w and v in w for v in words_to_find)]
+    # A document's lines are looked at only if it holds a key word or stem; so are lines in a row.
+    held = own.filter(about(F.col("text"))).select("doc_id", F.xxhash64("text").alias("text_id"), F.split("text", "\n").alias("lines"))
     # Of a line its words with one space between and a hyphen at its end if it has one, their number, and whether a stem can begin in it.
     words = lambda x: F.concat(F.array_join(_words(x), " "), F.when(F.rlike(x, F.lit(r"[A-Za-z0-9]-\s*$")), "-").otherwise(""))
-    facts = lambda t: F.struct(t.alias("t"), F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).alias("n"), (about(t) | F.endswith(t, F.lit("public"))).alias("b"))
+    facts = lambda t: F.struct(t.alias("t"), F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).alias("n"), about(t).alias("b"))
     held = held.select("doc_id", "text_id", F.explode(F.array(F.transform(F.transform("lines", words), facts))).alias("lines"))
     starts = held.select("doc_id", "text_id", F.posexplode(F.transform("lines", lambda _, i: F.slice("lines", i + 1, INNER + 2))).alias("paragraph", "near"))
     starts = starts.filter((F.col("near")[0]["n"] > 0) & F.exists("near", lambda x: x["b"]))
@@ -194,19 +228,21 @@ def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     scored = scored.select(*place, "words_id", "held", best.alias("family"), (1 / total).alias("probability"))
 
     def holding(family: str) -> Column:
+        """Shingles held of the template that is confirmed by most, and the part of it; without a confirmed one 0 and the greatest part."""
         best_of = []
         for line in TEMPLATES[family]:
-            grams = sorted(g for g in {" ".join(w) for w in zip(*[_tokens(line)[i:] for i in range(SHINGLE)])} if g in model.weights)
-            best_of.append(F.size(F.array_intersect("held", F.array(*[F.lit(g) for g in grams]))) / F.lit(float(len(grams))) if grams else F.lit(0.0))
-        return F.greatest(*best_of, F.lit(0.0)) if best_of else F.lit(0.0)
+            grams = template_grams(line)
+            n = F.size(F.array_intersect("held", F.array(*[F.lit(g) for g in grams])))
+            best_of.append(F.struct(F.when(n >= CONFIRM * len(grams), n).otherwise(0).alias("hits"), (n / F.lit(float(len(grams)))).alias("score")))
+        return F.array_max(F.array(*best_of))
 
-    template = F.lit(0.0)
+    template = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("score"))
     for family in TEMPLATES:
         template = F.when(F.col("family") == family, holding(family)).otherwise(template)
-    scored = scored.withColumn("template_score", template)
-    scored = scored.withColumn("confirmed", F.col("template_score") >= CONFIRM).filter("confirmed OR last = paragraph")
+    scored = scored.filter(F.col("family") != NONE).withColumn("t", template).select("*", F.col("t.hits").alias("hits"), F.col("t.score").alias("template_score"))
+    scored = scored.withColumn("confirmed", F.col("hits") > 0).filter("confirmed OR last = paragraph")
     # In the order of choice.
-    unit = F.struct((-F.col("template_score")).alias("rank"), (F.col("last") - F.col("paragraph")).alias("more"), (-F.col("probability")).alias("p"), "paragraph", "last", "words_id", "family", "probability", "template_score", "confirmed")
+    unit = F.struct((-F.col("hits")).alias("rank"), (F.col("last") - F.col("paragraph")).alias("more"), (-F.col("probability")).alias("p"), "paragraph", "last", "words_id", "family", "probability", "template_score", "confirmed")
     chosen = scored.groupBy("doc_id", "text_id").agg(F.collect_list(unit).alias("units")).select("doc_id", F.explode(_choose(F.col("units"))).alias("u")).select("doc_id", "u.*")
     # Rows with one id may repeat a paragraph in texts that differ.
     chosen = chosen.dropDuplicates(["doc_id", "paragraph", "last", "words_id"])
@@ -216,7 +252,7 @@ def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def scan_licences(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id of ``docs``: doc_id, n_paragraphs, n_licence (confirmed), n_unknown, families (sorted, comma-separated), family (of the likeliest confirmed paragraph, else ``unknown`` or ``none``), probability, template_score.
 
-    A null or empty text has 0 or 1 paragraphs and no licence. Rows that repeat an id are one row, their paragraphs are counted together; a paragraph
+    A null or empty text has 0 or 1 paragraphs and no licence; a text of any length is read whole. Rows that repeat an id are one row, their paragraphs are counted together; a paragraph
     that repeats at the same line of rows with one id counts once. Rows without an id are one row with a null id. Other columns are ignored, whatever
     their names; an empty table gives an empty result.
     """

@@ -201,9 +201,79 @@ def test_wrapped_licences(spark):
     assert got[100].families == ""
 
 
-def test_templates_hold_a_stem():
-    for line in [x for v in licences.TEMPLATES.values() for x in v] + licences.UNKNOWN:
-        assert any(s in line for s in licences.STEMS) or "cc by" in line or "gpl" in line, line
+def test_no_confirmable_paragraph_lacks_a_key():
+    """Whatever part of a template's shingles confirms it, one of them holds a key word."""
+    keys = licences.key_words()
+    for line in [x for v in licences.TEMPLATES.values() for x in v]:
+        grams = licences.template_grams(line)
+        bare = [g for g in grams if not any(k in g for k in keys)]
+        assert grams and len(bare) < licences.CONFIRM * len(grams), line
+
+
+def test_short_notices(spark):
+    want = {"Released under the GPL version 2.": "GPL", "CC BY 4.0": "CC-BY", "MIT License": "MIT", "Text: CC BY-SA 4.0.": "CC-BY-SA", "BSD 3-Clause License, released under the BSD 3-Clause license": "BSD", "a public account of the person": "none", "this copy of the source": "none"}
+    got = {r.doc_id: r.family for r in licences.scan_licences(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def plain_scan(text, model):
+    """(first line, family, probability, template score, confirmed) of the paragraphs of a text, from the definition."""
+    find = [*licences.STEMS, *licences.key_words()]
+    lines = (text or "").split("\n")
+    found = []
+    for i in range(len(lines)):
+        inner = 0
+        for j in range(i, len(lines)):
+            if not licences._tokens(lines[j]) or j > i and (inner > licences.INNER or j - i > licences.INNER + 1):
+                break
+            if j > i:
+                inner += len(licences._tokens(lines[j]))
+            words = [licences._tokens(x) for x in lines[i : j + 1]]
+            broken = [bool(re.search(r"[A-Za-z0-9]-\s*$", x)) for x in lines[i : j + 1]]
+            if j > i:
+                words[0], words[-1] = words[0][-licences.INNER :], words[-1][: licences.INNER]
+            # A word that a line breaks after its hyphen goes on in the next.
+            words = "".join(" ".join(w) + ("-" if b else " ") for w, b in zip(words, broken)).rstrip(" -").split()
+            if not any(k in " ".join(words) for k in find):
+                continue
+            grams = licences._grams(words) & set(model.weights)
+            if not grams:
+                continue
+            z = np.array(model.bias) + sum(np.array(model.weights[g]) for g in grams)
+            z = z / model.temperature
+            p = np.exp(z - z.max())
+            family = model.classes[int(z.argmax())]
+            hits, score = 0, 0.0
+            if family in licences.TEMPLATES:
+                of = [(len(set(t) & grams), len(t)) for t in map(licences.template_grams, licences.TEMPLATES[family])]
+                hits, score = max((n if n >= licences.CONFIRM * m else 0, n / m) for n, m in of)
+            if family != "none" and (hits or i == j):
+                found.append((hits, j - i, -p.max() / p.sum(), i, j, family, score))
+    taken = []
+    for u in sorted((u for u in found if u[0]), key=lambda u: (-u[0], *u[1:5])):
+        if not any(t[3] <= u[4] and u[3] <= t[4] for t in taken):
+            taken.append(u)
+    taken += [u for u in found if not u[0] and not any(t[3] <= u[4] and u[3] <= t[4] for t in taken)]
+    return sorted((u[3], u[5] if u[0] else "unknown", round(-u[2], 6), round(u[6], 6), u[0] > 0) for u in taken)
+
+
+def test_paragraphs_by_definition(spark):
+    rng, model = random.Random(3), licences.fit()
+    every = [x for v in licences.TEMPLATES.values() for x in v] + licences.UNKNOWN
+    prose = lambda: " ".join(rng.choice([*licences.FILL, "person", "house", "river", "public"]) for _ in range(rng.randint(1, 14)))
+    docs = []
+    for i in range(120):
+        parts = [prose() for _ in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(0, 2)):
+            words = [w for w in rng.choice(every).title().split() if rng.random() > 0.08]
+            parts.insert(rng.randint(0, len(parts)), "\n".join(textwrap.wrap(" ".join(words), rng.choice((15, 30, 400)))) + rng.choice((".", "", "\n")))
+        docs.append((i, "\n".join(parts)))
+    got: dict = {}
+    for r in licences.scan_paragraphs(spark.createDataFrame(docs, "doc_id long, text string"), model).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.family, round(r.probability, 6), round(r.template_score, 6), r.confirmed))
+    assert sum(r[4] for rows in got.values() for r in rows) > 60
+    for i, text in docs:
+        assert sorted(got.get(i, [])) == plain_scan(text, model), text
 
 
 # Token counts
