@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: Sources whose statistics are broadcast at most; beyond, they are joined by a salted shuffle.
 BROADCAST_SOURCES = 100_000
 SALTS = 64
@@ -53,6 +55,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     listed = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,double>")
     size = F.coalesce(F.length(F.col(text_col)), F.lit(0)) + 1
     stats = docs.groupBy(F.col(source_col).cast("string").alias("mix_source")).agg(F.count("*").alias("source_docs"), F.sum(size).alias("source_chars"))
+    # One row a source, read again below: the table itself is scanned once for it.
+    stats = Scratch(docs.sparkSession, "mixing").save(stats)
     stats = stats.withColumn("weight", F.coalesce(F.try_element_at(listed, F.coalesce("mix_source", F.lit(""))), F.lit(float(default_weight))))
     # Totals are one row.
     total = stats.agg(F.sum("source_chars"), F.sum("weight")).first()
@@ -65,14 +69,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: floa
 
     The count is a function of seed, id and the rate of the source alone, so a lost task gives the same copies again; rows with the same id
     (repeats) have the same count. Rows go to partitions by the size of mix_key, a hash of seed, id and copy, and are sorted by it
-    within each: files in order are a random order of the corpus, whatever the source. A null id, text or source is a value like others; an empty
+    within each: files in order are a random order of the corpus, whatever the source. A row without an id goes by its text; a null text or source is a value like others; an empty
     table gives an empty result. Columns of ``docs`` named mix_copy, mix_copies or mix_key are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_copy", "mix_copies", "mix_key")
     rates = source_rates(docs, weights, default_weight, epochs, source_col, text_col)
     sizes = rates.agg(F.count("*"), F.coalesce(F.sum("source_chars"), F.lit(0))).first()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("s"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("s"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))).alias("i"))
     if sizes[0] <= BROADCAST_SOURCES:
         joined = row.join(F.broadcast(rates.select("mix_source", "rate")), F.expr("s <=> mix_source"))
     else:

@@ -427,6 +427,12 @@ def test_mix_shares_and_edges(spark, monkeypatch):
     assert mixing.mix_sources(edge(spark, 0), {"src": 2.0}).count() == 0
 
 
+def test_rows_without_an_id_are_mixed_by_text(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "a") for i in range(200)] + [(1, None, None), (2, "x", None)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs, {}, epochs=8.0).collect()
+    assert len({r.mix_key for r in out}) == len(out) and len({r.mix_copies for r in out}) > 5
+
+
 # Fingerprints
 
 
