@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-STRATEGIES = ("fixed", "heading", "toc", "hybrid")
+# Names of strategies and formats. ``grouping.register`` adds strategies.
+STRATEGIES = ["fixed", "heading", "toc", "hybrid"]
 FORMATS = ("json", "markdown", "summary", "search-index")
 
 
@@ -30,13 +31,47 @@ class Grouping:
             _bounds(name, getattr(self, name), 1)
 
 
+@dataclass(frozen=True)
+class Parsing:
+    """What lines are told apart, and patterns of headings that replace the built-in ones."""
+
+    headings: bool = True
+    lists: bool = True
+    tables: bool = True
+    patterns: tuple[str, ...] = ()
+
+
+# The prompt of an extraction, and what may be done with a model's reply.
+EXTRACTION_PROMPT = "Extract structured information from this document section."
+MODES = ("model", "enhance")
+
+
 @dataclass(frozen=True)
 class Extraction:
+    """``mode``, where a model is called: its reply is the result (model), or goes over what the patterns found (enhance)."""
+
     entities: bool = True
     sections: bool = True
     tables: bool = True
     summary: bool = True
-    prompt: str = "Extract structured information from this document section."
+    prompt: str = EXTRACTION_PROMPT
+    schema: str | None = None
+    mode: str = "model"
+
+    def __post_init__(self):
+        if self.mode not in MODES:
+            raise ValueError(f"unknown mode: {self.mode}")
+
+
+@dataclass(frozen=True)
+class Merging:
+    deduplicate: bool = True
+    merge_sections: bool = True
+    summary_limit: int = 1000
+    sort_entities: bool = True
+
+    def __post_init__(self):
+        _bounds("summary_limit", self.summary_limit, 1)
 
 
 @dataclass(frozen=True)
@@ -67,8 +102,10 @@ class Execution:
 
 @dataclass(frozen=True)
 class Settings:
+    parsing: Parsing = field(default_factory=Parsing)
     grouping: Grouping = field(default_factory=Grouping)
     extraction: Extraction = field(default_factory=Extraction)
+    merging: Merging = field(default_factory=Merging)
     output: Output = field(default_factory=Output)
     execution: Execution = field(default_factory=Execution)
 

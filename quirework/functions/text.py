@@ -35,6 +35,31 @@ ENTITY_PATTERNS = [
 ]
 
 
+#: What joins the pages of a group, and stands for a summary where there is none (fixed values).
+PAGE_BREAK = "\n\n--- Page Break ---\n\n"
+NO_CONTENT, NO_SUMMARY = "No content available for summary.", "No summary available."
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def first_of_each(values: Column, same) -> Column:
+    """Of a sorted array the first element of each run; ``same`` compares two neighbours."""
+    return let(values, lambda v: F.filter(v, lambda x, i: (i == 0) | ~same(x, F.get(v, i - 1))))
+
+
+def runs(values: Column, n: Column, starts: Column, f) -> Column:
+    """``f`` of each slice of an array of ``n`` from one of ``starts`` (from 0) to before the next."""
+    return F.transform(starts, lambda a, k: f(F.slice(values, a + 1, F.coalesce(F.get(starts, k + 1), n) - a)))
+
+
+def places(n: Column, keep) -> Column:
+    """Those of 0, 1, ..., n - 1 that ``keep`` holds for."""
+    return F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), keep)
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 

@@ -1,36 +1,60 @@
 """Entities, sections, tables and summaries of page groups.
 
-Entities and tables are found within a page's row by array functions; only what is found is exploded.
+A group's pages are gathered in one row, and everything is found there by array functions: one exchange for all parts, whatever a
+group holds. The same functions serve single pages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text as T
+from ..functions.config import Extraction, Parsing
+from . import parse
+
+#: Types of what is extracted from a group, by patterns or by a model.
+ENTITIES = "array<struct<type:string,name:string,value:string,confidence:double>>"
+SECTIONS = "array<struct<heading:string,content:string,level:int>>"
+TABLES = "array<struct<headers:array<string>,rows:array<array<string>>,caption:string,page_no:int>>"
+
+# Plain tests that a text with a match passes: most texts have none, and a test costs far less than a pattern with look-around.
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def _any_of(text: Column, parts: Sequence[str]) -> Column:
+    out = F.contains(text, F.lit(parts[0]))
+    for part in parts[1:]:
+        out = out | F.contains(text, F.lit(part))
+    return out
 
-PAGE_BREAK = "\n\n--- Page Break ---\n\n"
 
+def _possible(text: Column, kind: str, k: int) -> Column:
+    if kind == "date":
+        return _any_of(F.lower(text), _MONTHS) if k == 2 else _any_of(text, ("-", "/"))
+    return _any_of(text, {"money": ("$", "USD", "EUR", "GBP"), "email": ("@",), "url": ("://",), "percentage": ("%",)}[kind])
 
-def entity_array(text: Column) -> Column:
-    """All entities of a text in order of emission: array of (ord, type, name, value, confidence)."""
+
+def entity_array(text: Column, kinds: Sequence[str] | None = None) -> Column:
+    """Entities of a text, of some kinds or all, in order of emission: array of (ord, type, name, value, confidence)."""
 
     def matches(k: int, kind: str, confidence: float, pattern: str) -> Column:
         def entity(name: Column, i: Column) -> Column:
             place = F.struct(F.lit(k).alias("pattern"), i.alias("match"))
             return F.struct(place.alias("ord"), F.lit(kind).alias("type"), name.alias("name"), F.lit(None).cast("string").alias("value"), F.lit(confidence).alias("confidence"))
 
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), entity)
+        found = F.when(_possible(text, kind, k), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, entity)
 
-    parts = [matches(k, *p) for k, p in enumerate(T.ENTITY_PATTERNS)]
-    return F.concat(*parts)
+    return F.concat(*[matches(k, *p) for k, p in enumerate(T.ENTITY_PATTERNS) if kinds is None or p[0] in kinds])
 
 
-def page_entities(pages: DataFrame) -> DataFrame:
+def page_entities(pages: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
     """doc_id, page_no, ord, type, name, value, confidence: all matches, before any is dropped."""
-    return pages.select("doc_id", "page_no", F.explode(entity_array(F.coalesce("text", F.lit("")))).alias("e")).select("doc_id", "page_no", "e.*")
+    return pages.select("doc_id", "page_no", F.explode(entity_array(F.coalesce("text", F.lit("")), kinds)).alias("e")).select("doc_id", "page_no", "e.*")
 
 
 def first_entities(entities: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -40,7 +64,19 @@ def first_entities(entities: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> Da
     """
     keys = [*by, "type", "name"]
     order = F.struct(F.col("ord.pattern").alias("pattern"), F.col("page_no"), F.col("ord.match").alias("match"))
-    return entities.groupBy(*keys).agg(F.min(order).alias("ord"), F.min_by("value", order).alias("value"), F.min_by("confidence", order).alias("confidence"))
+    return entities.groupBy(*keys).agg(F.min(F.struct(order.alias("ord"), "value", "confidence")).alias("m")).select(*keys, "m.*")
+
+
+def group_entities(pages: Column) -> Column:
+    """As ``first_entities``, of an array of pages (page_no, text), in their order.
+
+    Across a page break no pattern matches, as none spans dashes and line breaks; so pages are read one by one.
+    """
+    place = lambda e, p: F.struct(e["ord"]["pattern"].alias("pattern"), p["page_no"].alias("page_no"), e["ord"]["match"].alias("match"))
+    every = F.flatten(F.transform(pages, lambda p: F.transform(entity_array(p["text"]), lambda e: F.struct(e["type"].alias("type"), e["name"].alias("name"), place(e, p).alias("ord"), e["confidence"].alias("confidence")))))
+    first = T.first_of_each(F.array_sort(every), lambda a, b: (a["type"] == b["type"]) & (a["name"] == b["name"]))
+    ordered = F.array_sort(F.transform(first, lambda e: F.struct(e["ord"].alias("ord"), e["type"].alias("type"), e["name"].alias("name"), e["confidence"].alias("confidence"))))
+    return F.transform(ordered, lambda e: F.struct(e["type"].alias("type"), e["name"].alias("name"), F.lit(None).cast("string").alias("value"), e["confidence"].alias("confidence")))
 
 
 def sections(elements: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -53,6 +89,22 @@ def sections(elements: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFram
     return out.select(*by, F.col("section_no").cast("int").alias("section_no"), "heading", "level", T.trim(F.array_join(F.transform("body", lambda x: x["text"]), "\n")).alias("content"))
 
 
+def group_sections(pages: Column, parsing: Parsing = Parsing()) -> Column:
+    """As ``sections``, of an array of pages: array of (heading, content, level)."""
+    every = F.flatten(F.transform(pages, lambda p: element_array(p["text"], parsing)))
+
+    def section(part: Column) -> Column:
+        head, body = F.get(part, F.lit(0)), F.filter(part, lambda e: e["type"] == "text")
+        return F.struct(head["text"].alias("heading"), T.trim(F.array_join(F.transform(body, lambda e: e["text"]), "\n")).alias("content"), head["level"].alias("level"))
+
+    of = lambda e: T.let(T.places(F.size(e), lambda i: F.get(e, i)["type"] == "heading"), lambda heads: T.runs(e, F.size(e), heads, section))
+    return T.let(every, of)
+
+
+def element_array(text: Column, parsing: Parsing) -> Column:
+    return parse.element_array(text, parsing.headings, parsing.lists, parsing.patterns)
+
+
 def table_row(line: Column) -> Column:
     """Cells of a trimmed line: by tabs, else bars, else runs of two and more spaces; empty cells go."""
     cells = lambda pattern: F.filter(F.transform(F.split(line, pattern), T.trim), lambda c: c != "")
@@ -60,62 +112,106 @@ def table_row(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("\t")), cells("\t")).when(F.contains(line, F.lit("|")), cells(r"\|")).when(line.rlike(wide), cells(wide)).otherwise(F.array().cast("array<string>"))
 
 
-def page_tables(lines: DataFrame) -> DataFrame:
-    """doc_id, page_no, table_no (from 0), headers, rows from the lines of pages.
+def table_array(text: Column) -> Column:
+    """Tables of one page's text: array of (headers, rows).
 
-    Within a page, a blank line or another number of cells begins a new run of rows; lines of fewer than two cells
+    A blank line or another number of cells begins a new run of rows; lines of fewer than two cells
     are passed over. A run of two rows and more is a table.
     """
-    order = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
-    cells = lines.select("doc_id", "page_no", "line_no", (F.col("text") == "").alias("blank"), table_row(F.col("text")).alias("cells"))
-    blocks = cells.withColumn("block", F.sum(F.col("blank").cast("int")).over(order)).filter(F.size("cells") >= 2).withColumn("width", F.size("cells"))
-    within = Window.partitionBy("doc_id", "page_no", "block").orderBy("line_no")
-    new = F.coalesce(F.lag("width").over(within) != F.col("width"), F.lit(True))
-    runs = blocks.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    out = runs.groupBy("doc_id", "page_no", "run").agg(F.array_sort(F.collect_list(F.struct("line_no", "cells"))).alias("r")).filter(F.size("r") >= 2)
-    number = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("run")) - 1
-    all_rows = F.transform("r", lambda x: x["cells"])
-    return out.select("doc_id", "page_no", number.alias("table_no"), F.element_at(all_rows, 1).alias("headers"), F.slice(all_rows, F.lit(2), F.size(all_rows)).alias("rows"))
+    rows = F.transform(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), T.trim), lambda x: F.struct((x == "").alias("blank"), table_row(x).alias("cells")))
+
+    def of_rows(r: Column) -> Column:
+        width = lambda i: F.size(F.get(r, i)["cells"])
+
+        def of_filled(k: Column) -> Column:
+            apart = lambda a, b: (width(a) != width(b)) | F.exists(F.slice(r, a + 2, b - a - 1), lambda x: x["blank"])
+            starts = T.places(F.size(k), lambda n: (n == 0) | apart(F.get(k, n - 1), F.get(k, n)))
+            return T.let(starts, lambda s: T.runs(k, F.size(k), s, lambda part: F.transform(part, lambda i: F.get(r, i)["cells"])))
+
+        return T.let(T.places(F.size(r), lambda i: width(i) >= 2), of_filled)
+
+    found = F.filter(T.let(rows, of_rows), lambda t: F.size(t) >= 2)
+    return F.transform(found, lambda t: F.struct(F.get(t, F.lit(0)).alias("headers"), F.slice(t, F.lit(2), F.size(t)).alias("rows")))
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, table_no (from 0), headers, rows: found in each page's row."""
+    return pages.select("doc_id", "page_no", F.posexplode(table_array(F.col("text"))).alias("table_no", "t")).select("doc_id", "page_no", "table_no", "t.headers", "t.rows")
+
+
+def group_tables(pages: Column) -> Column:
+    found = lambda p: F.transform(table_array(p["text"]), lambda t: F.struct(t["headers"].alias("headers"), t["rows"].alias("rows"), F.lit(None).cast("string").alias("caption"), p["page_no"].cast("int").alias("page_no")))
+    return F.flatten(F.transform(pages, found))
 
 
 def summary(content: Column) -> Column:
     """The first three sentences of more than 20 characters, 500 characters at most."""
     flat = F.regexp_replace(content, r"\n+", " ")
     sentences = F.filter(F.transform(F.split(flat, r"[.!?]+"), T.trim), lambda s: F.length(s) > 20)
-    first = F.array_join(F.slice(sentences, 1, 3), ". ")
-    cut = F.when(F.length(first) > 500, F.concat(F.substring(first, 1, 500), F.lit("..."))).otherwise(F.concat(first, F.lit(".")))
-    return F.when(F.size(sentences) == 0, "No content available for summary.").otherwise(cut)
 
+    def cut(found: Column) -> Column:
+        first = F.array_join(F.slice(found, 1, 3), ". ")
+        short = F.when(F.length(first) > 500, F.concat(F.substring(first, 1, 500), F.lit("..."))).otherwise(F.concat(first, F.lit(".")))
+        return F.when(F.size(found) == 0, T.NO_CONTENT).otherwise(short)
+
+    return T.let(sentences, cut)
+
+
+def joined(pages: Column, separator: str = T.PAGE_BREAK, numbered: bool = False) -> Column:
+    """The texts of an array of pages as one, each under its number if ``numbered``."""
+    part = lambda p: F.concat(F.lit("--- Page "), p["page_no"], F.lit(" ---\n"), p["text"]) if numbered else p["text"]
+    return F.array_join(F.transform(pages, part), separator)
 
-def join_pages(pages: DataFrame, by: tuple[str, ...], separator: str = PAGE_BREAK, numbered: bool = False) -> DataFrame:
+
+def join_pages(pages: DataFrame, by: tuple[str, ...], separator: str = T.PAGE_BREAK, numbered: bool = False) -> DataFrame:
     """by, content: the texts of the pages of a group in order."""
-    part = F.concat(F.lit("--- Page "), "page_no", F.lit(" ---\n"), "text") if numbered else F.col("text")
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", part.alias("part"))))
-    return pages.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), separator).alias("content"))
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    return pages.groupBy(*by).agg(joined(ordered, separator, numbered).alias("content"))
+
+
+def group_rows(groups: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each group (all columns) with ``pages``: an ordered array of its pages (page_no, text), empty for an empty group.
+
+    A group meets its pages by document and page number, so nothing is compared that doesn't belong together, and a
+    document's pages spread over tasks if it has many.
+    """
+    own = groups.select(F.struct(*[F.col(f"`{c}`") for c in groups.columns]).alias("g"), "doc_id", "group_ord", F.explode_outer(F.when(F.col("end_page") >= F.col("start_page"), F.sequence("start_page", "end_page"))).alias("page_no"))
+    met = own.join(pages.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text")), ["doc_id", "page_no"], "left")
+    part = F.when(F.col("text").isNotNull(), F.struct("page_no", "text"))
+    return met.groupBy("doc_id", "group_ord").agg(F.any_value("g").alias("g"), F.array_sort(F.collect_list(part)).alias("pages")).select("g.*", "pages")
+
+
+def stamp(now: str | None) -> Column:
+    """``now``, or the time in UTC, as text."""
+    return F.lit(now) if now else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def outcome(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds what every result has, however it came about: agent_id, extracted_by, llm_enhanced, success, error, duration_ms, tokens_used."""
+    kinds = {"agent_id": "string", "extracted_by": "string", "llm_enhanced": "boolean", "success": "boolean", "error": "string", "duration_ms": "long", "tokens_used": "long"}
+    base = {"agent_id": F.concat(F.lit("agent-"), "group_id"), "success": F.lit(True), "duration_ms": F.lit(0), "tokens_used": F.lit(0)}
+    return df.withColumns({name: columns.get(name, base.get(name, F.lit(None))).cast(kind) for name, kind in kinds.items()})
 
 
-def group_results(groups: DataFrame, pages: DataFrame, elements: DataFrame, lines: DataFrame, entities: bool = True, sections_: bool = True, tables: bool = True, summaries: bool = True) -> DataFrame:
-    """One row per group: doc_id, group_ord, group_id, title, success, summary, raw_content, entities, sections, tables, metadata.
+def extracted(rows: DataFrame, extraction: Extraction = Extraction(), parsing: Parsing = Parsing(), now: str | None = None) -> DataFrame:
+    """Results of ``group_rows`` by patterns: all group columns, raw_content, summary, entities, sections, tables, extracted_at, and those of ``outcome``.
 
-    Parts that are turned off are empty. All parts meet by document and group, so they share an exchange.
+    Parts that are turned off are empty, a summary that is turned off is null.
     """
-    from .grouping import group_pages
-
-    by = ("doc_id", "group_ord")
-    own = group_pages(groups, pages)
-    place = groups.select("doc_id", "group_ord", "start_page", "end_page")
-    inside = F.col("page_no").between(F.col("start_page"), F.col("end_page"))
-    out = groups.select("doc_id", "group_ord", "group_id", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Pages "), "start_page", F.lit("-"), "end_page")).alias("title"), "start_page", "end_page", "page_count")
-    content = join_pages(own, by)
-    out = out.join(content.select(*by, F.col("content").alias("raw_content"), (summary(F.col("content")) if summaries else F.lit(None).cast("string")).alias("summary")), list(by), "left")
-    if entities:
-        # Across a page break no pattern matches, as none spans dashes and line breaks; so pages are read one by one.
-        found = first_entities(page_entities(own.select("doc_id", "page_no", "text", "group_ord")).join(place, "doc_id").filter(inside), by)
-        out = out.join(found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", "type", "name", "value", "confidence"))).alias("entities")), list(by), "left")
-    if sections_:
-        found = sections(elements.join(place, "doc_id").filter(inside), by)
-        out = out.join(found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("section_no", "heading", "content", "level"))).alias("sections")), list(by), "left")
-    if tables:
-        found = page_tables(lines).join(place, "doc_id").filter(inside)
-        out = out.join(found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page_no", "table_no", "headers", "rows"))).alias("tables")), list(by), "left")
-    return out.withColumn("success", F.lit(True))
+    none = lambda kind: F.array().cast(kind)
+    own = rows.withColumn("raw_content", joined(F.col("pages")))
+    own = own.withColumns(
+        {
+            "summary": summary(F.col("raw_content")) if extraction.summary else F.lit(None).cast("string"),
+            "entities": (group_entities(F.col("pages")) if extraction.entities else none(ENTITIES)).cast(ENTITIES),
+            "sections": (group_sections(F.col("pages"), parsing) if extraction.sections else none(SECTIONS)).cast(SECTIONS),
+            "tables": (group_tables(F.col("pages")) if extraction.tables and parsing.tables else none(TABLES)).cast(TABLES),
+            "extracted_at": stamp(now),
+        }
+    )
+    return outcome(own.drop("pages"))
+
+
+def group_results(groups: DataFrame, pages: DataFrame, extraction: Extraction = Extraction(), parsing: Parsing = Parsing(), now: str | None = None) -> DataFrame:
+    """One result per group, by patterns; see ``extracted``."""
+    return extracted(group_rows(groups, pages), extraction, parsing, now)

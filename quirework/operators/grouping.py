@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import config
 from ..functions.config import Grouping
 from . import parse
 
@@ -102,28 +103,44 @@ def hybrid_groups(pages: DataFrame, elements: DataFrame, toc: DataFrame, groupin
     return toc_groups(pages, elements, toc, grouping)
 
 
-def clamp_groups(groups: DataFrame, pages: DataFrame, kind: str) -> DataFrame:
-    """Groups that a model named (doc_id, group_ord, title, start_page, end_page), kept within the document."""
+def clamp_groups(groups: DataFrame, pages: DataFrame) -> DataFrame:
+    """Groups that a model named (doc_id, group_ord, id, type, title, start_page, end_page), kept within the document.
+
+    A group keeps the id that the model gave, or has one made as other groups' ids are.
+    """
     inside = groups.join(page_counts(pages), "doc_id").withColumn("start_page", F.greatest("start_page", F.lit(1))).withColumn("end_page", F.least("end_page", "n"))
-    return _finish(inside.withColumn("page_count", F.greatest(F.col("end_page") - F.col("start_page") + 1, F.lit(0))).withColumn("level", F.lit(None)), kind)
+    inside = inside.withColumns({"page_count": F.greatest(F.col("end_page") - F.col("start_page") + 1, F.lit(0)), "level": F.lit(None), "group_id": F.coalesce(F.nullif("id", F.lit("")), group_id(F.col("type")))})
+    ints = ("group_ord", "start_page", "end_page", "page_count", "level")
+    return inside.withColumns({c: F.col(c).cast("int") for c in ints}).select(COLUMNS)
 
 
+#: Groups from pages, elements, table of contents and settings.
 Grouper = Callable[[DataFrame, DataFrame, DataFrame, Grouping], DataFrame]
 
+_HANDLERS: dict[str, Grouper] = {
+    "heading": lambda pages, elements, toc, g: heading_groups(pages, elements, g),
+    "toc": toc_groups,
+    "hybrid": hybrid_groups,
+    "fixed": lambda pages, elements, toc, g: fixed_groups(pages, g.pages_per_group),
+}
+
+
+def register(strategy: str, handler: Grouper) -> None:
+    """Adds a strategy of one's own, or replaces one; settings may name it from then on."""
+    _HANDLERS[strategy] = handler
+    if strategy not in config.STRATEGIES:
+        config.STRATEGIES.append(strategy)
+
 
 def grouper(strategy: str) -> Grouper:
-    """Handler of a strategy; an unknown one is fixed."""
-    return {
-        "heading": lambda pages, elements, toc, g: heading_groups(pages, elements, g),
-        "toc": toc_groups,
-        "hybrid": hybrid_groups,
-    }.get(strategy, lambda pages, elements, toc, g: fixed_groups(pages, g.pages_per_group))
+    """Handler of a strategy; an unknown one is fixed. Where a model groups, ``model.group_documents`` is the handler of all but fixed."""
+    return _HANDLERS.get(strategy, _HANDLERS["fixed"])
 
 
 def group_pages(groups: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of each group, a join on the document with the page range as its condition."""
-    g = groups.select("doc_id", "group_ord", "group_id", "start_page", "end_page")
-    return g.join(pages, "doc_id").filter(F.col("page_no").between(F.col("start_page"), F.col("end_page"))).drop("start_page", "end_page")
+    """Pages of each group: groups become a row a page, which meet the pages by document and number, so no page is compared with a group that isn't its own."""
+    own = groups.filter("end_page >= start_page").select("doc_id", "group_ord", "group_id", F.explode(F.sequence("start_page", "end_page")).alias("page_no"))
+    return own.join(pages, ["doc_id", "page_no"])
 
 
 def has_headings(elements: DataFrame) -> DataFrame:

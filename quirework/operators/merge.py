@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text as T
-
-NO_SUMMARY = "No summary available."
+from ..functions.config import Merging
 
 
 def succeeded(results: DataFrame) -> DataFrame:
@@ -54,7 +53,7 @@ def _joined(column: str, separator: str) -> Column:
 def combined_summary(results: DataFrame, limit: int = 1000) -> DataFrame:
     """doc_id, summary of the groups in order, cut to ``limit``."""
     own = succeeded(results).groupBy("doc_id").agg(_joined("summary", " ").alias("s"))
-    return own.select("doc_id", F.when(F.col("s") == "", NO_SUMMARY).otherwise(T.truncate_sentence(F.col("s"), limit)).alias("summary"))
+    return own.select("doc_id", F.when(F.col("s") == "", T.NO_SUMMARY).otherwise(T.truncate_sentence(F.col("s"), limit)).alias("summary"))
 
 
 def first_title(results: DataFrame) -> DataFrame:
@@ -66,25 +65,80 @@ def full_content(results: DataFrame) -> DataFrame:
 
 
 def merge_metadata(results: DataFrame) -> DataFrame:
-    """doc_id, total_groups, successful_groups (both over what succeeded), groups."""
-    listed = F.array_sort(F.collect_list(F.struct("group_ord", "group_id")))
-    return succeeded(results).groupBy("doc_id").agg(F.count("*").alias("total_groups"), F.count_if("success").alias("successful_groups"), F.transform(listed, lambda x: x["group_id"]).alias("groups"))
+    """doc_id, total_groups, successful_groups (both over what succeeded), groups (ids), of_groups: metadata of each group."""
+    listed = F.array_sort(F.collect_list(F.struct("group_ord", "group_id", group_metadata().alias("m"))))
+    out = succeeded(results).groupBy("doc_id").agg(F.count("*").alias("total_groups"), F.count_if("success").alias("successful_groups"), listed.alias("l"))
+    return out.select("doc_id", "total_groups", "successful_groups", F.transform("l", lambda x: x["group_id"]).alias("groups"), F.transform("l", lambda x: x["m"]).alias("of_groups"))
+
 
+def group_metadata() -> Column:
+    """What a result says of its group, under the names that outputs have."""
+    return F.struct(F.col("group_id").alias("groupId"), F.col("start_page").alias("startPage"), F.col("end_page").alias("endPage"), F.col("page_count").alias("pageCount"), F.col("extracted_at").alias("extractedAt"), F.col("extracted_by").alias("extractedBy"), F.col("llm_enhanced").alias("llmEnhanced"))
 
-def merged(results: DataFrame, limit: int = 1000) -> DataFrame:
-    """One row per document: title, summary, sections, entities, tables, total_groups, full_content.
 
-    ``results`` as of ``extract.group_results``. Only results that succeeded count.
+def best_array(entities: Column, merging: Merging = Merging(), fold_case: bool = True) -> Column:
+    """As ``best_entities``, of an array of (ord, type, name, value, confidence): array of (rank, type, name, value, confidence).
+
+    Two sorts bring the entities with one type and name together, the surest or the earliest first; no pair is compared. An entity without a
+    confidence is the least sure.
+    """
+    key = lambda e: F.lower(e["name"]) if fold_case else e["name"]
+    rest = lambda e: [e["type"].alias("type"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence")]
+    doubt = lambda e: F.coalesce(-e["confidence"], F.lit(float("inf")))
+    same = lambda a, b: a["type"].eqNullSafe(b["type"]) & a["key"].eqNullSafe(b["key"])
+    if merging.deduplicate:
+        sure = F.array_sort(F.transform(entities, lambda e: F.struct(e["type"].alias("type"), key(e).alias("key"), doubt(e).alias("d"), e["ord"].alias("ord"), F.struct(*rest(e)).alias("e"))))
+        early = F.array_sort(F.transform(entities, lambda e: F.struct(e["type"].alias("type"), key(e).alias("key"), e["ord"].alias("ord"))))
+        kept = F.zip_with(T.first_of_each(sure, same), T.first_of_each(early, same), lambda a, b: F.struct((a["d"] if merging.sort_entities else F.lit(0.0)).alias("d"), b["ord"].alias("ord"), a["e"].alias("e")))
+    else:
+        kept = F.transform(entities, lambda e: F.struct((doubt(e) if merging.sort_entities else F.lit(0.0)).alias("d"), e["ord"].alias("ord"), F.struct(*rest(e)).alias("e")))
+    return F.transform(F.array_sort(kept), lambda x, i: F.struct((i + 1).alias("rank"), *rest(x["e"])))
+
+
+def section_array(sections: Column, merging: Merging = Merging()) -> Column:
+    """As ``merged_sections``, of an array of (ord, heading, level, content): array of (rank, heading, level, content)."""
+    own = lambda s: F.struct(s["level"].alias("level"), F.collate(s["heading"], "UNICODE").alias("h"), s["ord"].alias("ord"), s["heading"].alias("heading"), s["content"].alias("content"))
+    if merging.merge_sections:
+        keyed = F.array_sort(F.transform(sections, lambda s: F.struct(F.lower(s["heading"]).alias("key"), s["ord"].alias("ord"), s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content"))))
+
+        def fold(part: Column) -> Column:
+            first = F.get(part, F.lit(0))
+            content = F.aggregate(F.slice(part, F.lit(2), F.size(part)), first["content"], lambda a, x: T.merge_content(a, x["content"]))
+            return F.struct(first["level"].alias("level"), F.collate(first["heading"], "UNICODE").alias("h"), first["ord"].alias("ord"), first["heading"].alias("heading"), content.alias("content"))
+
+        starts = lambda s: T.places(F.size(s), lambda i: (i == 0) | ~F.get(s, i)["key"].eqNullSafe(F.get(s, i - 1)["key"]))
+        sections = T.let(keyed, lambda s: T.let(starts(s), lambda at: T.runs(s, F.size(s), at, fold)))
+    else:
+        sections = F.transform(sections, own)
+    return F.transform(F.array_sort(sections), lambda s, i: F.struct((i + 1).alias("rank"), s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content")))
+
+
+def merged(results: DataFrame, merging: Merging = Merging(), now: str | None = None) -> DataFrame:
+    """One row per document: title, summary, sections, entities, tables, full_content, total_groups, successful_groups, of_groups, extracted_at.
+
+    ``results`` as of ``extract.group_results``. Only results that succeeded count. A document's results are gathered once and merged in its row.
     """
-    own = succeeded(results)
-    entities = best_entities(own.select("doc_id", "group_ord", F.posexplode("entities").alias("i", "e")).select("doc_id", F.struct("group_ord", "i").alias("ord"), "e.type", "e.name", "e.value", "e.confidence"))
-    sections = merged_sections(own.select("doc_id", "group_ord", F.posexplode("sections").alias("i", "s")).select("doc_id", F.struct("group_ord", "i").alias("ord"), "s.heading", "s.level", "s.content"))
-    tables = own.select("doc_id", "group_ord", F.posexplode("tables").alias("i", "t")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("group_ord", "i", "t.headers", "t.rows", F.lit(None).cast("string").alias("caption"), "t.page_no"))).alias("tables"))
-    pack = lambda df, name, *cols: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", *cols))).alias(name))
-    base = own.groupBy("doc_id").agg(
-        F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("group_ord"))).alias("title"), _joined("summary", " ").alias("s"), _joined("raw_content", "\n\n---\n\n").alias("full_content"), F.count("*").alias("total_groups")
+    from .extract import stamp
+
+    parts = F.struct("group_ord", "title", "summary", "raw_content", "entities", "sections", "tables", group_metadata().alias("m"))
+    own = succeeded(results).groupBy("doc_id").agg(F.array_sort(F.collect_list(parts)).alias("r"), F.count("*").alias("total_groups"), F.count_if("success").alias("successful_groups"))
+    filled = lambda c: F.filter(F.transform("r", lambda x: x[c]), lambda x: F.coalesce(x, F.lit("")) != "")
+    flat = lambda c, f: F.flatten(F.transform("r", lambda x: F.coalesce(F.transform(x[c], lambda e, i: f(x, e, i)), F.array())))
+    place = lambda x, i: F.struct(x["group_ord"].alias("group_ord"), i.alias("i")).alias("ord")
+    entities = flat("entities", lambda x, e, i: F.struct(place(x, i), e["type"].alias("type"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence")))
+    sections = flat("sections", lambda x, e, i: F.struct(place(x, i), e["heading"].alias("heading"), e["level"].alias("level"), e["content"].alias("content")))
+    tables = flat("tables", lambda x, e, i: F.struct(x["group_ord"].alias("group_ord"), i.alias("i"), e["headers"].alias("headers"), e["rows"].alias("rows"), e["caption"].alias("caption"), e["page_no"].alias("page_no")))
+    text = F.array_join(filled("summary"), " ")
+    return own.select(
+        "doc_id",
+        F.get(filled("title"), F.lit(0)).alias("title"),
+        T.let(text, lambda s: F.when(s == "", T.NO_SUMMARY).otherwise(T.truncate_sentence(s, merging.summary_limit))).alias("summary"),
+        section_array(sections, merging).alias("sections"),
+        best_array(entities, merging).alias("entities"),
+        tables.alias("tables"),
+        F.array_join(filled("raw_content"), "\n\n---\n\n").alias("full_content"),
+        "total_groups",
+        "successful_groups",
+        F.transform("r", lambda x: x["m"]).alias("of_groups"),
+        stamp(now).alias("extracted_at"),
     )
-    base = base.withColumn("summary", F.when(F.col("s") == "", NO_SUMMARY).otherwise(T.truncate_sentence(F.col("s"), limit))).drop("s")
-    for part in (pack(sections, "sections", "heading", "level", "content"), pack(entities, "entities", "type", "name", "value", "confidence"), tables):
-        base = base.join(part, "doc_id", "left")
-    return base

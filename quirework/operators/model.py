@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import threading
 import time
 import urllib.request
@@ -13,9 +14,15 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.config import EXTRACTION_PROMPT, Execution
+from ..functions.scratch import Scratch
 from ..functions.text import json_object, or_default
+from . import grouping
+from .extract import ENTITIES, SECTIONS, TABLES, joined, outcome, stamp
 
 Message = dict[str, str]
+#: Groups (doc_id, group_id) that bear on a question, of all groups.
+Router = Callable[[str, DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -25,14 +32,43 @@ class Reply:
 
 
 class Client(Protocol):
+    """What a model is asked through. A client may also have ``complete_json``, which replies with a JSON object at once."""
+
     def complete(self, messages: list[Message]) -> Reply: ...
 
 
 class MockClient:
-    """Answers with the beginning of the last message."""
+    """Answers with the beginning of the last message, and with an empty object where JSON is asked for."""
 
     def complete(self, messages: list[Message]) -> Reply:
-        return Reply("Mock response for: " + messages[-1]["content"][:100], 150)
+        return Reply("Mock response for: " + messages[-1]["content"][:100] + "...", 150)
+
+    def complete_json(self, messages: list[Message]) -> Reply:
+        return Reply("{}")
+
+
+#: Asks for JSON alone (own wording).
+JSON_ONLY = "Reply with one JSON object and nothing else."
+
+
+def complete_json(client: Client, messages: list[Message]) -> Reply:
+    """A reply whose content is a JSON object: from the first brace to the last of what the model wrote. Anything else is an error."""
+    own = getattr(client, "complete_json", None)
+    reply = own(messages) if own else client.complete([*messages, {"role": "system", "content": JSON_ONLY}])
+    found = re.search(r"\{[\s\S]*\}", reply.content)
+    text = found[0] if found else reply.content
+    try:
+        ok = isinstance(json.loads(text), dict)
+    except ValueError as e:
+        raise ValueError(f"no JSON in the reply: {e}") from e
+    if not ok:
+        raise ValueError("no JSON object in the reply")
+    return Reply(text, reply.tokens)
+
+
+def system_prompt(base: str, context: str | None = None) -> str:
+    """A system prompt with what a caller adds to it."""
+    return f"{base}\n\n{context}" if context else base
 
 
 @dataclass(frozen=True)
@@ -85,30 +121,40 @@ def _within(call: Callable[[], Reply], seconds: float) -> Reply:
     return reply
 
 
-def run(prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 1000, max_concurrency: int | None = None, timeout_ms: int | None = None) -> DataFrame:
+def run(
+    prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 1000, max_concurrency: int | None = None, timeout_ms: int | None = None, as_json: bool = False, continue_on_error: bool = False
+) -> DataFrame:
     """Adds response, tokens_used, duration_ms, success, error to rows with columns system and prompt.
 
     A prompt that fails after its retries is a row with the error, never a failed task. ``max_concurrency`` bounds the calls in flight,
-    ``timeout_ms`` the time of each call.
+    ``timeout_ms`` the time of each call. With ``as_json`` a reply that holds no JSON object has failed. With ``continue_on_error`` a call that fails is not
+    tried again, only one that ran out of time is. Columns max_retries and call_timeout_ms, if there are any, go before ``retries`` and ``timeout_ms`` in their row.
     """
     if max_concurrency:
         prompts = prompts.repartition(max_concurrency)
     if timeout_ms and isinstance(client, HttpClient):
         client = replace(client, timeout_s=timeout_ms / 1000)
 
+    def ask(messages: list[Message]) -> Reply:
+        return complete_json(client, messages) if as_json else client.complete(messages)
+
     def batch(batches: Iterator) -> Iterator:
         for pdf in batches:
             out = []
-            for system, prompt in zip(pdf.system, pdf.prompt):
+            for row in pdf.to_dict("records"):
+                own = lambda name, default: default if row.get(name) is None or row[name] != row[name] else int(row[name])
+                limit, tries = own("call_timeout_ms", timeout_ms), own("max_retries", retries) + 1
+                messages = [{"role": "system", "content": row["system"]}, {"role": "user", "content": row["prompt"]}]
                 began, error, reply = time.monotonic(), None, None
-                for attempt in range(retries + 1):
+                for attempt in range(tries):
                     try:
-                        messages = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
-                        reply = _within(lambda: client.complete(messages), timeout_ms / 1000) if timeout_ms else client.complete(messages)
+                        reply = _within(lambda: ask(messages), limit / 1000) if limit else ask(messages)
                         break
                     except Exception as e:
                         error = str(e)
-                        if attempt < retries:
+                        if continue_on_error and not isinstance(e, TimeoutError):
+                            break
+                        if attempt < tries - 1:
                             time.sleep(delay_ms / 1000 * 2**attempt)
                 out.append((reply and reply.content, reply.tokens if reply else 0, int(1000 * (time.monotonic() - began)), reply is not None, None if reply else error))
             for k, name in enumerate(("response", "tokens_used", "duration_ms", "success", "error")):
@@ -119,9 +165,19 @@ def run(prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 10
     return prompts.mapInPandas(batch, schema)
 
 
-EXTRACTED = "title string, summary string, entities array<struct<type:string,name:string,value:string,confidence:double>>, sections array<struct<heading:string,content:string,level:int>>, tables array<struct<headers:array<string>,rows:array<array<string>>,caption:string>>"
-IDENTIFIED = "documentType string, recommendedStrategy string, groups array<struct<id:string,title:string,startPage:int,endPage:int,description:string>>"
-ANSWERED = "answer string, entities array<struct<type:string,name:string,confidence:double>>, relevantExcerpt string"
+def called(prompts: DataFrame, client: Client, execution: Execution = Execution(), as_json: bool = True, name: str = "replies") -> DataFrame:
+    """``run`` under a run's settings, its rows written once: whatever reads them, each prompt is sent once."""
+    e = execution
+    replies = run(prompts, client, e.retries, e.retry_delay_ms, e.max_concurrency, e.timeout_ms, as_json, e.continue_on_error)
+    return Scratch(prompts.sparkSession, name).save(replies)
+
+
+#: Replies as Spark types.
+EXTRACTED = "title string, summary string, entities array<struct<type:string,name:string,value:string,confidence:double>>, sections array<struct<heading:string,content:string,level:int>>, tables array<struct<headers:array<string>,rows:array<array<string>>,caption:string,pageNumber:int>>"
+ANALYSED = "documentType string, summary string, recommendedStrategy string, groups array<struct<id:string,title:string,startPage:int,endPage:int,reasoning:string,suggestedExtractionType:string>>, metadata struct<hasTOC:boolean,hasHeadings:boolean,estimatedComplexity:string>"
+ANSWERED = "answer string, entities array<struct<type:string,name:string,value:string,confidence:double>>, relevantExcerpt string"
+ROUTED = "relevantGroupIds array<string>, reasoning string"
+SYNTHESISED = "answer string, confidence double"
 
 
 def parsed(response: Column, schema: str) -> Column:
@@ -129,27 +185,84 @@ def parsed(response: Column, schema: str) -> Column:
     return F.from_json(json_object(response), schema)
 
 
-def extraction_prompts(groups: DataFrame, prompt: str | None = None, schema: str | None = None) -> DataFrame:
-    """Adds system and prompt to groups with title, start_page, end_page and content."""
-    system = "You extract structured data from a part of a document. Reply with one JSON object: title, summary, entities, sections, tables."
-    if schema:
-        system += f" Follow this schema: {schema}"
-    head = F.concat(F.lit((prompt or "Extract the structured information of this part.") + "\n\nPart: "), or_default(F.col("title"), F.concat(F.lit("Pages "), "start_page", F.lit("-"), "end_page")), F.lit("\nPages: "), "start_page", F.lit("-"), "end_page", F.lit("\n\n"))
-    return groups.withColumns({"system": F.lit(system), "prompt": F.concat(head, "content")})
+def heading_of() -> Column:
+    """Title and pages of a group, as prompts begin."""
+    title = or_default(F.col("title"), F.concat(F.lit("Pages "), "start_page", F.lit("-"), "end_page"))
+    return F.concat(F.lit("Section: "), title, F.lit("\nPages: "), "start_page", F.lit(" to "), "end_page", F.lit("\n\n"))
+
+
+def extraction_prompts(rows: DataFrame, prompt: str | None = None, schema: str | None = None) -> DataFrame:
+    """Adds system and prompt to ``extract.group_rows``. A column ``custom_prompt``, if there is one, goes before ``prompt`` in its row."""
+    form = "Reply with one JSON object: title, summary, entities (type, name, value, confidence), sections (heading, content, level), tables (headers, rows, caption, pageNumber)."
+    base = system_prompt("You extract structured data from a part of a document. " + form, f"Follow this schema: {schema}" if schema else None)
+    own = F.lit(prompt or EXTRACTION_PROMPT)
+    if "custom_prompt" in rows.columns:
+        own = F.coalesce(F.nullif("custom_prompt", F.lit("")), own)
+    return rows.withColumns({"system": F.lit(base), "prompt": F.concat(own, F.lit("\n\n"), heading_of(), F.lit("Content:\n"), joined(F.col("pages"), "\n\n", numbered=True))})
+
+
+def _replied(replies: DataFrame) -> DataFrame:
+    return replies.select("doc_id", "group_ord", parsed(F.col("response"), EXTRACTED).alias("m"), "success", "error", "duration_ms", "tokens_used")
+
+
+def _tables() -> Column:
+    return F.transform("m.tables", lambda t: F.struct(t["headers"].alias("headers"), t["rows"].alias("rows"), t["caption"].alias("caption"), t["pageNumber"].alias("page_no"))).cast(TABLES)
 
 
-def analysis_prompts(samples: DataFrame, strategy: str | None = None) -> DataFrame:
-    """Adds system and prompt to documents with page_count, listing (table of contents, may be null) and content (sampled pages)."""
-    system = "You analyse a document's structure. Reply with one JSON object: documentType, recommendedStrategy, groups (id, title, startPage, endPage, description)."
-    toc = F.when(F.coalesce("listing", F.lit("")) != "", F.concat(F.lit("\n\nContents:\n"), "listing")).otherwise("")
+def extracted(rows: DataFrame, replies: DataFrame, now: str | None = None) -> DataFrame:
+    """Results of ``extract.group_rows`` that are what a model replied: its title (or else the group's), summary, entities, sections and tables.
+
+    A group whose call failed is a result that failed. There is no raw content.
+    """
+    out = rows.drop("pages").join(_replied(replies), ["doc_id", "group_ord"], "left")
+    agent = F.concat(F.lit("subagent-"), "group_id")
+    fields = {"title": or_default(F.col("m.title"), F.col("title")), "summary": F.col("m.summary"), "raw_content": F.lit(None).cast("string"), "entities": F.col("m.entities").cast(ENTITIES), "sections": F.col("m.sections").cast(SECTIONS), "tables": _tables(), "extracted_at": stamp(now)}
+    kept = {c: F.col(c) for c in ("error", "duration_ms", "tokens_used")}
+    return outcome(out.withColumns(fields), agent_id=agent, extracted_by=agent, success=F.coalesce("success", F.lit(False)), **kept).drop("m")
+
+
+def enhanced(base: DataFrame, replies: DataFrame) -> DataFrame:
+    """Results found by patterns with whatever fields a model's reply has over their own; where the call failed they stay as they are."""
+    out = base.drop("error", "duration_ms", "tokens_used").join(_replied(replies).withColumnRenamed("success", "replied").drop("error"), ["doc_id", "group_ord"], "left")
+    fields = {c: F.coalesce(f"m.{c}", c) for c in ("title", "summary")} | {"entities": F.coalesce(F.col("m.entities").cast(ENTITIES), F.col("entities")), "sections": F.coalesce(F.col("m.sections").cast(SECTIONS), F.col("sections")), "tables": F.coalesce(_tables(), F.col("tables"))}
+    out = out.withColumns(fields | {"llm_enhanced": F.when(F.col("replied"), True), "error": F.lit(None).cast("string")})
+    return out.select(*base.columns)
+
+
+def analysis_prompts(pages: DataFrame, toc: DataFrame | None = None, documents: DataFrame | None = None, strategy: str | None = None) -> DataFrame:
+    """doc_id, system, prompt: a document's title, author, number of pages, table of contents and beginnings of sampled pages.
+
+    ``documents`` (doc_id, title, author) and ``toc`` may be left out.
+    """
+    own = grouping.page_counts(pages).join(grouping.sample_content(pages), "doc_id", "left")
+    own = own.join(grouping.format_toc(toc), "doc_id", "left") if toc is not None else own.withColumn("listing", F.lit(None).cast("string"))
+    own = own.join(documents.select("doc_id", "title", "author"), "doc_id", "left") if documents is not None else own.withColumns({"title": F.lit(None).cast("string"), "author": F.lit(None).cast("string")})
+    system = "You analyse a document's structure. Reply with one JSON object: documentType, summary, groups (id, title, startPage, endPage, reasoning), recommendedStrategy (heading, toc or hybrid), metadata (hasTOC, hasHeadings, estimatedComplexity)."
+    known = F.concat(F.lit("Title: "), or_default(F.col("title"), "Unknown"), F.lit("\nPages: "), "n", F.lit("\nAuthor: "), or_default(F.col("author"), "Unknown"))
+    listing = F.when(F.coalesce("listing", F.lit("")) != "", F.concat(F.lit("\n\nTable of contents:\n"), "listing")).otherwise("")
     wish = f"\nGroup by: {strategy}" if strategy else ""
-    return samples.withColumns({"system": F.lit(system), "prompt": F.concat(F.lit("Pages: "), "page_count", F.lit(wish), toc, F.lit("\n\nSamples:\n"), "content")})
+    return own.select("doc_id", F.lit(system).alias("system"), F.concat(known, F.lit(wish), listing, F.lit("\n\nSamples:\n"), F.coalesce("content", F.lit(""))).alias("prompt"))
 
 
-def identified_groups(replies: DataFrame) -> DataFrame:
-    """doc_id, group_ord, title, start_page, end_page that a model named; missing ids are filled by position later."""
-    g = replies.select("doc_id", F.posexplode(parsed(F.col("response"), IDENTIFIED)["groups"]).alias("group_ord", "g"))
-    return g.select("doc_id", "group_ord", "g.title", F.col("g.startPage").alias("start_page"), F.col("g.endPage").alias("end_page"))
+def analyses(replies: DataFrame) -> DataFrame:
+    """doc_id, document_type, summary, recommended_strategy, has_toc, has_headings, complexity, groups of the documents whose analysis came back."""
+    a = replies.filter("success").select("doc_id", parsed(F.col("response"), ANALYSED).alias("a"))
+    meta = F.col("a.metadata")
+    return a.select("doc_id", F.col("a.documentType").alias("document_type"), "a.summary", F.col("a.recommendedStrategy").alias("recommended_strategy"), meta["hasTOC"].alias("has_toc"), meta["hasHeadings"].alias("has_headings"), meta["estimatedComplexity"].alias("complexity"), "a.groups")
+
+
+def identified_groups(analysed: DataFrame, strategy: str | None = None) -> DataFrame:
+    """doc_id, group_ord, id, type, title, start_page, end_page, reasoning, suggested_type: the groups that analyses name, of the strategy asked for or else recommended."""
+    g = analysed.select("doc_id", (F.lit(strategy) if strategy else F.col("recommended_strategy")).alias("type"), F.posexplode("groups").alias("group_ord", "g"))
+    return g.select("doc_id", "group_ord", "g.id", "type", "g.title", F.col("g.startPage").alias("start_page"), F.col("g.endPage").alias("end_page"), "g.reasoning", F.col("g.suggestedExtractionType").alias("suggested_type"))
+
+
+def group_documents(pages: DataFrame, client: Client, toc: DataFrame | None = None, documents: DataFrame | None = None, strategy: str | None = None, execution: Execution = Execution()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups that a model names, the analyses, and documents that could not be grouped (doc_id, message): the call failed, or the reply names no list of groups."""
+    replies = called(analysis_prompts(pages, toc, documents, strategy), client, execution, name="analyses")
+    analysed = analyses(replies)
+    lost = replies.filter("NOT success").select("doc_id", F.col("error").alias("message")).union(analysed.filter("groups IS NULL").select("doc_id", F.lit("the analysis has no groups")))
+    return grouping.clamp_groups(identified_groups(analysed, strategy), pages), analysed, lost
 
 
 # Own wording, one for each kind of answer.
@@ -167,18 +280,29 @@ def query_system(kind: str | None, custom_prompt: str | None = None) -> str:
     return (custom_prompt or QUERY_SYSTEMS.get(kind or "default", QUERY_SYSTEMS["default"])) + form
 
 
-def enhanced(base: DataFrame, replies: DataFrame) -> DataFrame:
-    """Extracted rows with a model's title and summary over their own where it gave some."""
-    r = replies.select("doc_id", "group_ord", parsed(F.col("response"), EXTRACTED).alias("m"), "success")
-    out = base.join(r.withColumnRenamed("success", "model_ok"), ["doc_id", "group_ord"], "left")
-    return out.withColumns({c: F.coalesce(f"m.{c}", c) for c in ("title", "summary")}).withColumn("model_enhanced", F.coalesce("model_ok", F.lit(False))).drop("m", "model_ok")
+def routing_prompts(question: str, groups: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """doc_id, system, prompt: which of a document's groups bear on the question. ``documents``: doc_id, title, document_type."""
+    line = F.concat(F.lit("- ID: "), "group_id", F.lit("\n  Title: "), or_default(F.col("title"), F.concat(F.lit("Pages "), "start_page", F.lit("-"), "end_page")), F.lit("\n  Pages: "), "start_page", F.lit("-"), "end_page")
+    own = groups.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("listing"))
+    own = own.join(documents.select("doc_id", "title", "document_type"), "doc_id", "left") if documents is not None else own.withColumns({"title": F.lit(None).cast("string"), "document_type": F.lit(None).cast("string")})
+    system = "You choose the parts of a document that a question needs; take a part in if unsure. Reply with one JSON object: relevantGroupIds, reasoning."
+    known = F.concat(F.lit("Document: "), or_default(F.col("title"), "Untitled"), F.lit("\nType: "), or_default(F.col("document_type"), "Unknown"))
+    return own.select("doc_id", F.lit(system).alias("system"), F.concat(known, F.lit("\n\nSections:\n"), "listing", F.lit(f"\n\nQuery: {question}")).alias("prompt"))
 
 
-Router = Callable[[str, DataFrame], DataFrame]
+def routed(replies: DataFrame) -> DataFrame:
+    """doc_id, group_id: the groups that routing replies name, each once."""
+    return replies.filter("success").select("doc_id", F.explode(parsed(F.col("response"), ROUTED)["relevantGroupIds"]).alias("group_id")).distinct()
+
+
+def model_router(client: Client, documents: DataFrame | None = None, execution: Execution = Execution()) -> Router:
+    """A router that asks a model."""
+    return lambda question, groups: routed(called(routing_prompts(question, groups, documents), client, execution, name="routes"))
+
 
 
 def lexical_router(query: str, groups: DataFrame) -> DataFrame:
-    """Stand-in for a model's routing: groups whose title shares a word with the query, else all of the document."""
+    """Routing without a model: groups whose title shares a word with the query, else all of the document."""
     words = [w for w in query.lower().split() if len(w) > 2]
     hit = F.arrays_overlap(F.split(F.lower(F.coalesce("title", F.lit(""))), r"\W+"), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
     marked = groups.select("doc_id", "group_id", hit.alias("hit"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.config import Output
-from ..functions.text import capitalised
+from ..functions.text import NO_SUMMARY, capitalised
 
 
 def _size(name: str) -> Column:
@@ -18,7 +18,7 @@ def _size(name: str) -> Column:
 
 def summary_text(merged: DataFrame) -> DataFrame:
     title = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("Title: "), "title", F.lit("\n\n"))).otherwise("")
-    body = F.concat(title, F.lit("Summary:\n"), F.coalesce(F.nullif("summary", F.lit("")), F.lit("No summary available.")), F.lit("\n\nSections: "), _size("sections"), F.lit("\nEntities: "), _size("entities"), F.lit("\nTables: "), _size("tables"))
+    body = F.concat(title, F.lit("Summary:\n"), F.coalesce(F.nullif("summary", F.lit("")), F.lit(NO_SUMMARY)), F.lit("\n\nSections: "), _size("sections"), F.lit("\nEntities: "), _size("entities"), F.lit("\nTables: "), _size("tables"))
     return merged.select("doc_id", body.alias("output"))
 
 
@@ -37,7 +37,7 @@ def markdown_table(table: Column, number: Column) -> Column:
     row = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
     rule = row(F.transform(table["headers"], lambda h: F.lit("---")))
     title = F.concat(F.lit("### Table "), number, F.when(F.coalesce(table["caption"], F.lit("")) != "", F.concat(F.lit(": "), table["caption"])).otherwise(""))
-    return F.concat(title, F.lit("\n\n"), F.array_join(F.concat(F.array(row(table["headers"]), rule), F.transform(table["rows"], row)), "\n"), F.lit("\n"))
+    return F.when(F.size(table["headers"]) == 0, F.concat(title, F.lit("\n"))).otherwise(F.concat(title, F.lit("\n\n"), F.array_join(F.concat(F.array(row(table["headers"]), rule), F.transform(table["rows"], row)), "\n"), F.lit("\n")))
 
 
 @F.udf(T.StringType())
@@ -47,7 +47,9 @@ def _pretty(text):
 
 
 def _metadata() -> Column:
-    return F.struct(F.col("total_groups").alias("totalGroups"), F.col("total_groups").alias("successfulGroups"))
+    """Counts, the time, and what each group's result says of itself; without results there is no list of groups."""
+    groups = F.when(F.size("of_groups") > 0, F.col("of_groups"))
+    return F.struct(F.col("total_groups").alias("totalGroups"), F.col("successful_groups").alias("successfulGroups"), F.col("extracted_at").alias("extractedAt"), groups.alias("groups"))
 
 
 def _listed(name: str, *fields: str) -> Column:

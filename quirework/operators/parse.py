@@ -5,6 +5,8 @@ Lines are arrays inside a page's row until they are exploded, so classification,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,24 +37,47 @@ def heading_level(line: Column, patterns: list[str] | None = None) -> Column:
     return level
 
 
+#: Lines whose offsets are summed in one go: sums grow by copying, which this bounds.
+_BLOCK = 256
+
+
+def _offsets(raw: Column) -> Column:
+    """Character offset of each line: sums within blocks of lines, after the sums of the blocks."""
+    after = lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x) + 1)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(raw) - 1) / _BLOCK).cast("int")), lambda k: F.slice(raw, k * _BLOCK + 1, _BLOCK))
+    sizes = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x) + 1))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, at: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), F.array(at), after)))
+
+
 def lines(pages: DataFrame) -> DataFrame:
     """doc_id, page_no, line_no (from 0), pos (character offset in the page), line, text (trimmed). Blank lines are there."""
-    raw = F.split(F.coalesce("text", F.lit("")), "\n")
-    # Offsets of all lines: the length of the page before each, in one pass over the array.
-    sums = F.aggregate(raw, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x) + 1))
-    split = pages.select("doc_id", "page_no", raw.alias("raw"), sums.alias("sums"))
-    each = split.select("doc_id", "page_no", F.posexplode(F.arrays_zip("raw", "sums")).alias("line_no", "z")).filter(F.col("z.raw").isNotNull())
+    split = pages.select("doc_id", "page_no", F.split(F.coalesce("text", F.lit("")), "\n").alias("raw"))
+    split = split.select("doc_id", "page_no", "raw", _offsets(F.col("raw")).alias("sums"))
+    each = split.select("doc_id", "page_no", F.posexplode(F.arrays_zip("raw", "sums")).alias("line_no", "z"))
     return each.select("doc_id", "page_no", "line_no", F.col("z.sums").alias("pos"), F.col("z.raw").alias("line"), T.trim(F.col("z.raw")).alias("text"))
 
 
-def elements(pages: DataFrame, headings: bool = True, lists: bool = True, patterns: list[str] | None = None) -> DataFrame:
+def _kind(text: Column, level: Column, lists: bool) -> Column:
+    kind = F.when(level.isNotNull(), "heading")
+    return (kind.when(text.rlike(T.LIST_PATTERN), "list") if lists else kind).otherwise("text")
+
+
+def _level(text: Column, headings: bool, patterns: Sequence[str] | None) -> Column:
+    return heading_level(text, list(patterns or []) or None) if headings else F.lit(None).cast("int")
+
+
+def elements(pages: DataFrame, headings: bool = True, lists: bool = True, patterns: Sequence[str] | None = None) -> DataFrame:
     """doc_id, page_no, line_no, pos, type (heading, list, text), text, level (of headings). Blank lines give none."""
-    found = lines(pages).filter("text <> ''").drop("line")
-    found = found.withColumn("level", heading_level(F.col("text"), patterns) if headings else F.lit(None).cast("int"))
-    kind = F.when(F.col("level").isNotNull(), "heading")
-    if lists:
-        kind = kind.when(F.col("text").rlike(T.LIST_PATTERN), "list")
-    return found.select("doc_id", "page_no", "line_no", "pos", kind.otherwise("text").alias("type"), "text", "level")
+    found = lines(pages).filter("text <> ''").drop("line").withColumn("level", _level(F.col("text"), headings, patterns))
+    return found.select("doc_id", "page_no", "line_no", "pos", _kind(F.col("text"), F.col("level"), lists).alias("type"), "text", "level")
+
+
+def element_array(text: Column, headings: bool = True, lists: bool = True, patterns: Sequence[str] | None = None) -> Column:
+    """The elements of one page's text as an array of (text, level, type), without their places."""
+    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), T.trim), lambda x: x != "")
+    found = F.transform(found, lambda x: F.struct(x.alias("text"), _level(x, headings, patterns).alias("level")))
+    return F.transform(found, lambda e: F.struct(e["text"].alias("text"), e["level"].alias("level"), _kind(e["text"], e["level"], lists).alias("type")))
 
 
 def headings(elements: DataFrame, levels: tuple[int, ...] | None = None) -> DataFrame:

@@ -260,3 +260,95 @@ ORACLES = {
       UNION ALL SELECT n_regionkey, 3, 'Untitled', s_suppkey, n_nationkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 1000)
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS toc_ord, level, title, page_no FROM o""",
 }
+
+# Runs in which the model's replies follow the rules of ``queries.RuleClient``.
+DONE = "done AS (SELECT * FROM fixed WHERE start_page <> 21 AND end_page <> 3)"
+REPLY_ENTITIES = """reply AS (
+  SELECT doc_id, count(*) AS total, string_agg('Pages ' || start_page || ' to ' || end_page || '.', ' ' ORDER BY group_ord) AS summary,
+    string_agg('part/Part ' || start_page || '/' || end_page, ';' ORDER BY group_ord) || ';kind/report/-' AS entities FROM done GROUP BY doc_id
+)"""
+EXECUTION = "sha256('j|' || doc_id)"
+NOW = "2024-01-01T00:00:00.000Z"
+# Section headings in the order of the root collation: of the signs that occur a colon comes before digits.
+IN_ORDER = "level, replace(heading, ':', '!'), first"
+RANKED = f"""ranked AS (
+  SELECT doc_id, heading, level, content, row_number() OVER (PARTITION BY doc_id ORDER BY {IN_ORDER}) AS rank
+  FROM folded JOIN (SELECT doc_id AS d, lower(heading) AS h, min((group_ord, section_no)) AS first FROM gsecs GROUP BY ALL) ON d = doc_id AND h = lower(heading)
+)"""
+SURE = "sure AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, first) AS rank FROM best)"
+NUMBERED = "numbered_tabs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, table_no) - 1 AS k FROM tabs)"
+WHOLE = (*LEG, CONTENTS, COMBINED, GROUP_SECTIONS, fold("gsecs", "(group_ord, section_no)"), RANKED, entities(), GROUP_ENTITIES, SURE, table_runs("lines"), NUMBERED)
+CELLS = "array_to_string(list_transform({}, lambda x: {}), '{}')"
+
+ORACLES |= {
+    "model_extraction": _with(*G, DONE, REPLY_ENTITIES, "SELECT doc_id, 'Part 1' AS title, summary, total AS total_groups, entities, 'Scope/1' AS sections, total AS n_tables, '' AS full_content FROM reply"),
+    "pipeline_errors": _with(*G, "SELECT doc_id, group_id, 'extraction' AS stage, 'no reply for this part' AS message FROM fixed WHERE start_page = 21 OR end_page = 3"),
+    "pipeline_statistics": _with(*G, "s AS (SELECT doc_id, count(*) AS t, count_if(start_page = 21 OR end_page = 3) AS f FROM fixed GROUP BY doc_id)",
+      """SELECT doc_id, n AS total_pages, t AS total_groups, t - f AS successful_groups, f AS failed_groups, 7 * (t - f) AS total_tokens, CASE WHEN f = 0 THEN 'success' WHEN f = t THEN 'failed' ELSE 'partial' END AS status FROM counts JOIN s USING (doc_id)"""),
+    "extraction_progress": _with(*G, "p AS (SELECT *, start_page <> 21 AND end_page <> 3 AS ok FROM fixed)", "SELECT * EXCLUDE (ok) FROM (SELECT doc_id, group_id, ok, count_if(ok) OVER (PARTITION BY doc_id ORDER BY group_ord) AS completed, count(*) OVER (PARTITION BY doc_id) AS total FROM p) WHERE ok"),
+    "model_enhancement": _with(*G, CONTENTS, f"""SELECT doc_id, group_ord, CASE WHEN gone THEN title ELSE 'Part ' || start_page END AS title, CASE WHEN gone THEN {summary("content")} ELSE 'Pages ' || start_page || ' to ' || end_page || '.' END AS summary,
+      NOT gone AS enhanced, true AS success, length(content) AS width FROM (SELECT *, start_page = 21 OR end_page = 3 AS gone FROM fixed) JOIN contents USING (doc_id, group_ord)"""),
+    "agent_configs": _with(*G, """SELECT doc_id, group_ord, CASE WHEN start_page = 21 OR end_page = 3 THEN title WHEN group_ord = 0 THEN 'Own 1' ELSE 'Part ' || start_page END AS title, NOT (start_page = 21 OR end_page = 3) AS success,
+      'subagent-' || group_id AS agent_id, 'subagent-' || group_id AS extracted_by FROM fixed"""),
+    "model_groups": _with(PAGES, COUNTS, """SELECT doc_id, 0 AS group_ord, 'g' || n AS group_id, 'hybrid' AS type, 'First' AS title, 1 AS start_page, n // 2 AS end_page, n // 2 AS page_count FROM counts
+      UNION ALL SELECT doc_id, 1, sha256(doc_id || '|hybrid|1'), 'hybrid', 'Second', n // 2 + 1, n, n - n // 2 FROM counts"""),
+    "document_analysis": _with(PAGES, COUNTS, "SELECT doc_id, 'report' AS document_type, n || ' pages.' AS summary, 'heading' AS recommended_strategy, false AS has_toc, n > 3 AS has_headings, CASE WHEN n > 10 THEN 'high' ELSE 'low' END AS complexity FROM counts"),
+    "model_routing": _with(*G, "SELECT fixed.* FROM fixed JOIN counts USING (doc_id) WHERE group_ord % 2 = 0 AND n <> 7"),
+    "ask_documents": _with(
+        *G, "chosen AS (SELECT fixed.*, n FROM fixed JOIN counts USING (doc_id) WHERE group_ord % 2 = 0 AND n <> 7)",
+        """per AS (SELECT doc_id, count(*) AS n, any_value('pages ' || start_page || ' to ' || end_page) AS one, string_agg(group_id || '/' || title || '/' || start_page || '/' || end_page || '/page ' || start_page, ';' ORDER BY group_ord) AS sources,
+          'span/all/1/0.1;' || string_agg('span/p' || start_page || '/-/0.5', ';' ORDER BY group_ord) AS entities, string_agg(group_id, ';' ORDER BY group_ord) AS ids FROM chosen GROUP BY doc_id)""",
+        """SELECT doc_id, coalesce(per.n, 0) AS n, CASE WHEN per.n IS NULL THEN 'No relevant information found in the document.' WHEN per.n = 1 THEN one ELSE per.n || ' parts' END AS answer,
+          CASE WHEN per.n IS NULL THEN 0.0::DOUBLE WHEN per.n = 1 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence, coalesce(sources, '') AS sources, coalesce(entities, '') AS entities, coalesce(ids, '') AS groups_processed,
+          CASE WHEN per.n IS NULL THEN 0 WHEN per.n = 1 THEN 7 ELSE 7 * per.n + 7 END AS tokens_used, 0 AS failed FROM counts LEFT JOIN per USING (doc_id)""",
+    ),
+    "executions_by_status": _with(*G, f"SELECT 'j' AS job_id, {EXECUTION} AS execution_id, 'parts' AS flow_name, 'failed' AS status FROM counts WHERE n = 3"),
+    "export_batch": _with(
+        *G, DONE, REPLY_ENTITIES,
+        f"SELECT {EXECUTION} AS execution_id, CASE WHEN total IS NULL THEN 'Summary:' || chr(10) || 'No summary available.' || chr(10) || chr(10) || 'Sections: 0' || chr(10) || 'Entities: 0' || chr(10) || 'Tables: 0' ELSE 'Title: Part 1' || chr(10) || chr(10) || 'Summary:' || chr(10) || summary || chr(10) || chr(10) || 'Sections: 1' || chr(10) || 'Entities: ' || (total + 1) || chr(10) || 'Tables: ' || total END AS output FROM counts LEFT JOIN reply USING (doc_id)",
+    ),
+    "format_json": _with(
+        *WHOLE,
+        """js AS (SELECT doc_id, string_agg('{"heading":' || to_json(heading) || ',"content":' || to_json(content) || ',"level":' || level || '}', ',' ORDER BY rank) AS j FROM ranked GROUP BY doc_id)""",
+        """je AS (SELECT doc_id, string_agg('{"type":' || to_json(type) || ',"name":' || to_json(name) || ',"confidence":' || confidence || '}', ',' ORDER BY rank) AS j FROM sure GROUP BY doc_id)""",
+        f"""jt AS (SELECT doc_id, string_agg('{{"headers":' || {CELLS.format("r[1]", "to_json(x)", ",").replace("array_to_string", "'[' || array_to_string")} || '],"rows":[' || {CELLS.format("r[2:]", "'[' || " + CELLS.format("x", "to_json(y)", ",").replace("lambda x", "lambda y") + " || ']'", ",")} || '],"pageNumber":' || page_no || '}}', ',' ORDER BY k) AS j FROM numbered_tabs GROUP BY doc_id)""",
+        f"""jg AS (SELECT doc_id, count(*) AS n, any_value(title) FILTER (group_ord = 0) AS title, string_agg('{{"groupId":"' || group_id || '","startPage":' || start_page || ',"endPage":' || end_page || ',"pageCount":' || page_count || ',"extractedAt":"{NOW}"}}', ',' ORDER BY group_ord) AS j FROM fixed GROUP BY doc_id)""",
+        """full_text AS (SELECT doc_id, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY group_ord) AS t FROM contents GROUP BY doc_id)""",
+        f"""SELECT doc_id, '{{"title":' || to_json(title) || ',"summary":' || to_json(summary) || ',"sections":[' || coalesce(js.j, '') || '],"entities":[' || coalesce(je.j, '') || '],"tables":[' || coalesce(jt.j, '')
+          || '],"metadata":{{"totalGroups":' || n || ',"successfulGroups":' || n || ',"extractedAt":"{NOW}","groups":[' || jg.j || ']}},"fullContent":' || to_json(t) || '}}' AS output
+          FROM combined JOIN jg USING (doc_id) JOIN full_text USING (doc_id) LEFT JOIN js USING (doc_id) LEFT JOIN je USING (doc_id) LEFT JOIN jt USING (doc_id)""",
+    ),
+    "format_markdown": _with(
+        *WHOLE,
+        "ms AS (SELECT doc_id, string_agg(repeat('#', level + 2) || ' ' || heading || chr(10) || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS t FROM ranked GROUP BY doc_id)",
+        "mk AS (SELECT doc_id, type, min(rank) AS r, '### ' || upper(type[1]) || type[2:] || chr(10) || chr(10) || string_agg('- ' || name, chr(10) ORDER BY rank) || chr(10) AS t FROM sure GROUP BY doc_id, type)",
+        "me AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY r) AS t FROM mk GROUP BY doc_id)",
+        f"""mt AS (SELECT doc_id, string_agg('### Table ' || (k + 1) || chr(10) || chr(10) || '| ' || array_to_string(r[1], ' | ') || ' |' || chr(10) || '| ' || {CELLS.format("r[1]", "'---'", " | ")} || ' |' || chr(10)
+          || {CELLS.format("r[2:]", "'| ' || array_to_string(x, ' | ') || ' |' || chr(10)", "")}, chr(10) ORDER BY k) AS t FROM numbered_tabs GROUP BY doc_id)""",
+        """SELECT doc_id, '# ' || f.title || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || summary || chr(10) || coalesce(chr(10) || '## Sections' || chr(10) || chr(10) || ms.t, '') || coalesce(chr(10) || '## Entities' || chr(10) || chr(10) || me.t, '')
+          || coalesce(chr(10) || '## Tables' || chr(10) || chr(10) || mt.t, '') AS output FROM combined JOIN fixed f USING (doc_id) LEFT JOIN ms USING (doc_id) LEFT JOIN me USING (doc_id) LEFT JOIN mt USING (doc_id) WHERE f.group_ord = 0""",
+    ),
+    "search_records": _with(
+        *WHOLE,
+        f"""SELECT doc_id, 'summary' AS id, 'summary' AS type, (SELECT arg_min(title, group_ord) FROM fixed f WHERE f.doc_id = combined.doc_id) AS label, NULL AS headers, NULL AS cells FROM combined
+        UNION ALL SELECT doc_id, 'section-' || (rank - 1), 'section', heading, NULL, NULL FROM ranked UNION ALL SELECT doc_id, 'entity-' || (rank - 1), 'entity', name, NULL, NULL FROM sure
+        UNION ALL SELECT doc_id, 'table-' || k, 'table', NULL, array_to_string(r[1], '|'), {CELLS.format("r[2:]", "array_to_string(x, '|')", ";")} FROM numbered_tabs""",
+    ),
+    "section_order": _with(
+        *LE, SECTIONS, "firsts AS (SELECT doc_id, min(section_no) AS first, arg_min(heading, section_no) AS heading, arg_min(level, section_no) AS level FROM secs GROUP BY doc_id, lower(heading))",
+        f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {IN_ORDER}) AS rank, heading, level FROM firsts",
+    ),
+    "merge_group_metadata": _with(*G, f"SELECT doc_id, group_id, start_page, end_page, page_count, '{NOW}' AS extracted_at FROM fixed"),
+    "catalog_groups": _with(*G, CATALOGUE, "SELECT catalogue.*, coalesce(k, 0) AS group_count FROM catalogue LEFT JOIN (SELECT doc_id, count(*) AS k FROM fixed GROUP BY doc_id) USING (doc_id)"),
+    "catalog_detail": _with(
+        *LE, COUNTS, FIXED, TOC, CATALOGUE,
+        """SELECT doc_id, title, author, g AS groups, t AS toc FROM catalogue LEFT JOIN (SELECT doc_id, string_agg(group_id || '/' || title || '/' || start_page || '/' || end_page || '/' || type, ';' ORDER BY group_ord) AS g FROM fixed GROUP BY doc_id) USING (doc_id)
+          LEFT JOIN (SELECT doc_id, string_agg(level || '/' || title || '/' || page_no, ';' ORDER BY toc_ord) AS t FROM toc GROUP BY doc_id) USING (doc_id)""",
+    ),
+    "group_detail": _with(*G, "SELECT doc_id, group_id, any_value(title) AS title, any_value(page_count) AS page_count, string_agg(page_no || '/' || text[1:20] || CASE WHEN length(text) > 20 THEN '...' ELSE '' END, ';' ORDER BY page_no) AS preview FROM fixed JOIN pages USING (doc_id) WHERE page_no BETWEEN start_page AND end_page GROUP BY doc_id, group_id"),
+    "custom_patterns": _with(PAGES, LINES, "SELECT doc_id, page_no, line_no, CASE WHEN text LIKE 'Order %' THEN 1 ELSE 2 END AS level FROM lines WHERE regexp_matches(text, '^Order \\d+') OR text LIKE 'contact %' OR text = 'MEDIUM PRIORITY'"),
+    "document_dates": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '2020-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || ' 03:04:05' END AS creation_date FROM customer",
+    "outline_page_refs": """WITH o AS (
+      SELECT r_regionkey AS doc_id, 1 AS level, r_name AS title, 1 AS page_no, -1 AS a FROM region UNION ALL SELECT n_regionkey, 2, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 10 ELSE 1 END, n_nationkey FROM nation)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS toc_ord, level, title, page_no FROM o""",
+}

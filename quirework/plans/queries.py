@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.config import FLOW_PRESETS, Grouping
-from ..operators import extract, grouping, merge, output, parse, query, stats, store
+from ..functions.config import FLOW_PRESETS, Flow, Grouping, Settings
+from ..operators import agents, extract, grouping, merge, model, output, parse, query, stats, store
 from ..sources import readers as R
+from . import flow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+#: Time stamp of outputs, so that they can be compared.
+NOW = "2024-01-01T00:00:00.000Z"
+
+
 def query_of(f):
     QUERIES[f.__name__] = f
     return f
@@ -35,7 +42,7 @@ def toc_fixture(spark: SparkSession, sf: str) -> DataFrame:
 def _results(spark, sf):
     """Fixed groups of ten pages, extracted."""
     pages = R.report_pages(spark, sf)
-    return extract.group_results(grouping.fixed_groups(pages), pages, parse.elements(pages), parse.lines(pages))
+    return extract.group_results(grouping.fixed_groups(pages), pages, now=NOW)
 
 
 def run_fixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +146,7 @@ def group_pages_range_join(spark, sf):
 
 def _entities_of(kind):
     def run(spark, sf):
-        found = extract.page_entities(R.report_pages(spark, sf)).filter(F.col("type") == kind)
+        found = extract.page_entities(R.report_pages(spark, sf), (kind,))
         return found.select("doc_id", "page_no", "ord.pattern", "ord.match", "name", "confidence")
 
     return run
@@ -153,7 +160,7 @@ for _kind in ("date", "money", "url", "percentage"):
 def entities_email(spark, sf):
     """Emails in prose: each document's distinct ones, counted by language."""
     docs = R.table(spark, sf, "documents").select("doc_id", "lang", F.lit(1).alias("page_no"), "text")
-    found = extract.page_entities(docs).filter("type = 'email'")
+    found = extract.page_entities(docs, ("email",))
     return extract.first_entities(found).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "name").agg(F.count("*").alias("n"))
 
 
@@ -190,13 +197,13 @@ def sections_merged(spark, sf):
 
 @query_of
 def tables_detected(spark, sf):
-    found = extract.page_tables(parse.lines(R.report_pages(spark, sf)))
+    found = extract.page_tables(R.report_pages(spark, sf))
     return found.select("doc_id", "page_no", "table_no", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n_rows"))
 
 
 @query_of
 def table_rows(spark, sf):
-    found = extract.page_tables(parse.lines(R.document_pages(spark, sf)).union(parse.lines(R.report_pages(spark, sf).withColumn("doc_id", -F.col("doc_id")))))
+    found = extract.page_tables(R.document_pages(spark, sf).union(R.report_pages(spark, sf).withColumn("doc_id", -F.col("doc_id"))))
     return found.select("doc_id", "page_no", "table_no", F.posexplode("rows").alias("row_no", "r")).select("doc_id", "page_no", "table_no", "row_no", F.array_join("r", "|").alias("cells"))
 
 
@@ -313,17 +320,17 @@ def answers_merged(spark, sf):
 
 @query_of
 def search_index(spark, sf):
-    return output.search_documents(merge.merged(_results(spark, sf))).select("doc_id", "type", "title", "heading", "content", "level", "entity_type", "name", "confidence", "page_no")
+    return output.search_documents(merge.merged(_results(spark, sf), now=NOW)).select("doc_id", "type", "title", "heading", "content", "level", "entity_type", "name", "confidence", "page_no")
 
 
 @query_of
 def format_summary(spark, sf):
-    return output.summary_text(merge.merged(_results(spark, sf)))
+    return output.summary_text(merge.merged(_results(spark, sf), now=NOW))
 
 
 @query_of
 def format_markdown_entities(spark, sf):
-    return merge.merged(_results(spark, sf)).select("doc_id", output.markdown_entities(F.col("entities")).alias("output"))
+    return merge.merged(_results(spark, sf), now=NOW).select("doc_id", output.markdown_entities(F.col("entities")).alias("output"))
 
 
 @query_of
@@ -368,3 +375,202 @@ def outline_flatten(spark, sf):
     mid = nation.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("title"), F.lit(None).cast("int").alias("page_no"))
     low = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.concat(F.lit("n"), "s_nationkey").alias("parent_id"), F.col("s_suppkey").cast("int").alias("position"), F.lit("").alias("title"), F.col("s_suppkey").cast("int").alias("page_no"))
     return R.outline(top.union(mid).union(low))
+
+
+# Runs with a model, for which a client stands in that replies by rule.
+
+
+class RuleClient:
+    """Replies to each kind of prompt from the numbers of pages in it; a part from page 21 on and a document of three pages get no extraction."""
+
+    def complete_json(self, messages: list[model.Message]) -> model.Reply:
+        system, text = messages[0]["content"], messages[-1]["content"]
+        if "relevantGroupIds" in system:
+            parts = re.findall(r"- ID: (\S+)\n  Title: .*\n  Pages: (\d+)-(\d+)", text)
+            out = {"relevantGroupIds": [] if parts[-1][2] == "7" else [i for i, a, _ in parts if int(a) // 10 % 2 == 0], "reasoning": "even parts"}
+        elif "documentType" in system:
+            n = int(re.search(r"Pages: (\d+)", text)[1])
+            named = [{"id": f"g{n}", "title": "First", "startPage": 0, "endPage": n // 2, "reasoning": "half"}, {"title": "Second", "startPage": n // 2 + 1, "endPage": n + 5}]
+            out = {"documentType": "report", "summary": f"{n} pages.", "groups": named, "recommendedStrategy": "heading", "metadata": {"hasTOC": False, "hasHeadings": n > 3, "estimatedComplexity": "high" if n > 10 else "low"}}
+        elif "partial answers" in system:
+            out = {"answer": f"{text.count('--- Section ')} parts", "confidence": 0.5}
+        else:
+            a, b = (int(x) for x in re.search(r"Pages: (\d+) to (\d+)", text).groups())
+            if "relevantExcerpt" in system:
+                out = {"answer": f"pages {a} to {b}", "relevantExcerpt": f"page {a}", "entities": [{"type": "span", "name": "all", "value": str(a), "confidence": a % 7 / 10}, {"type": "span", "name": f"p{a}", "confidence": 0.5}]}
+            elif a == 21 or b == 3:
+                raise RuntimeError("no reply for this part")
+            else:
+                named = [{"type": "part", "name": f"Part {a}", "value": str(b), "confidence": 0.5}, {"type": "kind", "name": "report", "confidence": a % 3 / 10}]
+                out = {"title": ("Own " if text.startswith("OWN") else "Part ") + str(a), "summary": f"Pages {a} to {b}.", "entities": named, "sections": [{"heading": "Scope", "content": f"from {a}", "level": 1}], "tables": [{"headers": ["a"], "rows": [["1"]], "pageNumber": a}]}
+        return model.Reply(json.dumps(out), 7)
+
+
+FIXED_RUN = Settings().with_(grouping={"strategy": "fixed"}, execution={"retries": 0})
+
+
+def _run(spark, sf, **extraction):
+    return flow.run(R.report_pages(spark, sf), settings=FIXED_RUN.with_(extraction=extraction), client=RuleClient(), now=NOW)
+
+
+def _joined(column: str, *fields: str):
+    cell = lambda x: F.concat_ws("/", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])
+    return F.array_join(F.transform(column, cell), ";")
+
+
+@query_of
+def model_extraction(spark, sf):
+    """What a model extracted, merged by document."""
+    m = _run(spark, sf).merged
+    return m.select("doc_id", "title", "summary", "total_groups", _joined("entities", "type", "name", "value").alias("entities"), _joined("sections", "heading", "level").alias("sections"), F.size("tables").alias("n_tables"), "full_content")
+
+
+@query_of
+def pipeline_errors(spark, sf):
+    return _run(spark, sf).errors
+
+
+@query_of
+def pipeline_statistics(spark, sf):
+    return _run(spark, sf).statistics.select("doc_id", "total_pages", "total_groups", "successful_groups", "failed_groups", "total_tokens", "status")
+
+
+@query_of
+def extraction_progress(spark, sf):
+    return stats.progress(_run(spark, sf).results)
+
+
+@query_of
+def model_enhancement(spark, sf):
+    """A model's fields over what the patterns found; where there is no reply the patterns' stay."""
+    r = _run(spark, sf, mode="enhance").results
+    return r.select("doc_id", "group_ord", "title", "summary", F.coalesce("llm_enhanced", F.lit(False)).alias("enhanced"), "success", F.length("raw_content").alias("width"))
+
+
+@query_of
+def agent_configs(spark, sf):
+    """The first group of each document has a prompt of its own."""
+    pages = R.report_pages(spark, sf)
+    groups = grouping.fixed_groups(pages)
+    own = groups.filter("group_ord = 0").select("group_id", F.lit("OWN prompt").alias("custom_prompt"), F.lit(0).alias("max_retries"))
+    agent = agents.create("model", client=RuleClient(), execution=FIXED_RUN.execution, configs=own, now=NOW)
+    return agent(extract.group_rows(groups, pages)).select("doc_id", "group_ord", "title", "success", "agent_id", "extracted_by")
+
+
+@query_of
+def model_groups(spark, sf):
+    """Groups that a model names, kept within the document."""
+    return model.group_documents(R.report_pages(spark, sf), RuleClient(), strategy="hybrid")[0].select(GROUP_COLUMNS)
+
+
+@query_of
+def document_analysis(spark, sf):
+    return model.group_documents(R.report_pages(spark, sf), RuleClient())[1].drop("groups")
+
+
+@query_of
+def model_routing(spark, sf):
+    groups = grouping.fixed_groups(R.report_pages(spark, sf))
+    return store.routed_groups(groups, model.model_router(RuleClient())("what?", groups)).select(GROUP_COLUMNS)
+
+
+@query_of
+def ask_documents(spark, sf):
+    """A question to all documents, routed, answered and synthesised by the model, with sources and entities."""
+    pages = R.report_pages(spark, sf)
+    out = query.ask("what?", grouping.fixed_groups(pages), pages, RuleClient())
+    return out.select("doc_id", "n", "answer", "confidence", _joined("sources", "group_id", "title", "start_page", "end_page", "excerpt").alias("sources"), _joined("entities", "type", "name", "value", "confidence").alias("entities"), F.array_join("groups_processed", ";").alias("groups_processed"), "tokens_used", "failed")
+
+
+def _job(spark, sf):
+    return flow.Flows(RuleClient(), FIXED_RUN).execute(Flow("parts", "fixed"), R.report_pages(spark, sf), job_id="j", now=NOW)
+
+
+@query_of
+def executions_by_status(spark, sf):
+    """Executions of a job that failed: documents no group of which was extracted."""
+    return stats.executions_with_result(_job(spark, sf).executions(), "failed").select("job_id", "execution_id", "flow_name", "status")
+
+
+@query_of
+def export_batch(spark, sf):
+    return _job(spark, sf).export("summary")
+
+
+# Whole outputs.
+
+
+@query_of
+def format_json(spark, sf):
+    return output.json_text(merge.merged(_results(spark, sf), now=NOW), pretty=False)
+
+
+@query_of
+def format_markdown(spark, sf):
+    return output.markdown_text(merge.merged(_results(spark, sf), now=NOW), metadata=False)
+
+
+@query_of
+def search_records(spark, sf):
+    """Records of the search index with their ids, and the cells of tables."""
+    r = output.search_documents(merge.merged(_results(spark, sf), now=NOW))
+    return r.select("doc_id", "id", "type", F.coalesce("heading", "name", "title").alias("label"), F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda x: F.array_join(x, "|")), ";").alias("cells"))
+
+
+@query_of
+def section_order(spark, sf):
+    found = extract.sections(_elements(spark, sf)).withColumnRenamed("section_no", "ord")
+    return merge.merged_sections(found).select("doc_id", "rank", "heading", "level")
+
+
+@query_of
+def merge_group_metadata(spark, sf):
+    m = merge.merge_metadata(_results(spark, sf)).select("doc_id", F.explode("of_groups").alias("m")).select("doc_id", "m.*")
+    return m.select("doc_id", F.col("groupId").alias("group_id"), F.col("startPage").alias("start_page"), F.col("endPage").alias("end_page"), F.col("pageCount").alias("page_count"), F.col("extractedAt").alias("extracted_at"))
+
+
+# The catalogue in full.
+
+
+@query_of
+def catalog_groups(spark, sf):
+    return store.listing_with_groups(catalogue_fixture(spark, sf), grouping.fixed_groups(R.report_pages(spark, sf)))
+
+
+@query_of
+def catalog_detail(spark, sf):
+    pages = R.report_pages(spark, sf)
+    out = store.details(catalogue_fixture(spark, sf), grouping.fixed_groups(pages), toc_fixture(spark, sf))
+    return out.select("doc_id", "title", "author", _joined("groups", "group_id", "title", "start_page", "end_page", "type").alias("groups"), _joined("toc", "level", "title", "page_no").alias("toc"))
+
+
+@query_of
+def group_detail(spark, sf):
+    pages = R.report_pages(spark, sf)
+    out = store.group_details(grouping.fixed_groups(pages), pages, 20)
+    return out.select("doc_id", "group_id", "title", "page_count", _joined("preview", "page_no", "preview").alias("preview"))
+
+
+@query_of
+def custom_patterns(spark, sf):
+    """Heading patterns of one's own: a level by position, and lines of capitals."""
+    found = parse.elements(R.report_pages(spark, sf), patterns=[r"\AOrder \d+.*\z", r"\Acontact .*\z"])
+    return found.filter("type = 'heading'").select("doc_id", "page_no", "line_no", "level")
+
+
+@query_of
+def document_dates(spark, sf):
+    day = F.when(F.col("c_custkey") % 3 == 0, "D:20200101").otherwise(F.concat(F.lit("2020-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit(" 03:04:05")))
+    none = {n: F.lit(None).cast("string").alias(n) for n in ("title", "author", "subject", "creator", "producer")}
+    c = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), *none.values(), day.alias("creation_date"), F.lit(1).alias("page_count"))
+    return R.metadata(c).select("doc_id", F.date_format("creation_date", "yyyy-MM-dd HH:mm:ss").alias("creation_date"))
+
+
+@query_of
+def outline_page_refs(spark, sf):
+    """Nations under regions whose pages are known by reference, some of them not at all."""
+    region, nation = R.table(spark, sf, "region"), R.table(spark, sf, "nation")
+    top = region.select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("position"), F.col("r_name").alias("title"), F.lit("top").alias("page_ref"))
+    low = nation.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("title"), F.concat(F.lit("p"), "n_nationkey").alias("page_ref"))
+    refs = nation.filter("n_nationkey % 2 = 0").select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("p"), "n_nationkey").alias("page_ref"), (F.col("n_nationkey") + 10).alias("page_no"))
+    return R.outline(top.union(low), refs)

@@ -7,6 +7,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
+
+#: Siblings under one parent that count (fixed value).
+SIBLINGS = 1000
+
 
 def documents_from_files(spark: SparkSession, path: str) -> DataFrame:
     """One document per text file under ``path`` (any file system of Spark): doc_id (hash of the path), source, text."""
@@ -50,24 +55,30 @@ def pages(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(split_pages(F.col("text"), F.col("page_count"))).alias("n", "text")).select("doc_id", (F.col("n") + 1).alias("page_no"), "text")
 
 
-def outline(nodes: DataFrame) -> DataFrame:
+def outline(nodes: DataFrame, page_refs: DataFrame | None = None) -> DataFrame:
     """Table of contents in reading order: doc_id, toc_ord, level (depth), title, page_no.
 
     ``nodes``: doc_id, node_id, parent_id (null at the top), position among siblings, title, page_no. Missing titles are
-    ``Untitled`` and missing pages 1; of the siblings under one parent the first 1000 by position count, whatever their positions are.
+    ``Untitled`` and missing pages 1; of the siblings under one parent the first 1000 by position count, whatever their positions are. With ``page_refs`` (doc_id, page_ref, page_no) nodes
+    have page_ref instead of page_no, and an unknown one is page 1. One join a level of depth; nodes that no top leads to are left out.
     """
+    scratch = Scratch(nodes.sparkSession, "outline")
+    if page_refs is not None:
+        known = page_refs.select("doc_id", "page_ref", "page_no").dropDuplicates(["doc_id", "page_ref"])
+        nodes = nodes.drop("page_no").join(known, ["doc_id", "page_ref"], "left")
     siblings = Window.partitionBy("doc_id", "parent_id").orderBy("position", "node_id")
-    nodes.withColumn("rank", F.row_number().over(siblings)).filter("rank <= 1000").createOrReplaceTempView("quirework_outline")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE t (doc_id, node_id, title, page_no, level, path) AS (
-          SELECT doc_id, node_id, title, page_no, 1, lpad(CAST(rank AS STRING), 4, '0')
-          FROM quirework_outline WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.doc_id, n.node_id, n.title, n.page_no, t.level + 1, concat(t.path, '/', lpad(CAST(n.rank AS STRING), 4, '0'))
-          FROM t JOIN quirework_outline n ON n.doc_id = t.doc_id AND n.parent_id = t.node_id
-        )
-        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) AS INT) AS toc_ord, level,
-          coalesce(nullif(title, ''), 'Untitled') AS title, coalesce(page_no, 1) AS page_no FROM t""")
+    ranked = nodes.withColumn("rank", F.row_number().over(siblings)).filter(f"rank <= {SIBLINGS}")
+    own = scratch.save(ranked.select("doc_id", "node_id", "parent_id", "title", "page_no", F.lpad(F.col("rank").cast("string"), 4, "0").alias("step")))
+    below = own.select("doc_id", F.col("parent_id").alias("above"), "node_id", "title", "page_no", "step")
+    part, level = own.filter("parent_id IS NULL").select("doc_id", "node_id", "title", "page_no", F.lit(1).alias("level"), F.col("step").alias("path")), 1
+    out = part
+    while not (part := scratch.save(part) if level > 1 else part).isEmpty():
+        out = part if level == 1 else out.union(part)
+        level += 1
+        up = part.select("doc_id", F.col("node_id").alias("above"), "path")
+        part = up.join(below, ["doc_id", "above"]).select("doc_id", "node_id", "title", "page_no", F.lit(level).alias("level"), F.concat("path", F.lit("/"), "step").alias("path"))
+    order = Window.partitionBy("doc_id").orderBy("path")
+    return out.select("doc_id", F.row_number().over(order).alias("toc_ord"), "level", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce("page_no", F.lit(1)).alias("page_no"))
 
 
 #: A customer's orders as the pages of a report; runs unchanged in Spark and DuckDB.
@@ -98,8 +109,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(REPORT_SQL).withColumn("page_no", F.col("page_no").cast("int"))
+    return spark.sql(REPORT_SQL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders")).withColumn("page_no", F.col("page_no").cast("int"))
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,18 @@ def test_json_object(spark):
     get = lambda s: spark.range(1).select(T.json_object(F.lit(s))).first()[0]
     assert get('so {"a": {"b": 1}} end') == '{"a": {"b": 1}}'
     assert get("none") == "none"
+
+
+def test_offsets_of_long_pages(spark):
+    """Offsets across blocks of lines, in time that doesn't grow with the square of the lines."""
+    import time
+
+    raw = [("x" * (k % 7)) for k in range(100_000)]
+    began = time.time()
+    rows = parse.lines(page(spark, "\n".join(raw))).select("line_no", "pos").collect()
+    assert time.time() - began < 20
+    at = 0
+    for r, line in zip(sorted(rows), raw):
+        assert r.pos == at
+        at += len(line) + 1
+    assert len(rows) == len(raw)
