@@ -23,15 +23,18 @@ HEADING_PATTERNS = [
 LIST_PATTERN = rf"\A(?:[-•*]{SPACE}+|\d+[.)]{SPACE}+|[A-Za-z][.)]{SPACE}+)"
 CAPS_HEADING = rf"\A[A-Z][A-Z{SPACE_SET}]{{5,50}}\z"
 
+#: Edges before and after what begins or ends with a word character: half of ``EDGE``, so half its cost.
+BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
 # Entity patterns in order of emission: type, confidence, pattern with the name in group 1.
 ENTITY_PATTERNS = [
-    ("date", 0.9, rf"{EDGE}(\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}){EDGE}"),
-    ("date", 0.9, rf"{EDGE}(\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}){EDGE}"),
-    ("date", 0.9, rf"(?i){EDGE}((?:January|February|March|April|May|June|July|August|September|October|November|December){SPACE}+\d{{1,2}},?{SPACE}+\d{{4}}){EDGE}"),
+    ("date", 0.9, rf"{BEFORE}(\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}){AFTER}"),
+    ("date", 0.9, rf"{BEFORE}(\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}){AFTER}"),
+    ("date", 0.9, rf"(?i){BEFORE}((?:January|February|March|April|May|June|July|August|September|October|November|December){SPACE}+\d{{1,2}},?{SPACE}+\d{{4}}){AFTER}"),
     ("money", 0.95, rf"{EDGE}(\$[\d,]+(?:\.\d{{2}})?|[\d,]+(?:\.\d{{2}})?{SPACE}*(?:USD|EUR|GBP)){EDGE}"),
-    ("email", 0.95, rf"{EDGE}([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}){EDGE}"),
-    ("url", 0.95, rf"{EDGE}(https?://[^{SPACE_SET}<>\"{{}}|\\^`\[\]]+){EDGE}"),
-    ("percentage", 0.9, rf"{EDGE}(\d+(?:\.\d+)?%){EDGE}"),
+    ("email", 0.95, rf"{EDGE}([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}){AFTER}"),
+    ("url", 0.95, rf"{BEFORE}(https?://[^{SPACE_SET}<>\"{{}}|\\^`\[\]]+){EDGE}"),
+    ("percentage", 0.9, rf"{BEFORE}(\d+(?:\.\d+)?%){EDGE}"),
 ]
 
 

@@ -176,7 +176,8 @@ def group_rows(groups: DataFrame, pages: DataFrame) -> DataFrame:
     document's pages spread over tasks if it has many.
     """
     own = groups.select(F.struct(*[F.col(f"`{c}`") for c in groups.columns]).alias("g"), "doc_id", "group_ord", F.explode_outer(F.when(F.col("end_page") >= F.col("start_page"), F.sequence("start_page", "end_page"))).alias("page_no"))
-    met = own.join(pages.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text")), ["doc_id", "page_no"], "left")
+    # Never a broadcast: texts that a plan makes up are larger than the planner thinks, and the groups' side may be one task.
+    met = own.join(pages.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text")).hint("merge"), ["doc_id", "page_no"], "left")
     part = F.when(F.col("text").isNotNull(), F.struct("page_no", "text"))
     return met.groupBy("doc_id", "group_ord").agg(F.any_value("g").alias("g"), F.array_sort(F.collect_list(part)).alias("pages")).select("g.*", "pages")
 

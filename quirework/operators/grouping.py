@@ -140,7 +140,7 @@ def grouper(strategy: str) -> Grouper:
 def group_pages(groups: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages of each group: groups become a row a page, which meet the pages by document and number, so no page is compared with a group that isn't its own."""
     own = groups.filter("end_page >= start_page").select("doc_id", "group_ord", "group_id", F.explode(F.sequence("start_page", "end_page")).alias("page_no"))
-    return own.join(pages, ["doc_id", "page_no"])
+    return own.join(pages.hint("merge"), ["doc_id", "page_no"])
 
 
 def has_headings(elements: DataFrame) -> DataFrame:

@@ -50,9 +50,12 @@ def _offsets(raw: Column) -> Column:
     return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, at: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), F.array(at), after)))
 
 
-def lines(pages: DataFrame) -> DataFrame:
-    """doc_id, page_no, line_no (from 0), pos (character offset in the page), line, text (trimmed). Blank lines are there."""
+def lines(pages: DataFrame, offsets: bool = True) -> DataFrame:
+    """doc_id, page_no, line_no (from 0), pos (character offset in the page; null without ``offsets``), line, text (trimmed). Blank lines are there."""
     split = pages.select("doc_id", "page_no", F.split(F.coalesce("text", F.lit("")), "\n").alias("raw"))
+    if not offsets:
+        each = split.select("doc_id", "page_no", F.posexplode("raw").alias("line_no", "line"))
+        return each.select("doc_id", "page_no", "line_no", F.lit(None).cast("int").alias("pos"), "line", T.trim(F.col("line")).alias("text"))
     split = split.select("doc_id", "page_no", "raw", _offsets(F.col("raw")).alias("sums"))
     each = split.select("doc_id", "page_no", F.posexplode(F.arrays_zip("raw", "sums")).alias("line_no", "z"))
     return each.select("doc_id", "page_no", "line_no", F.col("z.sums").alias("pos"), F.col("z.raw").alias("line"), T.trim(F.col("z.raw")).alias("text"))
@@ -67,9 +70,9 @@ def _level(text: Column, headings: bool, patterns: Sequence[str] | None) -> Colu
     return heading_level(text, list(patterns or []) or None) if headings else F.lit(None).cast("int")
 
 
-def elements(pages: DataFrame, headings: bool = True, lists: bool = True, patterns: Sequence[str] | None = None) -> DataFrame:
-    """doc_id, page_no, line_no, pos, type (heading, list, text), text, level (of headings). Blank lines give none."""
-    found = lines(pages).filter("text <> ''").drop("line").withColumn("level", _level(F.col("text"), headings, patterns))
+def elements(pages: DataFrame, headings: bool = True, lists: bool = True, patterns: Sequence[str] | None = None, offsets: bool = True) -> DataFrame:
+    """doc_id, page_no, line_no, pos (null without ``offsets``, for readers that go by lines), type (heading, list, text), text, level (of headings). Blank lines give none."""
+    found = lines(pages, offsets).filter("text <> ''").drop("line").withColumn("level", _level(F.col("text"), headings, patterns))
     return found.select("doc_id", "page_no", "line_no", "pos", _kind(F.col("text"), F.col("level"), lists).alias("type"), "text", "level")
 
 

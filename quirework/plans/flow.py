@@ -47,7 +47,7 @@ def run(
     spark = pages.sparkSession
     g, x, p = settings.grouping, settings.extraction, settings.parsing
     call("on_parse_start", pages)
-    elements = parse.elements(pages, p.headings, p.lists, p.patterns)
+    elements = parse.elements(pages, p.headings, p.lists, p.patterns, offsets=False)
     kind = dict(pages.dtypes)["doc_id"]
     contents = toc if toc is not None else spark.createDataFrame([], f"doc_id {kind}, toc_ord int, level int, title string, page_no int")
     call("on_parse_complete", elements)

@@ -27,15 +27,15 @@ def query_of(f):
     return f
 
 
-def _elements(spark, sf):
-    return parse.elements(R.report_pages(spark, sf))
+def _elements(spark, sf, offsets=False):
+    return parse.elements(R.report_pages(spark, sf), offsets=offsets)
 
 
 def toc_fixture(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of more than 10 pages have a table of contents: their headings of level 1 and 2."""
     pages = R.report_pages(spark, sf)
     long = grouping.page_counts(pages).filter("n > 10").select("doc_id")
-    heads = parse.headings(parse.elements(pages), (1, 2)).join(long, "doc_id", "left_semi")
+    heads = parse.headings(parse.elements(pages, offsets=False), (1, 2)).join(long, "doc_id", "left_semi")
     return heads.select("doc_id", (F.col("page_no") * 1000 + F.col("line_no")).alias("toc_ord"), "level", F.col("text").alias("title"), "page_no")
 
 
@@ -86,7 +86,7 @@ def line_offsets(spark, sf):
 
 @query_of
 def line_types(spark, sf):
-    return _elements(spark, sf).select("doc_id", "page_no", "line_no", "pos", "type", "level")
+    return _elements(spark, sf, True).select("doc_id", "page_no", "line_no", "pos", "type", "level")
 
 
 @query_of
@@ -96,7 +96,7 @@ def heading_levels(spark, sf):
 
 @query_of
 def headings_at_levels(spark, sf):
-    return parse.headings(_elements(spark, sf), (1, 2)).select("doc_id", "page_no", "pos", "text", "level")
+    return parse.headings(_elements(spark, sf, True), (1, 2)).select("doc_id", "page_no", "pos", "text", "level")
 
 
 @query_of
@@ -117,31 +117,31 @@ def group_fixed(spark, sf):
 @query_of
 def group_heading(spark, sf):
     pages = R.report_pages(spark, sf)
-    return grouping.heading_groups(pages, parse.elements(pages)).select(GROUP_COLUMNS)
+    return grouping.heading_groups(pages, parse.elements(pages, offsets=False)).select(GROUP_COLUMNS)
 
 
 @query_of
 def group_heading_min_merge(spark, sf):
     pages = R.report_pages(spark, sf)
-    return grouping.heading_groups(pages, parse.elements(pages), Grouping("heading", min_size=2, max_size=5)).select(GROUP_COLUMNS)
+    return grouping.heading_groups(pages, parse.elements(pages, offsets=False), Grouping("heading", min_size=2, max_size=5)).select(GROUP_COLUMNS)
 
 
 @query_of
 def group_toc(spark, sf):
     pages = R.report_pages(spark, sf)
-    return grouping.toc_groups(pages, parse.elements(pages), toc_fixture(spark, sf)).select(GROUP_COLUMNS)
+    return grouping.toc_groups(pages, parse.elements(pages, offsets=False), toc_fixture(spark, sf)).select(GROUP_COLUMNS)
 
 
 @query_of
 def group_hybrid(spark, sf):
     pages = R.report_pages(spark, sf)
-    return grouping.grouper("hybrid")(pages, parse.elements(pages), toc_fixture(spark, sf), Grouping()).select(GROUP_COLUMNS)
+    return grouping.grouper("hybrid")(pages, parse.elements(pages, offsets=False), toc_fixture(spark, sf), Grouping()).select(GROUP_COLUMNS)
 
 
 @query_of
 def group_pages_range_join(spark, sf):
     pages = R.report_pages(spark, sf)
-    return grouping.group_pages(grouping.heading_groups(pages, parse.elements(pages)), pages).select("doc_id", "group_ord", "page_no")
+    return grouping.group_pages(grouping.heading_groups(pages, parse.elements(pages, offsets=False)), pages).select("doc_id", "group_ord", "page_no")
 
 
 def _entities_of(kind):
