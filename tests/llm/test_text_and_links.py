@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quirework.llm import components, near_dups, substring_dups, textops
-from quirework.llm.scratch import Scratch
+from quirework.functions.scratch import Scratch
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
