@@ -9,6 +9,7 @@ sequences of powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
@@ -26,6 +27,8 @@ END_ID = 1
 GROUP_BYTES = 1 << 20
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 1_500_000
+#: Words that the tokenizer encodes at once: what it makes of a word is some hundred times as large.
+ENCODE_WORDS = 2048
 #: Groups after which a worker gives freed memory back.
 RELEASE_GROUPS = 8
 
@@ -123,6 +126,8 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.groups = 0
         self.clear()
@@ -132,13 +137,17 @@ class WordEncoder:
         self.begin, self.pool, self.n = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
 
     def remember(self, words: list[bytes]) -> None:
-        codes = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        ends = self.begin[self.n] + np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))
-        self.begin = grown(self.begin, self.n + len(codes) + 1)
-        self.begin[self.n + 1 : self.n + len(codes) + 1] = ends
+        codes, size = [], []
+        for i in range(0, len(words), ENCODE_WORDS):
+            part = [c.ids for c in self.tokenizer.encode_batch_fast([w.decode() for w in words[i : i + ENCODE_WORDS]], add_special_tokens=False)]
+            size += map(len, part)
+            codes.append(np.fromiter(chain.from_iterable(part), np.uint32))
+        ends = self.begin[self.n] + np.cumsum(size)
+        self.begin = grown(self.begin, self.n + len(size) + 1)
+        self.begin[self.n + 1 : self.n + len(size) + 1] = ends
         self.pool = grown(self.pool, int(ends[-1]))
-        self.pool[self.begin[self.n] : ends[-1]] = np.fromiter(chain.from_iterable(codes), np.uint32)
-        self.n += len(codes)
+        self.pool[self.begin[self.n] : ends[-1]] = np.concatenate(codes)
+        self.n += len(size)
 
     def units(self, data, offsets):
         s, e, first = spans_of(data, offsets)

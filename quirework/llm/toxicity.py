@@ -194,7 +194,9 @@ def _seeds(parts, toxic: np.ndarray) -> np.ndarray:
     least = math.log(SEED_CHANCE) / math.log(toxic.mean())
     # Classes are sampled at different rates; rates are compared, not counts.
     ratio = toxic.sum() / max(1, (~toxic).sum())
-    found = (counts[1] >= least) & (counts[1] >= SEED_PRECISION * (counts[1] + counts[0] * ratio))
+    found = np.zeros(SEED_BUCKETS, bool)
+    often = np.flatnonzero(counts[1] >= least)
+    found[often] = counts[1, often] >= SEED_PRECISION * (counts[1, often] + counts[0, often] * ratio)
     found[0] = False
     return found
 
