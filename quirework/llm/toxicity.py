@@ -202,9 +202,20 @@ def _seeds(parts, toxic: np.ndarray) -> np.ndarray:
 
 
 def _training_sequences(parts, toxic: np.ndarray, seeds: np.ndarray, share: float, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """Tokens of all sequences with a mark and of a share of the others: slots, neighbours, place in the grid, label."""
-    kept: dict[str, list] = {k: [] for k in ("own", "before", "after", "at", "y")}
-    rows, doc = 0, 0
+    """Tokens of sequences with a mark and of a share of the others, TRAIN_SEQUENCES at most: slots, neighbours, place in the grid, label."""
+    kept: dict[str, list] = {k: [] for k in ("own", "before", "after", "row", "step", "y")}
+    place_of, doc = np.zeros(0), 0
+
+    def thin(most: int) -> None:
+        """Keeps the sequences with the least random numbers."""
+        if np.isfinite(place_of).sum() <= most:
+            return
+        place_of[place_of > np.partition(place_of, most - 1)[most - 1]] = np.inf
+        for i, rows in enumerate(kept["row"]):
+            stay = np.isfinite(place_of[rows])
+            for k in kept:
+                kept[k][i] = kept[k][i][..., stay]
+
     for _, _, first, keys in parts:
         n, count = keys.shape[1], np.diff(first)
         y = seeds[_seed_slots(keys)].any(axis=0) & np.repeat(toxic[doc : doc + len(count)], count)
@@ -212,9 +223,8 @@ def _training_sequences(parts, toxic: np.ndarray, seeds: np.ndarray, share: floa
         if not n:
             continue
         grid, place = _padded(y.astype(float), first)
-        marked = grid.sum(axis=1) > 0
-        chosen = marked | (rng.random(len(grid)) < share)
-        number = np.cumsum(chosen) - 1 + rows
+        chosen = (grid.sum(axis=1) > 0) | (rng.random(len(grid)) < share)
+        number = np.cumsum(chosen) - 1 + len(place_of)
         use = np.flatnonzero(chosen[place // SEQUENCE])
         slots = _slots(keys)
         inner = np.ones(n + 1, bool)
@@ -222,19 +232,17 @@ def _training_sequences(parts, toxic: np.ndarray, seeds: np.ndarray, share: floa
         kept["own"].append(slots[:, use].astype(np.int32))
         kept["before"].append(np.where(inner[use], slots[0, np.maximum(use - 1, 0)], 0).astype(np.int32))
         kept["after"].append(np.where(inner[use + 1], slots[0, np.minimum(use + 1, n - 1)], 0).astype(np.int32))
-        kept["at"].append(number[place[use] // SEQUENCE] * SEQUENCE + place[use] % SEQUENCE)
+        kept["row"].append(number[place[use] // SEQUENCE].astype(np.int32))
+        kept["step"].append((place[use] % SEQUENCE).astype(np.int32))
         kept["y"].append(y[use])
-        rows += int(chosen.sum())
-    out = {k: np.concatenate(v, axis=-1) for k, v in kept.items()}
-    if rows > TRAIN_SEQUENCES:
-        stay = np.zeros(rows, bool)
-        stay[rng.permutation(rows)[:TRAIN_SEQUENCES]] = True
-        number = np.cumsum(stay) - 1
-        use = stay[out["at"] // SEQUENCE]
-        out = {k: v[..., use] for k, v in out.items()}
-        out["at"] = number[out["at"] // SEQUENCE] * SEQUENCE + out["at"] % SEQUENCE
-        rows = TRAIN_SEQUENCES
-    out["rows"] = np.array(rows)
+        place_of = np.concatenate([place_of, rng.random(int(chosen.sum()))])
+        if np.isfinite(place_of).sum() > 2 * TRAIN_SEQUENCES:
+            thin(TRAIN_SEQUENCES)
+    thin(TRAIN_SEQUENCES)
+    out = {k: np.concatenate(v, axis=-1) if v else np.zeros(0, np.int32) for k, v in kept.items()}
+    number = np.cumsum(np.isfinite(place_of)) - 1
+    out["at"] = number[out.pop("row")] * SEQUENCE + out.pop("step") if len(number) else np.zeros(0, np.int64)
+    out["rows"] = np.array(np.isfinite(place_of).sum())
     return out
 
 
@@ -250,14 +258,17 @@ def fit(texts: list[str], labels: list[int], steps: int = 40, rate: float = 0.3,
     column = pa.array(texts, pa.string())
 
     def parts():
-        for _, _, data, offsets in chunks(column):
+        for _, _, data, offsets in chunks(column, 1 << 17):
             yield token_keys(data, offsets)
 
     rng = np.random.default_rng(seed)
     seeds = _seeds(parts(), toxic)
     # About a token in seven bytes, and as many unmarked sequences as half of those to fit.
     share = min(1.0, TRAIN_SEQUENCES / 2 / max(1, sum(map(len, texts)) / 7 / SEQUENCE))
+    release()
     got = _training_sequences(parts(), toxic, seeds, share, rng)
+    del seeds
+    release()
     own, before, after, at, rows = got["own"], got["before"], got["after"], got["at"], int(got["rows"])
     if not rows:
         return model
