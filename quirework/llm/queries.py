@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, licences, mixing, near_dups, packing, substring_dups, token_counts, toxicity, vector_dups
+from . import fingerprints, languages, licences, mixing, near_dups, packing, resampling, substring_dups, token_counts, toxicity, vector_dups
 
 
 #: Rows and bytes of an Arrow batch, in the JVM and in the workers.
@@ -75,3 +75,8 @@ def op5_pq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, min_words=20, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")

@@ -64,3 +64,33 @@ FROM u JOIN n USING (doc_id), range(1, 80) t(k) WHERE k <= n.n
 """
 
 ORACLES["op1_source_mixing"] = MIXING
+
+#: CRC-32 of each distinct word from its bytes, with the table of the polynomial made by rule.
+RESAMPLING = f"""
+WITH t AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc
+), d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), m AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark
+), x AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL
+), h AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM x UNION SELECT w FROM m)
+), b AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda c, k: xor(c >> 8, crc[xor(c, k) % 256 + 1])), 4294967295::BIGINT) % 10000 AS b FROM h, t
+), s AS (SELECT b, sum(n)::DOUBLE AS s FROM x JOIN b USING (w) GROUP BY b
+), r AS (SELECT b, count(*)::DOUBLE AS t FROM m JOIN b USING (w) GROUP BY b
+), g AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM r) + 10000)))) AS gain
+  FROM s FULL JOIN r USING (b)
+), w AS (SELECT doc_id, floor(sum(n * gain) / sum(n)) AS weight FROM x JOIN b USING (w) JOIN g USING (b) GROUP BY doc_id
+), o AS (
+  SELECT d.doc_id, len(d.w) AS n_features, coalesce(w.weight, 0)::BIGINT AS weight,
+    coalesce(w.weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w ON w.doc_id = d.doc_id
+), k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 20
+)
+SELECT o.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM k) * 10 // 100 THEN rank END AS rank FROM o LEFT JOIN k ON k.doc_id = o.doc_id
+"""
+
+ORACLES["op13_importance_resampling"] = RESAMPLING
