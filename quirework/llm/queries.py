@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, licences, mixing, near_dups, packing, resampling, substring_dups, token_counts, toxicity, vector_dups
+from . import fingerprints, languages, licences, main_text, mixing, near_dups, packing, resampling, runs, substring_dups, token_counts, toxicity, vector_dups
 
 
 #: Rows and bytes of an Arrow batch, in the JVM and in the workers.
@@ -80,3 +80,17 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, min_words=20, seed=2024)
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(_table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(runs.with_periodic_tails(_table(spark, sf_dir, "documents")))
+    best = out.withColumn("best", runs.longest_by_exponent(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -94,3 +94,19 @@ SELECT o.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) F
 """
 
 ORACLES["op13_importance_resampling"] = RESAMPLING
+
+#: For pages whose article is in one element of that name and holds titles, paragraphs, bold text and line breaks.
+MAIN_TEXT = """
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<br>', ' ', 'g') AS a FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS b FROM a
+), d AS (
+  SELECT page_id, url, list_transform(b, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS b FROM b
+), t AS (
+  SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM d
+)
+SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS text, length(coalesce(array_to_string(b, chr(10) || chr(10)), '')) AS n_chars, len(b) AS n_blocks FROM t
+"""
+
+ORACLES["op12_html_extraction"] = MAIN_TEXT
