@@ -46,6 +46,11 @@ def poisson(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(low + 1, last), start, step, lambda acc: acc["n"])
 
 
+def partition_of(key: Column, n: int) -> Column:
+    """The partition of ``n`` that a 52-bit key belongs to, in the order of keys."""
+    return F.shiftright(F.shiftright(key, 20) * F.lit(n).cast("long"), 32).cast("int")
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per source: documents, its size in characters (and one for each document), its target share, and the mean repetition rate.
 
@@ -86,5 +91,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: floa
     copies = joined.select("row", "i", count.alias("mix_copies")).filter("mix_copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("k"), "i", F.col("mix_copy").cast("string"))), 1, 13), 16, 10).cast("long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes[1] * epochs) // PARTITION_BYTES + 1)
-    dealt = copies.withColumn("mix_key", key).repartitionById(n, F.floor(F.col("mix_key") * F.lit(n) / F.lit(1 << 52)).cast("int"))
+    # The first 32 bits of the key times n, over 2**32: whole numbers that fit for as many partitions as Spark can have.
+    dealt = copies.withColumn("mix_key", key).repartitionById(n, partition_of(F.col("mix_key"), n))
     return dealt.sortWithinPartitions("mix_key", "i", "mix_copy").select("row.*", "mix_copy", "mix_copies", "mix_key")

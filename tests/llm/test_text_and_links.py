@@ -9,7 +9,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirework.llm import components, near_dups, substring_dups, textops
+from pyspark.sql import functions as F
+
+from quirework.llm import components, mixing, near_dups, substring_dups, textops
 from quirework.functions.scratch import Scratch
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -171,3 +173,29 @@ def test_repeats_edge_rows(spark, monkeypatch):
         assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rows) == [(0, 60, 0), (5, 60, 0), (5, 60, 0), (9, 1, 0), (9, 61, 60)]
         assert {r.text for r in rows if r.n_removed} == {"x "}
     assert substring_dups.remove_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2048, 2049, 4000, 100_000, 2**31 - 1])
+def test_mix_partitions_of_any_number(spark, n):
+    """Keys of 52 bits go to partitions in their order, however many there are, under ANSI arithmetic."""
+    keys = [0, 1, (1 << 52) - 1, 1 << 51, (1 << 20) - 1, 987654321987654]
+    got = spark.createDataFrame([(k,) for k in sorted(keys)], "k long").select("k", mixing.partition_of(F.col("k"), n).alias("p")).collect()
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert all(r.p == ((r.k >> 20) * n) >> 32 and 0 <= r.p < n for r in got) and [r.p for r in got] == sorted(r.p for r in got)
+
+
+@pytest.mark.parametrize("n", [2049])
+def test_mix_of_more_partitions_than_2048(spark, n):
+    """The whole operator, and the pipeline's stage, where the session asks for many partitions."""
+    docs = spark.createDataFrame([(k, f"text {k}", "en", f"s{k % 2}", 6) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    few = sorted(map(tuple, mixing.mix_sources(docs, {"s0": 3.0}, epochs=2.0).collect()), key=str)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        mixed = mixing.mix_sources(docs, {"s0": 3.0}, epochs=2.0)
+        rows = mixed.select("*", F.spark_partition_id().alias("part")).collect()
+        assert sorted((tuple(r)[:-1] for r in rows), key=str) == few
+        by_part = sorted(rows, key=lambda r: (r.part, r.mix_key))
+        assert [r.mix_key for r in by_part] == sorted(r.mix_key for r in rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
