@@ -220,7 +220,8 @@ def _parted(cluster: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
         return cluster
     own = cluster.join(large, "cluster", "left_semi")
     tokens = scratch.save(own.join(sets, "node").select("cluster", "node", "shingles").mapInArrow(_tokens, "cluster long, node long, shingle long"))
-    often = tokens.groupBy("cluster", "shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    # Saved, not a bare aggregate: a join of a shingle that a whole cluster holds can be split then.
+    often = scratch.save(tokens.groupBy("cluster", "shingle").agg(F.count("*").alias("n")).filter("n > 1"))
     shared = tokens.join(often, ["cluster", "shingle"])
     # Bounded by a set's own shingles.
     held = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
@@ -228,11 +229,11 @@ def _parted(cluster: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     alone = size - F.size("held")
     prefix = F.greatest(size - F.ceil(size * percent / 100) + 1 - alone, F.lit(0)).cast("int")
     first = scratch.save(own.join(held, "node").select("cluster", "node", F.explode(F.slice("held", F.lit(1), prefix)).alias("h")).select("cluster", "node", "h.shingle"))
-    hubs = first.groupBy("cluster", "shingle").agg(F.min("node").alias("hub"))
+    hubs = scratch.save(first.groupBy("cluster", "shingle").agg(F.min("node").alias("hub")))
     parts = components(first.join(hubs, ["cluster", "shingle"]).select(F.col("node").alias("u"), F.col("hub").alias("v")), scratch)
     parts = own.join(parts.select(F.col("id").alias("node"), "component_id"), "node").select(F.col("component_id").alias("cluster"), "node", "comp", "n_shingles")
     out = scratch.save(cluster.join(large, "cluster", "left_anti").select("cluster", "node", "comp", "n_shingles").union(parts))
-    scratch.drop(tokens)
+    scratch.drop(tokens, often, first, hubs)
     return out
 
 
