@@ -215,7 +215,7 @@ def _place(docs: DataFrame) -> Column | None:
         docs.select(at["row_index"])
     except AnalysisException:
         return None
-    return F.xxhash64(at["file_name"], at["row_index"])
+    return F.xxhash64(at["file_path"], at["row_index"])
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
