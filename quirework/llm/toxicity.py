@@ -338,9 +338,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: in
         picked |= {r.doc_id: r.y for r in ids.filter(F.col("y") == y).orderBy("h").limit(n).collect()}
     if not picked:
         return [], []
-    rows = usable.filter(F.col("doc_id").isin(list(picked))).dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return [r.text for r in rows], [picked[r.doc_id] for r in rows]
+    # At most TRAIN_TOXIC and TRAIN_CLEAN ids; of texts that share one the first, the same on every run.
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long"))
+    rows = dict(usable.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text")).toLocalIterator())
+    order = sorted(rows)
+    return [rows[i] for i in order], [picked[i] for i in order]
 
 
 def _score(model: Field):
