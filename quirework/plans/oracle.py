@@ -352,3 +352,25 @@ ORACLES |= {
       SELECT r_regionkey AS doc_id, 1 AS level, r_name AS title, 1 AS page_no, -1 AS a FROM region UNION ALL SELECT n_regionkey, 2, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 10 ELSE 1 END, n_nationkey FROM nation)
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS toc_ord, level, title, page_no FROM o""",
 }
+
+
+#: Documents in pages of 20 lines.
+_PDF = """
+WITH l AS (
+  SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), p AS (
+  SELECT doc_id, source, CAST(unnest(range(1, (len(l) - 1) // 20 + 2)) AS INTEGER) AS k, l FROM l
+)
+"""
+
+ORACLES["pdf_pages"] = _PDF + """
+SELECT doc_id, k AS page_no, coalesce(array_to_string(list_filter(l[k * 20 - 19 : k * 20], lambda x: x <> ''), chr(10)), '') AS text, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height, NULL::VARCHAR AS error FROM p
+"""
+
+ORACLES["pdf_metadata"] = _PDF + """
+SELECT doc_id, 'doc ' || doc_id AS title, nullif(source, '') AS author, NULL::VARCHAR AS subject, max(k) AS page_count FROM p GROUP BY doc_id, source
+"""
+
+ORACLES["pdf_outline"] = _PDF + """
+SELECT doc_id, k AS toc_ord, 1 + CAST(k % 2 = 0 AS INTEGER) AS level, 'Page ' || k || ' of ' || coalesce(source, '?') AS title, CASE WHEN k % 5 = 0 THEN 1 ELSE k END AS page_no FROM p
+"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.config import FLOW_PRESETS, Flow, Grouping, Settings
 from ..operators import agents, extract, grouping, merge, model, output, parse, query, stats, store
+from ..sources import pdf_source
 from ..sources import readers as R
 from . import flow
 
@@ -574,3 +575,32 @@ def outline_page_refs(spark, sf):
     low = nation.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("title"), F.concat(F.lit("p"), "n_nationkey").alias("page_ref"))
     refs = nation.filter("n_nationkey % 2 = 0").select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("p"), "n_nationkey").alias("page_ref"), (F.col("n_nationkey") + 10).alias("page_no"))
     return R.outline(top.union(low), refs)
+
+
+# Documents as PDF files and back.
+
+PDF_LINES = 20
+
+
+def pdf_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    """``documents`` as PDF bytes: pages of 20 lines, an outline item for each page, every second one under the item before, every fifth without a page."""
+    docs = R.table(spark, sf, "documents").select("doc_id", "source", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    docs = docs.withColumn("pages", F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PDF_LINES).cast("int")), lambda k: F.slice("lines", k * PDF_LINES + 1, F.lit(PDF_LINES))))
+    item = lambda p, k: F.struct(F.concat(F.lit("Page "), k + 1, F.lit(" of "), F.coalesce("source", F.lit("?"))).alias("title"), F.when((k + 1) % 5 != 0, k + 1).alias("page"), F.when((k + 1) % 2 == 0, k - 1).alias("parent"))
+    return pdf_source.to_bytes(docs.select("doc_id", F.concat(F.lit("doc "), "doc_id").alias("title"), F.col("source").alias("author"), "pages", F.transform("pages", item).alias("items")))
+
+
+@query_of
+def pdf_pages(spark, sf):
+    """Text and size of the pages of PDF files; lines without text leave no trace in a file."""
+    return pdf_source.from_bytes(pdf_fixture(spark, sf), "pages", keep=("doc_id",)).select("doc_id", "page_no", "text", "width", "height", "error")
+
+
+@query_of
+def pdf_metadata(spark, sf):
+    return R.metadata(pdf_source.from_bytes(pdf_fixture(spark, sf), "metadata", keep=("doc_id",))).select("doc_id", "title", "author", "subject", "page_count")
+
+
+@query_of
+def pdf_outline(spark, sf):
+    return R.outline(pdf_source.from_bytes(pdf_fixture(spark, sf), "outline", keep=("doc_id",)))
