@@ -25,11 +25,11 @@ def words(text: Column) -> Column:
 
 def bucket_array(own: Column, max_n: int = 1, buckets: int = BUCKETS) -> Column:
     """Bucket of each run of 1 to ``max_n`` consecutive words of an array of words, repeats included."""
-    grams = own
-    for n in range(2, max_n + 1):
+    def grams_of(n: int) -> Column:
         starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        # The size of the slices is bound by this loop's n.
-        grams = F.concat(grams, F.transform(starts, lambda i, n=n: F.array_join(F.slice(own, i, n), " ")))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, n), " "))
+
+    grams = F.concat(own, *[grams_of(n) for n in range(2, max_n + 1)]) if max_n > 1 else own
     return F.transform(grams, lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(buckets)).cast("int"))
 
 
