@@ -188,8 +188,8 @@ def stamp(now: str | None) -> Column:
 
 
 def outcome(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds what every result has, however it came about: agent_id, extracted_by, llm_enhanced, success, error, duration_ms, tokens_used."""
-    kinds = {"agent_id": "string", "extracted_by": "string", "llm_enhanced": "boolean", "success": "boolean", "error": "string", "duration_ms": "long", "tokens_used": "long"}
+    """Adds what every result has, however it came about: agent_id, extracted_by, llm_enhanced, success, error, duration_ms, tokens_used, extra (see ``fields``)."""
+    kinds = {"agent_id": "string", "extracted_by": "string", "llm_enhanced": "boolean", "success": "boolean", "error": "string", "duration_ms": "long", "tokens_used": "long", "extra": "variant"}
     base = {"agent_id": F.concat(F.lit("agent-"), "group_id"), "success": F.lit(True), "duration_ms": F.lit(0), "tokens_used": F.lit(0)}
     return df.withColumns({name: columns.get(name, base.get(name, F.lit(None))).cast(kind) for name, kind in kinds.items()})
 

@@ -18,6 +18,7 @@ from ..functions.config import EXTRACTION_PROMPT, Execution
 from ..functions.scratch import Scratch
 from ..functions.text import json_object, or_default
 from . import grouping
+from .fields import bag
 from .extract import ENTITIES, SECTIONS, TABLES, joined, outcome, stamp
 
 Message = dict[str, str]
@@ -202,7 +203,7 @@ def extraction_prompts(rows: DataFrame, prompt: str | None = None, schema: str |
 
 
 def _replied(replies: DataFrame) -> DataFrame:
-    return replies.select("doc_id", "group_ord", parsed(F.col("response"), EXTRACTED).alias("m"), "success", "error", "duration_ms", "tokens_used")
+    return replies.select("doc_id", "group_ord", parsed(F.col("response"), EXTRACTED).alias("m"), "success", "error", "duration_ms", "tokens_used", bag(F.col("response")).alias("extra"))
 
 
 def _tables() -> Column:
@@ -212,18 +213,18 @@ def _tables() -> Column:
 def extracted(rows: DataFrame, replies: DataFrame, now: str | None = None) -> DataFrame:
     """Results of ``extract.group_rows`` that are what a model replied: its title (or else the group's), summary, entities, sections and tables.
 
-    A group whose call failed is a result that failed. There is no raw content.
+    A group whose call failed is a result that failed. There is no raw content. Fields of a reply that aren't among these are in ``extra``.
     """
     out = rows.drop("pages").join(_replied(replies), ["doc_id", "group_ord"], "left")
     agent = F.concat(F.lit("subagent-"), "group_id")
     fields = {"title": or_default(F.col("m.title"), F.col("title")), "summary": F.col("m.summary"), "raw_content": F.lit(None).cast("string"), "entities": F.col("m.entities").cast(ENTITIES), "sections": F.col("m.sections").cast(SECTIONS), "tables": _tables(), "extracted_at": stamp(now)}
-    kept = {c: F.col(c) for c in ("error", "duration_ms", "tokens_used")}
+    kept = {c: F.col(c) for c in ("error", "duration_ms", "tokens_used", "extra")}
     return outcome(out.withColumns(fields), agent_id=agent, extracted_by=agent, success=F.coalesce("success", F.lit(False)), **kept).drop("m")
 
 
 def enhanced(base: DataFrame, replies: DataFrame) -> DataFrame:
     """Results found by patterns with whatever fields a model's reply has over their own; where the call failed they stay as they are."""
-    out = base.drop("error", "duration_ms", "tokens_used").join(_replied(replies).withColumnRenamed("success", "replied").drop("error"), ["doc_id", "group_ord"], "left")
+    out = base.drop("error", "duration_ms", "tokens_used", "extra").join(_replied(replies).withColumnRenamed("success", "replied").drop("error"), ["doc_id", "group_ord"], "left")
     fields = {c: F.coalesce(f"m.{c}", c) for c in ("title", "summary")} | {"entities": F.coalesce(F.col("m.entities").cast(ENTITIES), F.col("entities")), "sections": F.coalesce(F.col("m.sections").cast(SECTIONS), F.col("sections")), "tables": F.coalesce(_tables(), F.col("tables"))}
     out = out.withColumns(fields | {"llm_enhanced": F.when(F.col("replied"), True), "error": F.lit(None).cast("string")})
     return out.select(*base.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config
 from ..functions.config import Flow, Output, Settings
-from ..operators import agents, extract, grouping, merge, model, output, parse, stats
+from ..operators import agents, extract, fields, grouping, merge, model, output, parse, stats
 
 
 @dataclass
@@ -30,6 +30,13 @@ class Run:
         """doc_id, output in the settings' format, or another with the defaults of an export."""
         return output.format_output(self.merged, Output(fmt) if fmt else self.settings.output)
 
+    def fields(self, schema: str | None = None) -> DataFrame:
+        """doc_id, and what a model extracted beyond the standard fields: as ``schema`` or the settings' says, the rest as an object (see ``fields.by_document``)."""
+        schema = schema or self.settings.extraction.schema
+        if not fields.is_schema(schema):
+            raise ValueError("fields need a schema of columns and types")
+        return fields.by_document(self.results, schema)
+
 
 def run(
     pages: DataFrame, toc: DataFrame | None = None, settings: Settings = Settings(), client: model.Client | None = None, hooks: dict[str, Callable] | None = None, documents: DataFrame | None = None, agent: agents.Agent | None = None, agent_configs: DataFrame | None = None, now: str | None = None

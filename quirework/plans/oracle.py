@@ -374,3 +374,19 @@ SELECT doc_id, 'doc ' || doc_id AS title, nullif(source, '') AS author, NULL::VA
 ORACLES["pdf_outline"] = _PDF + """
 SELECT doc_id, k AS toc_ord, 1 + CAST(k % 2 = 0 AS INTEGER) AS level, 'Page ' || k || ' of ' || coalesce(source, '?') AS title, CASE WHEN k % 5 = 0 THEN 1 ELSE k END AS page_no FROM p
 """
+
+
+#: Parts of ten pages whose extraction succeeds, and what the client adds to each.
+ORACLES["custom_fields"] = """
+WITH d AS (
+  SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY o_custkey
+), g AS (
+  SELECT doc_id, a, least(a + 9, n) AS b FROM (SELECT doc_id, n, unnest(range(1, n + 1, 10)) AS a FROM d)
+), p AS (SELECT * FROM g WHERE a <> 21 AND b <> 3)
+SELECT doc_id,
+  CAST(min_by(b - a + 1, a) FILTER (WHERE a > 1) AS INTEGER) AS span,
+  string_agg('t' || a % 3 || ',u' || a, ',' ORDER BY a) AS tags,
+  'n' || min(a) AS owner, CAST(min(a) % 5 AS INTEGER) AS level,
+  '{"color":"c' || min(a) % 4 || '"' || coalesce(',"even":' || min(b) FILTER (WHERE b % 2 = 0), '') || '}' AS rest
+FROM p GROUP BY doc_id
+"""

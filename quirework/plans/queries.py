@@ -407,6 +407,18 @@ class RuleClient:
         return model.Reply(json.dumps(out), 7)
 
 
+class FieldClient(RuleClient):
+    """Adds fields of its own to what is extracted of a part, one of them of a type that not every part keeps to."""
+
+    def complete_json(self, messages: list[model.Message]) -> model.Reply:
+        reply = super().complete_json(messages)
+        a, b = (int(x) for x in re.search(r"Pages: (\d+) to (\d+)", messages[-1]["content"]).groups())
+        own = {"span": b - a + 1 if a > 1 else "unknown", "tags": [f"t{a % 3}", f"u{a}"], "owner": {"name": f"n{a}", "level": a % 5}, "color": f"c{a % 4}"}
+        if b % 2 == 0:
+            own |= {"even": b, "note": None}
+        return model.Reply(json.dumps(json.loads(reply.content) | own), reply.tokens)
+
+
 FIXED_RUN = Settings().with_(grouping={"strategy": "fixed"}, execution={"retries": 0})
 
 
@@ -604,3 +616,16 @@ def pdf_metadata(spark, sf):
 @query_of
 def pdf_outline(spark, sf):
     return R.outline(pdf_source.from_bytes(pdf_fixture(spark, sf), "outline", keep=("doc_id",)))
+
+
+# Fields of one's own in what a model extracts.
+
+FIELD_SCHEMA = "span int, tags array<string>, owner struct<name:string,level:int>"
+
+
+@query_of
+def custom_fields(spark, sf):
+    """Fields that a caller's schema names come out typed, merged by document; what else a reply has stays in the open object."""
+    run = flow.run(R.report_pages(spark, sf), settings=FIXED_RUN.with_(extraction={"schema": FIELD_SCHEMA}), client=FieldClient(), now=NOW)
+    out = run.fields()
+    return out.select("doc_id", "span", F.array_join("tags", ",").alias("tags"), F.col("owner.name").alias("owner"), F.col("owner.level").alias("level"), F.to_json("rest").alias("rest"))
