@@ -92,6 +92,8 @@ class Execution:
     retry_delay_ms: int = 1000
     timeout_ms: int = 60000
     continue_on_error: bool = True
+    #: Folder of replies that outlives a run: a prompt that has a reply there isn't sent again.
+    replies: str | None = None
 
     def __post_init__(self):
         _bounds("max_concurrency", self.max_concurrency, 1, 20)

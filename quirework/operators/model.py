@@ -7,19 +7,22 @@ import re
 import threading
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.config import EXTRACTION_PROMPT, Execution
 from ..functions.scratch import Scratch
 from ..functions.text import json_object, or_default
 from . import grouping
-from .fields import bag
 from .extract import ENTITIES, SECTIONS, TABLES, joined, outcome, stamp
+from .fields import bag
+from .replies import ReplyLog, TaskLog, prompt_key
 
 Message = dict[str, str]
 #: Groups (doc_id, group_id) that bear on a question, of all groups.
@@ -122,58 +125,106 @@ def _within(call: Callable[[], Reply], seconds: float) -> Reply:
     return reply
 
 
+def windows(spark: SparkSession, limit: int | None) -> tuple[int, int | None]:
+    """(calls in flight in a task, number of tasks or None for those of the data) that keep the calls in flight within ``limit``.
+
+    With room for every task slot of the cluster tasks are many and each has its share; else there are as many tasks as calls. Slots that may come later count too.
+    """
+    if not limit:
+        return 1, None
+    conf, slots = spark.sparkContext.getConf(), spark.sparkContext.defaultParallelism
+    if conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        most = conf.get("spark.dynamicAllocation.maxExecutors")
+        slots = int(most) * int(conf.get("spark.executor.cores", "1")) if most else limit + 1
+    if slots > limit:
+        return 1, limit
+    return limit // slots, max(slots, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def run(
-    prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 1000, max_concurrency: int | None = None, timeout_ms: int | None = None, as_json: bool = False, continue_on_error: bool = False
+    prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 1000, max_concurrency: int | None = None, timeout_ms: int | None = None, as_json: bool = False, continue_on_error: bool = False, log: ReplyLog | None = None
 ) -> DataFrame:
     """Adds response, tokens_used, duration_ms, success, error to rows with columns system and prompt.
 
     A prompt that fails after its retries is a row with the error, never a failed task. ``max_concurrency`` bounds the calls in flight,
     ``timeout_ms`` the time of each call. With ``as_json`` a reply that holds no JSON object has failed. With ``continue_on_error`` a call that fails is not
     tried again, only one that ran out of time is. Columns max_retries and call_timeout_ms, if there are any, go before ``retries`` and ``timeout_ms`` in their row.
+    Replies go to ``log`` as they come, if one is given, under the column prompt_key; a task that starts again sends none that it has there.
     """
-    if max_concurrency:
-        prompts = prompts.repartition(max_concurrency)
+    window, tasks = windows(prompts.sparkSession, max_concurrency)
+    if tasks:
+        prompts = prompts.repartition(tasks)
     if timeout_ms and isinstance(client, HttpClient):
         client = replace(client, timeout_s=timeout_ms / 1000)
+    this_run = uuid.uuid4().hex
 
     def ask(messages: list[Message]) -> Reply:
         return complete_json(client, messages) if as_json else client.complete(messages)
 
+    def one(row: dict, own_log: TaskLog | None) -> tuple:
+        if own_log and row["prompt_key"] in own_log.known:
+            return own_log.known[row["prompt_key"]]
+        own = lambda name, default: default if row.get(name) is None or row[name] != row[name] else int(row[name])
+        limit, tries = own("call_timeout_ms", timeout_ms), own("max_retries", retries) + 1
+        messages = [{"role": "system", "content": row["system"]}, {"role": "user", "content": row["prompt"]}]
+        began, error, reply = time.monotonic(), None, None
+        for attempt in range(tries):
+            try:
+                reply = _within(lambda: ask(messages), limit / 1000) if limit else ask(messages)
+                break
+            except Exception as e:
+                error = str(e)
+                if continue_on_error and not isinstance(e, TimeoutError):
+                    break
+                if attempt < tries - 1:
+                    time.sleep(delay_ms / 1000 * 2**attempt)
+        took = int(1000 * (time.monotonic() - began))
+        if reply is None:
+            return None, 0, took, False, error
+        if own_log:
+            own_log.add(row["prompt_key"], reply.content, reply.tokens, took)
+        return reply.content, reply.tokens, took, True, None
+
     def batch(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                own = lambda name, default: default if row.get(name) is None or row[name] != row[name] else int(row[name])
-                limit, tries = own("call_timeout_ms", timeout_ms), own("max_retries", retries) + 1
-                messages = [{"role": "system", "content": row["system"]}, {"role": "user", "content": row["prompt"]}]
-                began, error, reply = time.monotonic(), None, None
-                for attempt in range(tries):
-                    try:
-                        reply = _within(lambda: ask(messages), limit / 1000) if limit else ask(messages)
-                        break
-                    except Exception as e:
-                        error = str(e)
-                        if continue_on_error and not isinstance(e, TimeoutError):
-                            break
-                        if attempt < tries - 1:
-                            time.sleep(delay_ms / 1000 * 2**attempt)
-                out.append((reply and reply.content, reply.tokens if reply else 0, int(1000 * (time.monotonic() - began)), reply is not None, None if reply else error))
-            for k, name in enumerate(("response", "tokens_used", "duration_ms", "success", "error")):
-                pdf[name] = [o[k] for o in out]
-            yield pdf
+        own_log = TaskLog(log, this_run) if log else None
+        with ThreadPoolExecutor(window) as pool:
+            for pdf in batches:
+                rows = pdf.to_dict("records")
+                # In the rows' order; of a batch so many are in flight as the window has.
+                out = list(pool.map(lambda row: one(row, own_log), rows) if window > 1 else (one(row, own_log) for row in rows))
+                for k, name in enumerate(("response", "tokens_used", "duration_ms", "success", "error")):
+                    pdf[name] = [o[k] for o in out]
+                yield pdf
+        if own_log:
+            own_log.close()
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema], "response string, tokens_used long, duration_ms long, success boolean, error string"])
     return prompts.mapInPandas(batch, schema)
 
 
 def called(prompts: DataFrame, client: Client, execution: Execution = Execution(), as_json: bool = True, name: str = "replies") -> DataFrame:
-    """``run`` under a run's settings, its rows written once: whatever reads them, each prompt is sent once."""
-    e = execution
-    replies = run(prompts, client, e.retries, e.retry_delay_ms, e.max_concurrency, e.timeout_ms, as_json, e.continue_on_error)
-    return Scratch(prompts.sparkSession, name).save(replies)
+    """``run`` under a run's settings, its rows written once: whatever reads them, each prompt is sent once.
 
-
-#: Replies as Spark types.
+    With a folder of replies in the settings, prompts that have one there aren't sent, and one that several rows share is sent once; ``sent`` says of each row whether this run asked.
+    """
+    e, scratch = execution, Scratch(prompts.sparkSession, name)
+    options = (client, e.retries, e.retry_delay_ms, e.max_concurrency, e.timeout_ms, as_json, e.continue_on_error)
+    if e.replies is None:
+        return scratch.save(run(prompts, *options))
+    log, columns = ReplyLog(e.replies), prompts.columns
+    keyed = scratch.save(prompts.withColumn("prompt_key", prompt_key(client, as_json)))
+    known = scratch.save(log.read(prompts.sparkSession).join(keyed.select("prompt_key").distinct(), "prompt_key", "left_semi"))
+    needs = ["prompt_key", "system", "prompt", *[c for c in ("max_retries", "call_timeout_ms") if c in columns]]
+    missing = keyed.join(known.select("prompt_key"), "prompt_key", "left_anti").select(needs).dropDuplicates(["prompt_key"])
+    asked = scratch.save(run(missing, *options, log=log))
+    told = ["response", "tokens_used", "duration_ms", "success", "error"]
+    replies = asked.select("prompt_key", *told, F.lit(True).alias("sent")).unionByName(known.withColumns({"success": F.lit(True), "error": F.lit(None).cast("string"), "sent": F.lit(False)}))
+    out = scratch.save(keyed.join(replies, "prompt_key").select(*columns, *told, "sent"))
+    scratch.drop(keyed, known, asked)
+    return out
+
+
+#: Replies as Spark types; the names in them are the replies' own (fixed values).
 EXTRACTED = "title string, summary string, entities array<struct<type:string,name:string,value:string,confidence:double>>, sections array<struct<heading:string,content:string,level:int>>, tables array<struct<headers:array<string>,rows:array<array<string>>,caption:string,pageNumber:int>>"
 ANALYSED = "documentType string, summary string, recommendedStrategy string, groups array<struct<id:string,title:string,startPage:int,endPage:int,reasoning:string,suggestedExtractionType:string>>, metadata struct<hasTOC:boolean,hasHeadings:boolean,estimatedComplexity:string>"
 ANSWERED = "answer string, entities array<struct<type:string,name:string,value:string,confidence:double>>, relevantExcerpt string"

@@ -390,3 +390,15 @@ SELECT doc_id,
   '{"color":"c' || min(a) % 4 || '"' || coalesce(',"even":' || min(b) FILTER (WHERE b % 2 = 0), '') || '}' AS rest
 FROM p GROUP BY doc_id
 """
+
+
+#: Sent again: what the first run had no reply for. Parts from page 21 on and those that end on page 3 have none in either.
+ORACLES["resumed_calls"] = """
+WITH d AS (
+  SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY o_custkey
+), g AS (
+  SELECT doc_id, a, least(a + 9, n) AS b FROM (SELECT doc_id, n, unnest(range(1, n + 1, 10)) AS a FROM d)
+)
+SELECT doc_id, CAST(a // 10 AS INTEGER) AS group_ord, a <> 21 AND b <> 3 AS success, a = 11 OR a = 21 OR b = 3 AS sent,
+  CAST(CASE WHEN a <> 21 AND b <> 3 THEN 7 ELSE 0 END AS BIGINT) AS tokens_used, CASE WHEN a <> 21 AND b <> 3 THEN 'Part ' || a END AS title FROM g
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.config import FLOW_PRESETS, Flow, Grouping, Settings
+from ..functions.scratch import Scratch
 from ..operators import agents, extract, grouping, merge, model, output, parse, query, stats, store
 from ..sources import pdf_source
 from ..sources import readers as R
@@ -618,6 +619,28 @@ def pdf_outline(spark, sf):
     return R.outline(pdf_source.from_bytes(pdf_fixture(spark, sf), "outline", keep=("doc_id",)))
 
 
+class StoppingClient(RuleClient):
+    """Has no reply for parts that begin at page 11, as a service that goes away."""
+
+    def complete_json(self, messages: list[model.Message]) -> model.Reply:
+        if re.search(r"Pages: 11 to ", messages[-1]["content"]):
+            raise RuntimeError("gone")
+        return super().complete_json(messages)
+
+
+@query_of
+def resumed_calls(spark, sf):
+    """A run that a service left, made again: only what has no reply yet is sent. All documents' parts are asked for the same."""
+    rows = extract.group_rows(grouping.fixed_groups(R.report_pages(spark, sf)), R.report_pages(spark, sf))
+    prompts = model.extraction_prompts(rows).select("doc_id", "group_ord", "start_page", "system", "prompt")
+    kept = FIXED_RUN.with_(execution={"replies": Scratch(spark, "resumed").root}).execution
+    # The log tells clients apart by their kind.
+    first = type("Service", (StoppingClient,), {})()
+    model.called(prompts, first, kept)
+    again = model.called(prompts, type("Service", (RuleClient,), {})(), kept)
+    return again.select("doc_id", "group_ord", "success", "sent", "tokens_used", F.get_json_object("response", "$.title").alias("title"))
+
+
 # Fields of one's own in what a model extracts.
 
 FIELD_SCHEMA = "span int, tags array<string>, owner struct<name:string,level:int>"
