@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import config
 from ..functions.config import Flow, Output, Settings
 from ..operators import agents, extract, fields, grouping, merge, model, output, parse, stats
+from ..sources import file_sink
 
 
 @dataclass
@@ -116,6 +117,12 @@ class Job:
         return own.select("execution_id", F.coalesce("output", F.lit(empty.get(fmt, '{\n  "sections": [],\n  "entities": [],\n  "tables": [],\n  "metadata": {}\n}'))).alias("output"))
 
 
+    def export_files(self, path: str, fmt: str, folders: int = 0) -> None:
+        """Writes the export as files named by execution, all of them or none; what was under ``path`` goes when they are there."""
+        files = self.export(fmt).select(F.col("execution_id").alias("name"), F.col("output").alias("content"))
+        file_sink.write_files(files, path, file_sink.EXTENSIONS.get(fmt, ".json"), folders=folders)
+
+
 class Flows:
     """Flows run one after another with a client (or by patterns without one), and what became of them. Holds plans, not rows."""
 
@@ -171,3 +178,9 @@ def batch(job_id: str, flow: Flow, pages: DataFrame, toc: DataFrame | None = Non
 def export(run_: Run, path: str, fmt: str | None = None) -> None:
     """Writes the formatted documents of a run as Parquet."""
     run_.formatted(fmt).write.mode("overwrite").parquet(path)
+
+
+def export_files(run_: Run, path: str, fmt: str | None = None, folders: int = 0) -> None:
+    """Writes the formatted documents of a run as files named by document, all of them or none."""
+    files = run_.formatted(fmt).select(F.col("doc_id").cast("string").alias("name"), F.col("output").alias("content"))
+    file_sink.write_files(files, path, file_sink.EXTENSIONS.get(fmt or run_.settings.output.format, ".json"), folders=folders)

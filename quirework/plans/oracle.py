@@ -402,3 +402,6 @@ WITH d AS (
 SELECT doc_id, CAST(a // 10 AS INTEGER) AS group_ord, a <> 21 AND b <> 3 AS success, a = 11 OR a = 21 OR b = 3 AS sent,
   CAST(CASE WHEN a <> 21 AND b <> 3 THEN 7 ELSE 0 END AS BIGINT) AS tokens_used, CASE WHEN a <> 21 AND b <> 3 THEN 'Part ' || a END AS title FROM g
 """
+
+
+ORACLES["export_files"] = ORACLES["export_batch"]

@@ -652,3 +652,12 @@ def custom_fields(spark, sf):
     run = flow.run(R.report_pages(spark, sf), settings=FIXED_RUN.with_(extraction={"schema": FIELD_SCHEMA}), client=FieldClient(), now=NOW)
     out = run.fields()
     return out.select("doc_id", "span", F.array_join("tags", ",").alias("tags"), F.col("owner.name").alias("owner"), F.col("owner.level").alias("level"), F.to_json("rest").alias("rest"))
+
+
+@query_of
+def export_files(spark, sf):
+    """The files of a job's export, read again: one for each execution."""
+    path = Scratch(spark, "export").root + "/files"
+    _job(spark, sf).export_files(path, "summary")
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt\z", "")
+    return spark.read.text(path, wholetext=True).select(name.alias("execution_id"), F.col("value").alias("output"))
