@@ -405,3 +405,38 @@ SELECT doc_id, CAST(a // 10 AS INTEGER) AS group_ord, a <> 21 AND b <> 3 AS succ
 
 
 ORACLES["export_files"] = ORACLES["export_batch"]
+
+
+
+def _bm25(texts: str, questions: str) -> str:
+    """CTEs up to scored (question_id, doc_id, group_ord, score) of texts (doc_id, group_ord, text) for questions (question_id, question)."""
+    words = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""own AS ({texts}
+), split AS (
+  SELECT doc_id, group_ord, {words.format("text")} AS w FROM own
+), post AS (
+  SELECT doc_id, group_ord, len(w) AS length, term, count(*) AS tf FROM (SELECT doc_id, group_ord, w, unnest(w) AS term FROM split) GROUP BY ALL
+), vocabulary AS (SELECT term, count(*) AS df FROM post GROUP BY term
+), total AS (SELECT count(*) AS n, avg(len(w)) AS average FROM split
+), ask AS (
+  SELECT question_id, unnest(list_distinct({words.format("question")})) AS term FROM ({questions})
+), hits AS (
+  SELECT question_id, doc_id, group_ord, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average))) AS s
+  FROM ask JOIN vocabulary USING (term) JOIN post USING (term), total
+), scored AS (
+  SELECT question_id, doc_id, group_ord, list_reduce(list(s ORDER BY term), lambda a, b: a + b) AS score FROM hits GROUP BY ALL
+)"""
+
+
+ORACLES["search_bm25"] = _with(
+    _bm25("SELECT doc_id, 0 AS group_ord, text FROM documents", "SELECT item_id AS question_id, text AS question FROM benchmark"),
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, group_ord) AS rank FROM scored)",
+    "SELECT question_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
+)
+
+ORACLES["search_routing"] = _with(
+    *G,
+    _bm25("SELECT fixed.doc_id, fixed.group_ord, any_value(fixed.title) || chr(10) || string_agg(pages.text, chr(10) ORDER BY page_no) AS text FROM fixed JOIN pages ON pages.doc_id = fixed.doc_id AND page_no BETWEEN start_page AND end_page GROUP BY fixed.doc_id, fixed.group_ord", "SELECT 0 AS question_id, 'Urgent orders due March 28?' AS question"),
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, group_ord) AS rank FROM scored)",
+    "SELECT doc_id, group_ord, group_id FROM fixed WHERE (doc_id, group_ord) IN (SELECT (doc_id, group_ord) FROM ranked WHERE rank <= 2) OR doc_id NOT IN (SELECT doc_id FROM ranked)",
+)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.config import FLOW_PRESETS, Flow, Grouping, Settings
 from ..functions.scratch import Scratch
-from ..operators import agents, extract, grouping, merge, model, output, parse, query, stats, store
+from ..operators import agents, extract, grouping, index, merge, model, output, parse, query, stats, store
 from ..sources import pdf_source
 from ..sources import readers as R
 from . import flow
@@ -661,3 +661,23 @@ def export_files(spark, sf):
     _job(spark, sf).export_files(path, "summary")
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.txt\z", "")
     return spark.read.text(path, wholetext=True).select(name.alias("execution_id"), F.col("value").alias("output"))
+
+
+# The index that questions search.
+
+
+@query_of
+def search_bm25(spark, sf):
+    """The ten best documents for each text of ``benchmark``."""
+    docs = R.table(spark, sf, "documents").select("doc_id", F.lit(0).alias("group_ord"), F.col("doc_id").cast("string").alias("group_id"), "text")
+    questions = R.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return index.search(index.build(docs), questions, 10).select("question_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query_of
+def search_routing(spark, sf):
+    """The two best groups of each report for a question; reports in which nothing is found keep all."""
+    pages = R.report_pages(spark, sf)
+    groups = grouping.fixed_groups(pages)
+    found = index.router(index.of_groups(groups, pages), 2)("Urgent orders due March 28?", groups)
+    return store.routed_groups(groups, found).select("doc_id", "group_ord", "group_id")
