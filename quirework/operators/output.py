@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,10 +41,10 @@ def markdown_table(table: Column, number: Column) -> Column:
     return F.when(F.size(table["headers"]) == 0, F.concat(title, F.lit("\n"))).otherwise(F.concat(title, F.lit("\n\n"), F.array_join(F.concat(F.array(row(table["headers"]), rule), F.transform(table["rows"], row)), "\n"), F.lit("\n")))
 
 
-@F.udf(T.StringType())
-def _pretty(text):
-    """Two-space indented JSON; Spark's own differs in spacing."""
-    return None if text is None else json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+@F.pandas_udf(T.StringType())
+def _pretty(texts: pd.Series) -> pd.Series:
+    """Two-space indented JSON, whole Arrow batches at a time; Spark's own differs in spacing."""
+    return pd.Series([None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False) for t in texts], dtype=object)
 
 
 def _metadata() -> Column:

@@ -440,3 +440,32 @@ ORACLES["search_routing"] = _with(
     "ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, group_ord) AS rank FROM scored)",
     "SELECT doc_id, group_ord, group_id FROM fixed WHERE (doc_id, group_ord) IN (SELECT (doc_id, group_ord) FROM ranked WHERE rank <= 2) OR doc_id NOT IN (SELECT doc_id FROM ranked)",
 )
+
+
+
+def _indented(json: str) -> str:
+    """Two spaces a level, where the engine writes four; no text of the reports has four in a row."""
+    return f"replace(json_pretty({json}), '    ', '  ')"
+
+
+ORACLES["format_json_indented"] = f"SELECT doc_id, {_indented('output::JSON')} AS output FROM ({ORACLES['format_json']})"
+
+ORACLES["format_markdown_metadata"] = f"""
+SELECT m.doc_id, m.output || chr(10) || '## Metadata' || chr(10) || chr(10) || '```json' || chr(10) || {_indented("j.output::JSON -> 'metadata'")} || chr(10) || '```' AS output
+FROM ({ORACLES["format_markdown"]}) m JOIN ({ORACLES["format_json"]}) j ON j.doc_id = m.doc_id
+"""
+
+
+def _records(part: str, kind: str, **fields: str) -> str:
+    pairs = ", ".join(f"'{k}', json_extract(j, '$.{part}[' || i || '].{v}')" for k, v in fields.items())
+    return f"list_transform(range(json_array_length(j, '$.{part}')::BIGINT), lambda i: json_object('id', '{kind}-' || i, 'type', '{kind}', {pairs}))"
+
+
+ORACLES["search_index_text"] = f"""
+WITH j AS (SELECT doc_id, output::JSON AS j FROM ({ORACLES["format_json"]}))
+SELECT doc_id, {_indented(f"""json_object('title', j -> 'title', 'documents', list_concat(
+  [json_object('id', 'summary', 'type', 'summary', 'content', j -> 'summary', 'title', j -> 'title')],
+  {_records("sections", "section", heading="heading", content="content", level="level")},
+  {_records("entities", "entity", entityType="type", name="name", confidence="confidence")},
+  {_records("tables", "table", headers="headers", rows="rows", pageNumber="pageNumber")}), 'metadata', j -> 'metadata')""")} AS output FROM j
+"""

@@ -681,3 +681,21 @@ def search_routing(spark, sf):
     groups = grouping.fixed_groups(pages)
     found = index.router(index.of_groups(groups, pages), 2)("Urgent orders due March 28?", groups)
     return store.routed_groups(groups, found).select("doc_id", "group_ord", "group_id")
+
+
+# Outputs as a run gives them unless told otherwise: indented, with metadata.
+
+
+@query_of
+def format_json_indented(spark, sf):
+    return output.format_output(merge.merged(_results(spark, sf), now=NOW))
+
+
+@query_of
+def format_markdown_metadata(spark, sf):
+    return output.markdown_text(merge.merged(_results(spark, sf), now=NOW))
+
+
+@query_of
+def search_index_text(spark, sf):
+    return output.search_index(merge.merged(_results(spark, sf), now=NOW))
