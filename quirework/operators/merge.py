@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -10,6 +12,10 @@ from ..functions import text as T
 from ..functions.config import Merging
 
 
+#: Between the contents of groups (fixed value).
+BREAK = "\n\n---\n\n"
+
+
 def succeeded(results: DataFrame) -> DataFrame:
     return results.filter(F.coalesce(F.col("success"), F.lit(False)))
 
@@ -61,7 +67,7 @@ def first_title(results: DataFrame) -> DataFrame:
 
 
 def full_content(results: DataFrame) -> DataFrame:
-    return succeeded(results).groupBy("doc_id").agg(_joined("raw_content", "\n\n---\n\n").alias("full_content"))
+    return succeeded(results).groupBy("doc_id").agg(_joined("raw_content", BREAK).alias("full_content"))
 
 
 def merge_metadata(results: DataFrame) -> DataFrame:
@@ -136,9 +142,93 @@ def merged(results: DataFrame, merging: Merging = Merging(), now: str | None = N
         section_array(sections, merging).alias("sections"),
         best_array(entities, merging).alias("entities"),
         tables.alias("tables"),
-        F.array_join(filled("raw_content"), "\n\n---\n\n").alias("full_content"),
+        F.array_join(filled("raw_content"), BREAK).alias("full_content"),
         "total_groups",
         "successful_groups",
         F.transform("r", lambda x: x["m"]).alias("of_groups"),
         stamp(now).alias("extracted_at"),
     )
+
+
+@dataclass
+class Parts:
+    """Merged documents as tables, none of which has a whole document in a row.
+
+    ``documents``: doc_id, title, summary, total_groups, successful_groups, extracted_at; ``sections``: doc_id, rank, heading, level, content; ``entities``: doc_id, rank, type, name, value, confidence;
+    ``tables``: doc_id, group_ord, i, headers, rows, caption, page_no; ``contents``: doc_id, piece, content, pieces to be joined by a break; ``groups``: doc_id, group_ord, m.
+    """
+
+    documents: DataFrame
+    sections: DataFrame
+    entities: DataFrame
+    tables: DataFrame
+    contents: DataFrame
+    groups: DataFrame
+
+    def whole(self) -> DataFrame:
+        """One row per document, as ``merged``."""
+
+        def listed(df: DataFrame, order: list[str], name: str, fields: list[str]) -> DataFrame:
+            rows = F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("e"))), lambda a, b: _compared(a, b, order))
+            return df.groupBy("doc_id").agg(F.transform(rows, lambda x: x["e"]).alias(name))
+
+        sections = listed(self.sections, ["rank"], "sections", ["rank", "heading", "level", "content"])
+        entities = listed(self.entities, ["rank"], "entities", ["rank", "type", "name", "value", "confidence"])
+        tables = listed(self.tables, ["group_ord", "i"], "tables", ["group_ord", "i", "headers", "rows", "caption", "page_no"])
+        groups = listed(self.groups, ["group_ord"], "of_groups", ["m.*"])
+        contents = self.contents.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "content"))), lambda x: x["content"]), BREAK).alias("full_content"))
+        out = self.documents
+        for own in (sections, entities, tables, groups, contents):
+            out = out.join(own, "doc_id", "left")
+        kinds = {own.columns[1]: own.schema[own.columns[1]].dataType for own in (sections, entities, tables, groups)}
+        out = out.withColumns({name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in kinds.items()} | {"full_content": F.coalesce("full_content", F.lit(""))})
+        return out.select("doc_id", "title", "summary", "sections", "entities", "tables", "full_content", "total_groups", "successful_groups", "of_groups", "extracted_at")
+
+
+def _compared(a: Column, b: Column, order: list[str]) -> Column:
+    """-1, 0 or 1 by whole numbers in ``order``."""
+    out = F.lit(0)
+    for name in reversed(order):
+        out = F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(out)
+    return out
+
+
+def in_parts(results: DataFrame, merging: Merging = Merging(), now: str | None = None, segment: int = 1000) -> Parts:
+    """As ``merged``, for documents of any number of groups.
+
+    What can be combined early is: an entity's best by its key, a summary's beginning by segments of ``segment`` groups. A heading's contents are folded by heading, as that goes by their order; texts are
+    joined by segment. So no task holds more of a document than a segment, one heading's contents, or the beginnings of its segments' summaries.
+    """
+    from .extract import stamp
+
+    own = succeeded(results)
+    piece = F.floor(F.col("group_ord") / segment).alias("piece")
+    each = lambda c: own.select("doc_id", "group_ord", F.posexplode(c).alias("i", "e"))
+    place = F.struct("group_ord", "i").alias("ord")
+
+    parts = own.groupBy("doc_id", piece).agg(
+        F.count("*").alias("total"), F.count_if("success").alias("ok"), F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("group_ord"))).alias("title"),
+        F.substring(_joined("summary", " "), 1, merging.summary_limit + 1).alias("summary"),
+    )
+    starts = F.array_sort(F.collect_list(F.when(F.col("summary") != "", F.struct("piece", "summary"))))
+    per = parts.groupBy("doc_id").agg(F.sum("total").alias("total_groups"), F.sum("ok").alias("successful_groups"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("piece"))).alias("title"), F.array_join(F.transform(starts, lambda x: x["summary"]), " ").alias("s"))
+    # A summary over the limit is longer by one letter or more, which is all that counts of the rest.
+    text = F.when(F.col("s") == "", T.NO_SUMMARY).otherwise(T.truncate_sentence(F.substring("s", 1, merging.summary_limit + 1), merging.summary_limit))
+    documents = per.select("doc_id", "title", text.alias("summary"), "total_groups", "successful_groups", stamp(now).alias("extracted_at"))
+
+    found = each("entities").select("doc_id", place, "e.type", F.lower("e.name").alias("key"), F.coalesce(-F.col("e.confidence"), F.lit(float("inf"))).alias("d"), F.struct("e.type", "e.name", "e.value", "e.confidence").alias("t"))
+    if merging.deduplicate:
+        first = found.groupBy("doc_id", "type", "key", "d").agg(F.min("ord").alias("ord"), F.min_by("t", "ord").alias("t"))
+        found = first.groupBy("doc_id", "type", "key").agg(F.min("d").alias("d"), F.min("ord").alias("ord"), F.min_by("t", "d").alias("t"))
+    order = Window.partitionBy("doc_id").orderBy(*(["d"] if merging.sort_entities else []), "ord")
+    entities = found.select("doc_id", F.row_number().over(order).alias("rank"), "t.*")
+
+    heads = each("sections").select("doc_id", place, "e.heading", "e.level", "e.content")
+    if merging.merge_sections:
+        sections = merged_sections(heads)
+    else:
+        order = Window.partitionBy("doc_id").orderBy("level", F.collate("heading", "UNICODE"), "ord")
+        sections = heads.withColumn("rank", F.row_number().over(order))
+    sections = sections.select("doc_id", "rank", "heading", "level", "content")
+    contents = own.groupBy("doc_id", piece).agg(_joined("raw_content", BREAK).alias("content")).filter("content <> ''")
+    return Parts(documents, sections, entities, each("tables").select("doc_id", "group_ord", "i", "e.headers", "e.rows", "e.caption", "e.page_no"), contents, own.select("doc_id", "group_ord", group_metadata().alias("m")))

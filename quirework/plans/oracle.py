@@ -469,3 +469,6 @@ SELECT doc_id, {_indented(f"""json_object('title', j -> 'title', 'documents', li
   {_records("entities", "entity", entityType="type", name="name", confidence="confidence")},
   {_records("tables", "table", headers="headers", rows="rows", pageNumber="pageNumber")}), 'metadata', j -> 'metadata')""")} AS output FROM j
 """
+
+
+ORACLES["merged_in_parts"] = ORACLES["format_json"]

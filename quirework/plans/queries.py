@@ -699,3 +699,9 @@ def format_markdown_metadata(spark, sf):
 @query_of
 def search_index_text(spark, sf):
     return output.search_index(merge.merged(_results(spark, sf), now=NOW))
+
+
+@query_of
+def merged_in_parts(spark, sf):
+    """Documents merged part by part, as those of very many groups are, and put together again."""
+    return output.json_text(merge.in_parts(_results(spark, sf), now=NOW, segment=2).whole(), pretty=False)
