@@ -6,8 +6,9 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.config import Execution, Extraction, Parsing
 from ..functions.scratch import Scratch
@@ -110,3 +111,82 @@ class Orchestrator:
     def clear(self, rows: DataFrame) -> None:
         """Cancels the jobs that run."""
         rows.sparkSession.sparkContext.cancelJobGroup(self.group)
+
+
+#: What an agent of rows is made of: called for each document, it gives what is called for each of its groups, in order, with a dictionary of the group's columns.
+MakeRowAgent = Callable[[], Callable[[dict], dict]]
+
+
+def _told(call: Callable[[dict], dict], group: dict, names: list[str]) -> tuple:
+    """The fields that an agent gives for a group, success and error; an agent that fails gives a failed row."""
+    try:
+        out = call(group)
+        return (*[out.get(n) for n in names], True, None)
+    except Exception as e:
+        return (*[None] * len(names), False, str(e) or type(e).__name__)
+
+
+def _row_schema(rows: T.StructType, own: list[T.StructField]) -> tuple[list[str], list[str], T.StructType]:
+    """Columns of the groups that stay, the agent's fields, and both with success and error."""
+    names = [f.name for f in own]
+    kept = [f for f in rows.fields if f.name not in {*names, "success", "error"}]
+    return [f.name for f in kept], names, T.StructType([*kept, *own, T.StructField("success", T.BooleanType()), T.StructField("error", T.StringType())])
+
+
+def row_agent(make: MakeRowAgent, schema: str) -> Agent:
+    """An agent from a Python function of one group: the columns of its rows, the fields of ``schema`` that it gives, success and error.
+
+    Rows of a document come in order to one call of ``make``, and one after the other: a document of any number of groups passes through.
+    """
+
+    def agent(rows: DataFrame) -> DataFrame:
+        kept, names, out = _row_schema(rows.schema, T._parse_datatype_string(schema).fields)
+
+        def run(batches):
+            import pyarrow as pa
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            arrow, call, last = to_arrow_schema(out), None, object()
+            for batch in batches:
+                told = []
+                for group in batch.to_pylist():
+                    if call is None or group["doc_id"] != last:
+                        call, last = make(), group["doc_id"]
+                    told.append((*[group[k] for k in kept], *_told(call, group, names)))
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told), arrow)], schema=arrow)
+
+        return rows.repartition("doc_id").sortWithinPartitions("doc_id", "group_ord").mapInArrow(run, out)
+
+    return agent
+
+
+def sql_agent(spark: SparkSession, name: str, make: MakeRowAgent, schema: str) -> None:
+    """Makes an agent of rows a table function: ``SELECT * FROM name(TABLE(groups) PARTITION BY doc_id ORDER BY group_ord)``.
+
+    Its columns follow from the table that it is given. Each partition is a document, as for ``row_agent``.
+    """
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    # Read here: where a call is analysed there is no session.
+    own = T._parse_datatype_string(schema).fields
+    names = [f.name for f in own]
+    # Whatever the table's columns, those that stay are what isn't told anew.
+    told = {*names, "success", "error"}
+
+    class RowAgent:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            if not table.isTable:
+                raise ValueError("a table of groups is required")
+            return AnalyzeResult(schema=_row_schema(table.dataType, own)[2])
+
+        def __init__(self):
+            self.call = None
+
+        def eval(self, table):
+            self.call = self.call or make()
+            group = table.asDict(recursive=True)
+            yield (*[v for k, v in zip(table.__fields__, table) if k not in told], *_told(self.call, group, names))
+
+    spark.udtf.register(name, F.udtf(RowAgent))

@@ -472,3 +472,13 @@ SELECT doc_id, {_indented(f"""json_object('title', j -> 'title', 'documents', li
 
 
 ORACLES["merged_in_parts"] = ORACLES["format_json"]
+
+
+ORACLES["agent_sql"] = _with(
+    *G,
+    """per AS (
+  SELECT fixed.doc_id, fixed.group_ord, page_count, CAST(sum(len(string_split(pages.text, chr(10)))) AS INTEGER) AS n_lines, CAST(max(list_max(list_transform(string_split(pages.text, chr(10)), lambda x: length(x)))) AS INTEGER) AS longest, CAST(end_page AS INTEGER) AS seen
+  FROM fixed JOIN pages ON pages.doc_id = fixed.doc_id AND page_no BETWEEN start_page AND end_page GROUP BY ALL
+)""",
+    "SELECT doc_id, group_ord, CASE WHEN page_count <> 9 THEN n_lines END AS n_lines, CASE WHEN page_count <> 9 THEN longest END AS longest, CASE WHEN page_count <> 9 THEN seen END AS seen, page_count <> 9 AS success, CASE WHEN page_count = 9 THEN 'nine pages' END AS error FROM per",
+)

@@ -705,3 +705,30 @@ def search_index_text(spark, sf):
 def merged_in_parts(spark, sf):
     """Documents merged part by part, as those of very many groups are, and put together again."""
     return output.json_text(merge.in_parts(_results(spark, sf), now=NOW, segment=2).whole(), pretty=False)
+
+
+# Agents in SQL.
+
+
+def line_counter():
+    """For each group of a document its lines, the longest of them, and how many pages came so far; a group of nine pages is more than it takes."""
+    seen = 0
+
+    def call(group: dict) -> dict:
+        nonlocal seen
+        seen += len(group["pages"])
+        if len(group["pages"]) == 9:
+            raise ValueError("nine pages")
+        lines = [line for p in group["pages"] for line in p["text"].split("\n")]
+        return {"n_lines": len(lines), "longest": max(map(len, lines)), "seen": seen}
+
+    return call
+
+
+@query_of
+def agent_sql(spark, sf):
+    """An agent of one's own as a table function over groups."""
+    pages = R.report_pages(spark, sf)
+    rows = extract.group_rows(grouping.fixed_groups(pages), pages).select("doc_id", "group_ord", "group_id", "pages")
+    agents.sql_agent(spark, "line_counts", line_counter, "n_lines int, longest int, seen int")
+    return spark.sql("SELECT doc_id, group_ord, n_lines, longest, seen, success, error FROM line_counts(TABLE({rows}) PARTITION BY doc_id ORDER BY group_ord)", rows=rows)
