@@ -20,19 +20,27 @@ from pyspark.sql import functions as F
 
 # Short forms of public licence notices, by family (SPDX names).
 TEMPLATES = {
-    "Apache-2.0": ["licensed under the apache license version 2.0", "apache license version 2.0 january 2004", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache.org licenses license-2.0"],
+    "AGPL": ["licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license version 3 19 november 2007"],
+    "Apache-2.0": ["licensed under the apache license version 2.0", "apache license version 2.0 january 2004", "you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache.org licenses license-2.0"],
     "BSD": ["redistribution and use in source and binary forms with or without modification are permitted", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "released under the bsd 3-clause license", "licensed under the bsd license"],
     "CC-BY": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "available under the creative commons attribution license", "cc by 4.0"],
     "CC-BY-NC": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license", "cc by-nc 4.0"],
     "CC-BY-SA": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license", "cc by-sa 4.0"],
-    "CC0": ["to the extent possible under law the author has waived all copyright and related rights to this work", "released under cc0 1.0 public domain dedication", "this work is in the public domain"],
-    "GPL": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gpl version 2", "gpl version 2", "gpl version 3"],
-    "LGPL": ["licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license"],
+    "CC0": ["to the extent possible under law the author has waived all copyright and related rights to this work", "released under cc0 1.0 public domain dedication", "released under cc0 1.0", "this work is in the public domain"],
+    "GPL": ["this work is licensed under the gnu general public license version 3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gpl version 2", "gpl version 2", "gpl version 3", "gnu general public license version 3 29 june 2007", "gnu general public license version 2 june 1991"],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license"],
+    "LGPL": ["licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license", "gnu lesser general public license version 3 29 june 2007"],
     "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license", "mit license", "the software is provided as is without warranty of any kind express or implied"],
     "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
 }
+# Notices of public licences that aren't among the families, from which the unknown class learns what one looks like.
+UNLISTED = [
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0", "distributed under the boost software license version 1.0", "licensed under the artistic license 2.0", "released under the zlib license",
+    "this software is provided as-is without any express or implied warranty in no event will the authors be held liable for any damages", "licensed under the academic free license version 3.0", "this font software is licensed under the sil open font license version 1.1",
+    "permission to use copy modify and distribute this software and its documentation for any purpose is hereby granted provided that the copyright notice appear in all copies",
+]
 # Talk of licences that names no family, and words to fill in.
-UNKNOWN = ["all rights reserved no part may be reproduced without permission", "licensed under the terms of the proprietary agreement", "see the license file for details", "this license is granted to the customer only", "a driving license is required", "copyright notice of the publisher", "released under a commercial license", "usage is subject to the license agreement of the vendor", "the public library has a license for this text", "the work is licensed to the editor"]
+UNKNOWN = ["all rights reserved no part may be reproduced without permission", "licensed under the terms of the proprietary agreement", "see the license file for details", "see the licence for the language governing permissions", "this license is granted to the customer only", "a driving license is required", "copyright notice of the publisher", "released under a commercial license", "usage is subject to the license agreement of the vendor", "the public library has a license for this text", "the work is licensed to the editor", *UNLISTED]
 FILL = "the of and in to a is for this that text file page work software author project code data under with by on as from are document".split()
 # Stems of licence talk.
 STEMS = ("licen", "copyright", "redistribut", "warrant", "permission")
@@ -42,6 +50,8 @@ GRAMS = (1, 2, 3)
 SHINGLE = 3
 #: A template confirms its family if the paragraph holds this much of its 3-word shingles.
 CONFIRM = 0.6
+#: Words that deny what follows them: a paragraph that says a work isn't under a licence confirms none.
+DENIAL = r"(^| )(not|never|isn t|aren t|no longer|neither|nor) (?:[a-z]+ ){0,2}(licensed|released|available|distributed|published|covered|permitted|subject|under)( |$)"
 #: Bound of the trained vocabulary: n-grams, which is what is broadcast. Templates that make more are refused.
 MAX_GRAMS = 5000
 
@@ -94,15 +104,28 @@ class Model:
     temperature: float
 
 
+def _invented(rng: random.Random) -> str:
+    return "".join(rng.choices("aeionrstlhd", k=rng.randint(2, 9)))
+
+
+def _named(rng: random.Random) -> list[str]:
+    """A notice of a licence with a made-up name."""
+    head = [rng.choice(["licensed", "released", "distributed", "available"]), "under", *rng.choice(["the", "the terms of the", "a"]).split()]
+    tail = rng.choice(["license", "licence", "public license", "public licence", "software license"]).split()
+    return [*head, *[_invented(rng) for _ in range(rng.randint(1, 3))], *tail, *rng.choice(["", "", "version 2.0", "version 1.0"]).split()]
+
+
 def _paragraphs(rng: random.Random, n: int) -> list[tuple[str, str]]:
     """Paragraphs by rule: a template or unrelated line, some words lost, with words before and after it; and rare words put in singly."""
     out, rare = [], sorted(rare_words())
     for _ in range(n):
         family = rng.choice([*TEMPLATES, OTHER, OTHER, NONE, NONE, NONE])
         words = rng.sample(rare, rng.randint(0, 2)) if family == NONE else _tokens(rng.choice(TEMPLATES.get(family, UNKNOWN)))
+        if family == OTHER and rng.random() < 0.5:
+            words = _named(rng)
         if family != NONE and rng.random() < 0.5:
             words = [w for w in words if rng.random() > 0.1]
-        fill = lambda: [rng.choice(FILL) if rng.random() < 0.3 else "".join(rng.choices("aeionrstlhd", k=rng.randint(2, 9))) for _ in range(rng.choice((0, 0, 0, 5, 20)))]
+        fill = lambda: [rng.choice(FILL) if rng.random() < 0.3 else _invented(rng) for _ in range(rng.choice((0, 0, 0, 5, 20)))]
         out.append((" ".join(fill() + words + fill()), family))
     return out
 
@@ -180,7 +203,7 @@ def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """One row per paragraph that holds a key word or stem and a word n-gram of the model, and that the model doesn't give to ``none``: doc_id, paragraph (its first line, from 0), family, probability, template_score, confirmed.
 
     Notices wrapped over lines are one confirmed paragraph; what no confirmed paragraph holds is a row per line.
-    A paragraph that the model gives to a family no template of which it holds counts as ``unknown`` and is not confirmed.
+    A paragraph that the model gives to a family no template of which it holds, or that denies being under a licence, counts as ``unknown`` and is not confirmed.
     """
     spark: SparkSession = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -217,15 +240,16 @@ def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     table = F.broadcast(spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")).alias("gram", "w")))
     key = lines.withColumn("line_id", F.xxhash64("doc_id", "text_id", "paragraph", "words"))
     place = ["doc_id", "text_id", "paragraph", "last"]
-    parts = key.select(*place, "line_id", F.xxhash64("words").alias("words_id"), F.explode("grams").alias("gram")).join(table, "gram")
-    sums = parts.groupBy(*place, "line_id", "words_id").agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(model.classes))], F.collect_set("gram").alias("held"))
+    denied = F.rlike(F.array_join("words", " "), F.lit(DENIAL)).alias("denied")
+    parts = key.select(*place, "line_id", F.xxhash64("words").alias("words_id"), denied, F.explode("grams").alias("gram")).join(table, "gram")
+    sums = parts.groupBy(*place, "line_id", "words_id").agg(*[F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(model.classes))], F.collect_set("gram").alias("held"), F.bool_or("denied").alias("denied"))
     # Equal rows give equal sums of copies; the bias and the temperature follow.
     z = F.array(*[(F.col(f"z{k}") + F.lit(b)) / F.lit(model.temperature) for k, b in enumerate(model.bias)])
-    scored = sums.select(*place, "words_id", "held", z.alias("z"))
+    scored = sums.select(*place, "words_id", "held", "denied", z.alias("z"))
     top = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     best = F.get(F.array(*[F.lit(c) for c in model.classes]), (F.array_position("z", top) - 1).cast("int"))
-    scored = scored.select(*place, "words_id", "held", best.alias("family"), (1 / total).alias("probability"))
+    scored = scored.select(*place, "words_id", "held", "denied", best.alias("family"), (1 / total).alias("probability"))
 
     def holding(family: str) -> Column:
         """Shingles held of the template that is confirmed by most, and the part of it; without a confirmed one 0 and the greatest part."""
@@ -240,7 +264,7 @@ def scan_paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     for family in TEMPLATES:
         template = F.when(F.col("family") == family, holding(family)).otherwise(template)
     scored = scored.filter(F.col("family") != NONE).withColumn("t", template).select("*", F.col("t.hits").alias("hits"), F.col("t.score").alias("template_score"))
-    scored = scored.withColumn("confirmed", F.col("hits") > 0).filter("confirmed OR last = paragraph")
+    scored = scored.withColumn("confirmed", (F.col("hits") > 0) & ~F.col("denied")).filter("confirmed OR last = paragraph")
     # In the order of choice.
     unit = F.struct((-F.col("hits")).alias("rank"), (F.col("last") - F.col("paragraph")).alias("more"), (-F.col("probability")).alias("p"), "paragraph", "last", "words_id", "family", "probability", "template_score", "confirmed")
     chosen = scored.groupBy("doc_id", "text_id").agg(F.collect_list(unit).alias("units")).select("doc_id", F.explode(_choose(F.col("units"))).alias("u")).select("doc_id", "u.*")
