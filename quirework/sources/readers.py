@@ -60,25 +60,28 @@ def outline(nodes: DataFrame, page_refs: DataFrame | None = None) -> DataFrame:
 
     ``nodes``: doc_id, node_id, parent_id (null at the top), position among siblings, title, page_no. Missing titles are
     ``Untitled`` and missing pages 1; of the siblings under one parent the first 1000 by position count, whatever their positions are. With ``page_refs`` (doc_id, page_ref, page_no) nodes
-    have page_ref instead of page_no, and an unknown one is page 1. One join a level of depth; nodes that no top leads to are left out.
+    have page_ref instead of page_no, and an unknown one is page 1. Nodes that no top leads to, those in circles among them, are left out.
+
+    Each join doubles how far up a node knows its way, so depth d takes log2(d) joins. A way has a step only where siblings part; of two nodes on one way the higher comes first.
     """
     scratch = Scratch(nodes.sparkSession, "outline")
     if page_refs is not None:
         known = page_refs.select("doc_id", "page_ref", "page_no").dropDuplicates(["doc_id", "page_ref"])
         nodes = nodes.drop("page_no").join(known, ["doc_id", "page_ref"], "left")
-    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("position", "node_id")
-    ranked = nodes.withColumn("rank", F.row_number().over(siblings)).filter(f"rank <= {SIBLINGS}")
-    own = scratch.save(ranked.select("doc_id", "node_id", "parent_id", "title", "page_no", F.lpad(F.col("rank").cast("string"), 4, "0").alias("step")))
-    below = own.select("doc_id", F.col("parent_id").alias("above"), "node_id", "title", "page_no", "step")
-    part, level = own.filter("parent_id IS NULL").select("doc_id", "node_id", "title", "page_no", F.lit(1).alias("level"), F.col("step").alias("path")), 1
-    out = part
-    while not (part := scratch.save(part) if level > 1 else part).isEmpty():
-        out = part if level == 1 else out.union(part)
-        level += 1
-        up = part.select("doc_id", F.col("node_id").alias("above"), "path")
-        part = up.join(below, ["doc_id", "above"]).select("doc_id", "node_id", "title", "page_no", F.lit(level).alias("level"), F.concat("path", F.lit("/"), "step").alias("path"))
-    order = Window.partitionBy("doc_id").orderBy("path")
-    return out.select("doc_id", F.row_number().over(order).alias("toc_ord"), "level", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce("page_no", F.lit(1)).alias("page_no"))
+    family = Window.partitionBy("doc_id", "parent_id")
+    ranked = nodes.withColumns({"rank": F.row_number().over(family.orderBy("position", "node_id")), "n": F.count("*").over(family)}).filter(f"rank <= {SIBLINGS}")
+    step = F.when(F.col("n") > 1, F.lpad(F.col("rank").cast("string"), 4, "0")).otherwise("")
+    way = scratch.save(ranked.select("doc_id", "node_id", "title", "page_no", F.col("parent_id").alias("above"), step.alias("path"), F.lit(1).alias("level")))
+    whole, before = way.filter("above IS NULL").count(), -1
+    while whole > before and not (part := way.filter("above IS NOT NULL")).isEmpty():
+        up = way.select("doc_id", F.col("node_id").alias("above"), F.col("above").alias("next"), F.col("path").alias("head"), F.col("level").alias("more"))
+        further = part.join(up, ["doc_id", "above"]).select("doc_id", "node_id", "title", "page_no", F.col("next").alias("above"), F.concat("head", "path").alias("path"), (F.col("level") + F.col("more")).alias("level"))
+        old, way = way, scratch.save(way.filter("above IS NULL").union(further))
+        scratch.drop(old)
+        # Some node always comes to its top, but for those in circles.
+        whole, before = way.filter("above IS NULL").count(), whole
+    order = Window.partitionBy("doc_id").orderBy("path", "level")
+    return way.filter("above IS NULL").select("doc_id", F.row_number().over(order).alias("toc_ord"), "level", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce("page_no", F.lit(1)).alias("page_no"))
 
 
 #: A customer's orders as the pages of a report; runs unchanged in Spark and DuckDB.
