@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.config import Execution, Extraction, Parsing
 from ..functions.scratch import Scratch
 from . import extract, model
+from .progress import OnProgress
 
 Agent = Callable[[DataFrame], DataFrame]
 
@@ -31,19 +32,19 @@ def pattern_agent(extraction: Extraction = Extraction(), parsing: Parsing = Pars
     return lambda rows: extract.extracted(rows, extraction, parsing, now)
 
 
-def _replies(rows: DataFrame, client: model.Client, extraction: Extraction, execution: Execution, configs: DataFrame | None) -> DataFrame:
+def _replies(rows: DataFrame, client: model.Client, extraction: Extraction, execution: Execution, configs: DataFrame | None, on_progress: OnProgress | None = None) -> DataFrame:
     prompts = model.extraction_prompts(with_configs(rows, configs), extraction.prompt, extraction.schema)
-    return model.called(prompts.select("doc_id", "group_ord", "system", "prompt", "max_retries", "call_timeout_ms"), client, execution)
+    return model.called(prompts.select("doc_id", "group_ord", "system", "prompt", "max_retries", "call_timeout_ms"), client, execution, on_progress=on_progress)
 
 
-def model_agent(client: model.Client, extraction: Extraction = Extraction(), execution: Execution = Execution(), configs: DataFrame | None = None, now: str | None = None) -> Agent:
+def model_agent(client: model.Client, extraction: Extraction = Extraction(), execution: Execution = Execution(), configs: DataFrame | None = None, now: str | None = None, on_progress: OnProgress | None = None) -> Agent:
     """Results that are a model's replies, each group asked once."""
-    return lambda rows: model.extracted(rows, _replies(rows, client, extraction, execution, configs), now)
+    return lambda rows: model.extracted(rows, _replies(rows, client, extraction, execution, configs, on_progress), now)
 
 
-def enhancing_agent(client: model.Client, extraction: Extraction = Extraction(), parsing: Parsing = Parsing(), execution: Execution = Execution(), configs: DataFrame | None = None, now: str | None = None) -> Agent:
+def enhancing_agent(client: model.Client, extraction: Extraction = Extraction(), parsing: Parsing = Parsing(), execution: Execution = Execution(), configs: DataFrame | None = None, now: str | None = None, on_progress: OnProgress | None = None) -> Agent:
     """Results by patterns with a model's fields over them."""
-    return lambda rows: model.enhanced(extract.extracted(rows, extraction, parsing, now), _replies(rows, client, extraction, execution, configs))
+    return lambda rows: model.enhanced(extract.extracted(rows, extraction, parsing, now), _replies(rows, client, extraction, execution, configs, on_progress))
 
 
 #: Makers of agents by name. ``register`` adds to them.

@@ -22,6 +22,7 @@ from ..functions.text import json_object, or_default
 from . import grouping
 from .extract import ENTITIES, SECTIONS, TABLES, joined, outcome, stamp
 from .fields import bag
+from .progress import Counters, OnProgress, watched
 from .replies import ReplyLog, TaskLog, prompt_key
 
 Message = dict[str, str]
@@ -142,14 +143,14 @@ def windows(spark: SparkSession, limit: int | None) -> tuple[int, int | None]:
 
 
 def run(
-    prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 1000, max_concurrency: int | None = None, timeout_ms: int | None = None, as_json: bool = False, continue_on_error: bool = False, log: ReplyLog | None = None
+    prompts: DataFrame, client: Client, retries: int = 3, delay_ms: int = 1000, max_concurrency: int | None = None, timeout_ms: int | None = None, as_json: bool = False, continue_on_error: bool = False, log: ReplyLog | None = None, counters: Counters | None = None
 ) -> DataFrame:
     """Adds response, tokens_used, duration_ms, success, error to rows with columns system and prompt.
 
     A prompt that fails after its retries is a row with the error, never a failed task. ``max_concurrency`` bounds the calls in flight,
     ``timeout_ms`` the time of each call. With ``as_json`` a reply that holds no JSON object has failed. With ``continue_on_error`` a call that fails is not
     tried again, only one that ran out of time is. Columns max_retries and call_timeout_ms, if there are any, go before ``retries`` and ``timeout_ms`` in their row.
-    Replies go to ``log`` as they come, if one is given, under the column prompt_key; a task that starts again sends none that it has there.
+    Replies go to ``log`` as they come, if one is given, under the column prompt_key; a task that starts again sends none that it has there. ``counters``: see ``progress``.
     """
     window, tasks = windows(prompts.sparkSession, max_concurrency)
     if tasks:
@@ -192,6 +193,9 @@ def run(
                 rows = pdf.to_dict("records")
                 # In the rows' order; of a batch so many are in flight as the window has.
                 out = list(pool.map(lambda row: one(row, own_log), rows) if window > 1 else (one(row, own_log) for row in rows))
+                if counters:
+                    counters.done.add(len(out))
+                    counters.failed.add(sum(not o[3] for o in out))
                 for k, name in enumerate(("response", "tokens_used", "duration_ms", "success", "error")):
                     pdf[name] = [o[k] for o in out]
                 yield pdf
@@ -202,21 +206,32 @@ def run(
     return prompts.mapInPandas(batch, schema)
 
 
-def called(prompts: DataFrame, client: Client, execution: Execution = Execution(), as_json: bool = True, name: str = "replies") -> DataFrame:
+def _asked(rows: DataFrame, options: tuple, log: ReplyLog | None, scratch: Scratch, on_progress: OnProgress | None) -> DataFrame:
+    if on_progress is None:
+        return scratch.save(run(rows, *options, log=log))
+    with watched(rows.sparkSession, on_progress, rows.count()) as counters:
+        return scratch.save(run(rows, *options, log=log, counters=counters))
+
+
+def called(prompts: DataFrame, client: Client, execution: Execution = Execution(), as_json: bool = True, name: str = "replies", on_progress: OnProgress | None = None) -> DataFrame:
     """``run`` under a run's settings, its rows written once: whatever reads them, each prompt is sent once.
 
     With a folder of replies in the settings, prompts that have one there aren't sent, and one that several rows share is sent once; ``sent`` says of each row whether this run asked.
+    ``on_progress`` is called while calls run (see ``progress``); the prompts are written first then, so that their number is known.
     """
+    if on_progress:
+        prompts = Scratch(prompts.sparkSession, name).save(prompts)
     e, scratch = execution, Scratch(prompts.sparkSession, name)
     options = (client, e.retries, e.retry_delay_ms, e.max_concurrency, e.timeout_ms, as_json, e.continue_on_error)
+    asking = lambda rows, log: _asked(rows, options, log, scratch, on_progress)
     if e.replies is None:
-        return scratch.save(run(prompts, *options))
+        return asking(prompts, None)
     log, columns = ReplyLog(e.replies), prompts.columns
     keyed = scratch.save(prompts.withColumn("prompt_key", prompt_key(client, as_json)))
     known = scratch.save(log.read(prompts.sparkSession).join(keyed.select("prompt_key").distinct(), "prompt_key", "left_semi"))
     needs = ["prompt_key", "system", "prompt", *[c for c in ("max_retries", "call_timeout_ms") if c in columns]]
     missing = keyed.join(known.select("prompt_key"), "prompt_key", "left_anti").select(needs).dropDuplicates(["prompt_key"])
-    asked = scratch.save(run(missing, *options, log=log))
+    asked = asking(scratch.save(missing) if on_progress else missing, log)
     told = ["response", "tokens_used", "duration_ms", "success", "error"]
     replies = asked.select("prompt_key", *told, F.lit(True).alias("sent")).unionByName(known.withColumns({"success": F.lit(True), "error": F.lit(None).cast("string"), "sent": F.lit(False)}))
     out = scratch.save(keyed.join(replies, "prompt_key").select(*columns, *told, "sent"))

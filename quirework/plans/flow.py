@@ -49,7 +49,7 @@ def run(
     ``documents``: doc_id, title, author, for prompts; ``agent_configs``: see ``agents.with_configs``; ``now``: time stamp of the outputs.
 
     ``hooks``: callables by name, on_<stage>_start and on_<stage>_complete for parse, grouping, analysis (with a client), extraction and merge, called with that stage's
-    input or result while the plan is built; on_extraction_progress with the rows of ``stats.progress``, and on_error with the rows of ``errors``.
+    input or result while the plan is built; on_extraction_tick, with a client, while its calls run, with how many are done, how many of these failed, and of how many; on_extraction_progress with the rows of ``stats.progress``, and on_error with the rows of ``errors``.
     """
     call = lambda name, *a: (hooks or {}).get(name, lambda *_: None)(*a)
     spark = pages.sparkSession
@@ -72,9 +72,9 @@ def run(
     if agent is None and client is None:
         agent = agents.pattern_agent(x, p, now)
     elif agent is None and x.mode == "enhance":
-        agent = agents.enhancing_agent(client, x, p, settings.execution, agent_configs, now)
+        agent = agents.enhancing_agent(client, x, p, settings.execution, agent_configs, now, (hooks or {}).get("on_extraction_tick"))
     elif agent is None:
-        agent = agents.model_agent(client, x, settings.execution, agent_configs, now)
+        agent = agents.model_agent(client, x, settings.execution, agent_configs, now, (hooks or {}).get("on_extraction_tick"))
     results = agent(extract.group_rows(groups, pages))
     call("on_extraction_progress", stats.progress(results))
     call("on_extraction_complete", results)

@@ -6,6 +6,7 @@ target; the driver renames that folder once when all tasks are done, and deletes
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +47,7 @@ class FileWriter(DataSourceArrowWriter):
 
         self.exists = store.get_file_info(top).type != fs.FileType.NotFound
         self.staging = f"{top}.staging-{uuid.uuid4().hex}"
+        store.create_dir(self.staging, recursive=True)
 
     def _place(self, name: str) -> str:
         own = quote(name, safe="") + self.extension
@@ -58,7 +60,8 @@ class FileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, _ = _store(self.path)
         own, n = f"{self.staging}/_attempt-{uuid.uuid4().hex}", 0
-        store.create_dir(own, recursive=True)
+        # Not with its parents: a task that begins after the job was given up finds no staging folder and ends.
+        store.create_dir(own, recursive=False)
         made = {self.staging}
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
@@ -71,7 +74,7 @@ class FileWriter(DataSourceArrowWriter):
                 to = f"{self.staging}/{self._place(name)}"
                 folder = to.rpartition("/")[0]
                 if folder not in made:
-                    store.create_dir(folder, recursive=True)
+                    store.create_dir(folder, recursive=False)
                     made.add(folder)
                 store.move(f"{own}/file", to)
                 n += 1
@@ -82,7 +85,6 @@ class FileWriter(DataSourceArrowWriter):
         from pyarrow import fs
 
         store, top = _store(self.path)
-        store.create_dir(self.staging, recursive=True)
         for left in store.get_file_info(fs.FileSelector(self.staging)):
             if left.base_name.startswith("_attempt-"):
                 store.delete_dir(left.path)
@@ -95,15 +97,22 @@ class FileWriter(DataSourceArrowWriter):
         elif self.exists:
             store.move(self.staging, f"{top}/part-{self.staging.rpartition('-')[2]}")
         else:
-            store.create_dir(top.rpartition("/")[0], recursive=True)
             store.move(self.staging, top)
 
     def abort(self, messages: list[Written | None]) -> None:
         from pyarrow import fs
 
         store, _ = _store(self.path)
-        if store.get_file_info(self.staging).type != fs.FileType.NotFound:
-            store.delete_dir(self.staging)
+        # Tasks that are being ended may still write; a folder that gets a file while it goes is tried again.
+        for wait in (0.1, 0.5, 2.0, 5.0, 0):
+            try:
+                if store.get_file_info(self.staging).type == fs.FileType.NotFound:
+                    return
+                store.delete_dir(self.staging)
+            except OSError:
+                if not wait:
+                    raise
+            time.sleep(wait)
 
 
 class FileSink(DataSource):
