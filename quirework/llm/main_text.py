@@ -38,10 +38,12 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"
 _NEVER = set("aside button canvas dialog footer head menu nav noscript object search select svg template audio video".split())
 _ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _PARTS = set(
-    "ad ads adbox adslot adsense advert adverts advertisement advertising aside banner breadcrumb breadcrumbs consent cookie cookies copyright dialog disqus foot footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter "
-    "notice notices notification pager pagination popup promo promotion recommended related reply replies respond rail search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar topnav widget widgets".split()
+    "alert alerts aside banner branding breadcrumb breadcrumbs consent cookie cookies copyright dialog disclaimer discussion discussions disqus feedback foot form gdpr header login logo masthead menubar modal navbar navigation newsletter "
+    "notice notices notification notifications pager pagination popup promo promotion rail reactions recommended related reply replies respond responses search share sharing signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 _PART_STEMS = ("comment", "advert", "sidebar", "breadcrumb")
+_PART_ENDS = ("footer", "menu", "nav")
+_ADS = re.compile(r"ads?(banner|block|box|container|sense|slot|space|unit|wrapper|zone)?")
 _NOT_STEMS = {"commentary"}
 #: A class that says what the rest of a page has, not what the element is: "with-sidebar".
 _SAYS_OF_OTHERS = {"has", "with", "no", "without", "is", "not"}
@@ -96,7 +98,7 @@ def _apart(tag: str, attributes: str, in_text: bool) -> tuple[bool, bool]:
                 continue
             if "header" in words and (in_text or words & _OF_THE_TEXT):
                 words.discard("header")
-            if words & _PARTS or any(w.startswith(_PART_STEMS) and w not in _NOT_STEMS for w in words):
+            if words & _PARTS or any(w not in _NOT_STEMS and (w.startswith(_PART_STEMS) or w.endswith(_PART_ENDS) or _ADS.fullmatch(w)) for w in words):
                 return True, True
     return False, False
 
