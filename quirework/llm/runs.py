@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import begin, chunks, mix64, release, windows_of, words_of
+from .textops import Words, begin, chunks, mix64, release, windows_of, words_of
 
 MIN_LENGTH, MIN_EXPONENT = 24, 3
 #: One word out of a text's own alphabet, at the end of each stretch.
@@ -210,6 +210,20 @@ def _stretches(hashes: np.ndarray, first: np.ndarray, window: int) -> list[tuple
     return list(zip((np.searchsorted(first, starts, "right") - 1).tolist(), starts.tolist(), ends.tolist()))
 
 
+def _kept_texts(words: Words, keep: np.ndarray) -> list[str]:
+    """Each document's words that stay, joined by one space: their bytes and the first one after each, which becomes a space."""
+    last = np.zeros(len(keep), bool)
+    last[words.first[1:][np.diff(words.first) > 0] - 1] = True
+    data, until = words.data.copy(), words.ends + ~last
+    data[words.ends[~last]] = 32
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[words.starts[keep]] += 1
+    edge[until[keep]] -= 1
+    out = data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    at = np.concatenate(([0], np.cumsum(np.where(keep, until - words.starts, 0))))[words.first]
+    return [out[a:b].tobytes().decode().removesuffix(" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _search(min_length: int, min_exponent: int):
     # A run of n words with period q has n - q >= n (1 - 1 / exponent) words that come again q words later: windows of half as many as that cover it all.
     window = max(1, min_length * (min_exponent - 1) // min_exponent // 2)
@@ -231,11 +245,7 @@ def _search(min_length: int, min_exponent: int):
                     for s, n, q in own:
                         gone[words.first[d] + s + q] += 1
                         gone[words.first[d] + s + n] -= 1
-                keep = np.cumsum(gone[:-1]) == 0
-                raw, at, until, texts = memoryview(np.ascontiguousarray(data)), words.starts.tolist(), words.ends.tolist(), []
-                for d in range(j - i):
-                    span = range(int(words.first[d]), int(words.first[d + 1]))
-                    texts.append(b" ".join([raw[at[k] : until[k]] for k in span if keep[k]]).decode())
+                texts = _kept_texts(words, np.cumsum(gone[:-1]) == 0)
                 own = pa.array([[{"start": s, "length": n, "period": q} for s, n, q in r] for r in runs], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])))
                 rest = [c.slice(i, j - i) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(words.first)), own, pa.array(texts, pa.string())], [*batch.schema.names[1:], "n_words", "runs", "collapsed"])

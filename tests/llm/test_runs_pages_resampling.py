@@ -240,3 +240,22 @@ def test_scores_are_explode_free(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = resampling.importance_scores(docs, [0] * 10000)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_texts_of_words_that_stay():
+    """Whatever stands between words, and whichever go: those that stay, joined by one space."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quirework.llm.textops import buffers, words_of
+
+    rng = random.Random(1)
+    for _ in range(300):
+        docs = ["".join(rng.choice(["a", "é", "bb", " ", "  ", "\n", "\t", "ccc"]) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 5))]
+        words = words_of(*buffers(pa.array(docs)))
+        keep, k, want = np.array([rng.random() < 0.6 for _ in range(len(words.starts))], bool), 0, []
+        for d in docs:
+            own = WORD.findall(d)
+            want.append(" ".join(w for i, w in enumerate(own) if keep[k + i]))
+            k += len(own)
+        assert runs._kept_texts(words, keep) == want
