@@ -230,6 +230,7 @@ def _predict(model: BiGRU):
 def identify_languages(docs: DataFrame, model: BiGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score (mean probability of that language over the letters' positions).
 
+    A text in a language that wasn't learned (none of its documents is labelled, or MAX_LANGUAGES others are more frequent) gets the learned one it is most like, mostly with a low score.
     A null text and one without a letter is ``und`` with score 1; so is every text if no language was learned. A text of any length is read whole. Repeated rows give
     repeated results, ids may be null, other columns are ignored; an empty table gives an empty result.
     """
