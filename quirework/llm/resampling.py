@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import Scratch
+from ..functions.text import let
 
 BUCKETS = 10_000
 #: Rows of a partition in which drawn documents are sorted, about.
@@ -25,11 +26,12 @@ def words(text: Column) -> Column:
 
 def bucket_array(own: Column, max_n: int = 1, buckets: int = BUCKETS) -> Column:
     """Bucket of each run of 1 to ``max_n`` consecutive words of an array of words, repeats included."""
-    def grams_of(n: int) -> Column:
+    def grams_of(own: Column, n: int) -> Column:
         starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(own, i, n), " "))
 
-    grams = F.concat(own, *[grams_of(n) for n in range(2, max_n + 1)]) if max_n > 1 else own
+    # The words are bound to a name: inside the inner function they would be made anew for each run of words.
+    grams = let(own, lambda w: F.concat(w, *[grams_of(w, n) for n in range(2, max_n + 1)])) if max_n > 1 else own
     return F.transform(grams, lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(buckets)).cast("int"))
 
 
