@@ -56,3 +56,21 @@ def test_the_first_thousand_siblings_count(spark):
     nodes = [(1, n, None if n == 0 else 0, n * 7, f"n{n}", n) for n in range(1_200)]
     got = toc(spark, nodes)
     assert len(got) == 1_001 and got[-1] == (1, 1_001, 2, "n1000", 1000)
+
+
+def test_the_query_has_the_suppliers_its_sql_names(spark, tmp_path):
+    """Keys from 1000 on are no nodes, however many siblings there are."""
+    import duckdb
+
+    from quirework.plans.oracle import ORACLES
+    from quirework.plans.queries import QUERIES
+    from tests.conftest import SF, same_rows
+
+    con = duckdb.connect()
+    for name in ("region", "nation"):
+        con.sql(f"COPY (SELECT * FROM '{SF}/{name}.parquet') TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    con.sql(f"COPY (SELECT * REPLACE (CAST(s_suppkey + i * 500 AS BIGINT) AS s_suppkey) FROM '{SF}/supplier.parquet', range(4) r(i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    for name in ("region", "nation", "supplier"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    assert con.sql("SELECT count(*) FROM supplier WHERE s_suppkey >= 1000").fetchall()[0][0] > 0
+    same_rows(QUERIES["outline_flatten"](spark, str(tmp_path)), con.sql(ORACLES["outline_flatten"]))
