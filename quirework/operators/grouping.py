@@ -23,9 +23,14 @@ def group_id(kind: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), kind, F.col("group_ord").cast("string")), 256)
 
 
-def _finish(df: DataFrame, kind: str) -> DataFrame:
+def _finish(df: DataFrame, kind: str, *more: str) -> DataFrame:
     df = df.withColumn("type", F.lit(kind)).withColumn("group_id", group_id(F.lit(kind)))
-    return df.select("doc_id", F.col("group_ord").cast("int").alias("group_ord"), "group_id", "type", "title", F.col("start_page").cast("int").alias("start_page"), F.col("end_page").cast("int").alias("end_page"), F.col("page_count").cast("int").alias("page_count"), F.col("level").cast("int").alias("level"))
+    return df.select("doc_id", F.col("group_ord").cast("int").alias("group_ord"), "group_id", "type", "title", F.col("start_page").cast("int").alias("start_page"), F.col("end_page").cast("int").alias("end_page"), F.col("page_count").cast("int").alias("page_count"), F.col("level").cast("int").alias("level"), *more)
+
+
+def finish_fixed(spans: DataFrame, *more: str) -> DataFrame:
+    """Fixed groups from doc_id, group_ord, start_page, end_page, and columns ``more``, which stay."""
+    return _finish(spans.select("*", F.concat(F.lit("Pages "), "start_page", F.lit("-"), "end_page").alias("title"), (F.col("end_page") - F.col("start_page") + 1).alias("page_count"), F.lit(None).alias("level")), "fixed", *more)
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def fixed_groups(pages: DataFrame, pages_per_group: int = 10) -> DataFrame:
     size = F.lit(pages_per_group)
     starts = page_counts(pages).select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("n"), size)).alias("start_page"))
     out = starts.withColumn("end_page", F.least(F.col("start_page") + size - 1, F.col("n"))).withColumn("group_ord", F.floor((F.col("start_page") - 1) / size))
-    return _finish(out.select("*", F.concat(F.lit("Pages "), "start_page", F.lit("-"), "end_page").alias("title"), (F.col("end_page") - F.col("start_page") + 1).alias("page_count"), F.lit(None).alias("level")), "fixed")
+    return finish_fixed(out)
 
 
 def _bounded_groups(pages: DataFrame, elements: DataFrame, toc: DataFrame | None, grouping: Grouping) -> DataFrame:
@@ -160,12 +165,12 @@ def sample_content(pages: DataFrame, limit: int = 1000) -> DataFrame:
     from ..functions.text import preview
 
     parts = pages.join(counts, ["doc_id", "page_no"]).select("doc_id", "page_no", F.concat(F.lit("--- Page "), "page_no", F.lit(" ---\n"), preview(F.col("text"), limit)).alias("part"))
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "part")))
+    ordered = F.sort_array(F.collect_list(F.struct("page_no", "part")))
     return parts.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("content"))
 
 
 def format_toc(toc: DataFrame) -> DataFrame:
     """doc_id, listing: the table of contents as an indented list (levels from 1)."""
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- "), "title", F.lit(" (page "), "page_no", F.lit(")"))
-    ordered = F.array_sort(F.collect_list(F.struct("toc_ord", line.alias("line"))))
+    ordered = F.sort_array(F.collect_list(F.struct("toc_ord", line.alias("line"))))
     return toc.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("listing"))

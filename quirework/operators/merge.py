@@ -43,7 +43,7 @@ def merged_sections(sections: DataFrame) -> DataFrame:
 
     ``sections``: doc_id, ord, heading, level, content. The first one's heading and level stay. Ordered by level, then heading.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "heading", "level", "content")))
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "heading", "level", "content")))
     folded = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.element_at("s", 1)["content"], lambda a, x: T.merge_content(a, x["content"]))
     out = sections.groupBy("doc_id", F.lower("heading").alias("key")).agg(ordered.alias("s"))
     out = out.select("doc_id", F.element_at("s", 1).alias("f"), folded.alias("content"))
@@ -52,7 +52,7 @@ def merged_sections(sections: DataFrame) -> DataFrame:
 
 
 def _joined(column: str, separator: str) -> Column:
-    listed = F.array_sort(F.collect_list(F.when(F.coalesce(F.col(column), F.lit("")) != "", F.struct("group_ord", F.col(column).alias("x")))))
+    listed = F.sort_array(F.collect_list(F.when(F.coalesce(F.col(column), F.lit("")) != "", F.struct("group_ord", F.col(column).alias("x")))))
     return F.array_join(F.transform(listed, lambda v: v["x"]), separator)
 
 
@@ -72,7 +72,7 @@ def full_content(results: DataFrame) -> DataFrame:
 
 def merge_metadata(results: DataFrame) -> DataFrame:
     """doc_id, total_groups, successful_groups (both over what succeeded), groups (ids), of_groups: metadata of each group."""
-    listed = F.array_sort(F.collect_list(F.struct("group_ord", "group_id", group_metadata().alias("m"))))
+    listed = F.sort_array(F.collect_list(F.struct("group_ord", "group_id", group_metadata().alias("m"))))
     out = succeeded(results).groupBy("doc_id").agg(F.count("*").alias("total_groups"), F.count_if("success").alias("successful_groups"), listed.alias("l"))
     return out.select("doc_id", "total_groups", "successful_groups", F.transform("l", lambda x: x["group_id"]).alias("groups"), F.transform("l", lambda x: x["m"]).alias("of_groups"))
 
@@ -93,19 +93,19 @@ def best_array(entities: Column, merging: Merging = Merging(), fold_case: bool =
     doubt = lambda e: F.coalesce(-e["confidence"], F.lit(float("inf")))
     same = lambda a, b: a["type"].eqNullSafe(b["type"]) & a["key"].eqNullSafe(b["key"])
     if merging.deduplicate:
-        sure = F.array_sort(F.transform(entities, lambda e: F.struct(e["type"].alias("type"), key(e).alias("key"), doubt(e).alias("d"), e["ord"].alias("ord"), F.struct(*rest(e)).alias("e"))))
-        early = F.array_sort(F.transform(entities, lambda e: F.struct(e["type"].alias("type"), key(e).alias("key"), e["ord"].alias("ord"))))
+        sure = F.sort_array(F.transform(entities, lambda e: F.struct(e["type"].alias("type"), key(e).alias("key"), doubt(e).alias("d"), e["ord"].alias("ord"), F.struct(*rest(e)).alias("e"))))
+        early = F.sort_array(F.transform(entities, lambda e: F.struct(e["type"].alias("type"), key(e).alias("key"), e["ord"].alias("ord"))))
         kept = F.zip_with(T.first_of_each(sure, same), T.first_of_each(early, same), lambda a, b: F.struct((a["d"] if merging.sort_entities else F.lit(0.0)).alias("d"), b["ord"].alias("ord"), a["e"].alias("e")))
     else:
         kept = F.transform(entities, lambda e: F.struct((doubt(e) if merging.sort_entities else F.lit(0.0)).alias("d"), e["ord"].alias("ord"), F.struct(*rest(e)).alias("e")))
-    return F.transform(F.array_sort(kept), lambda x, i: F.struct((i + 1).alias("rank"), *rest(x["e"])))
+    return F.transform(F.sort_array(kept), lambda x, i: F.struct((i + 1).alias("rank"), *rest(x["e"])))
 
 
 def section_array(sections: Column, merging: Merging = Merging()) -> Column:
     """As ``merged_sections``, of an array of (ord, heading, level, content): array of (rank, heading, level, content)."""
     own = lambda s: F.struct(s["level"].alias("level"), F.collate(s["heading"], "UNICODE").alias("h"), s["ord"].alias("ord"), s["heading"].alias("heading"), s["content"].alias("content"))
     if merging.merge_sections:
-        keyed = F.array_sort(F.transform(sections, lambda s: F.struct(F.lower(s["heading"]).alias("key"), s["ord"].alias("ord"), s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content"))))
+        keyed = F.sort_array(F.transform(sections, lambda s: F.struct(F.lower(s["heading"]).alias("key"), s["ord"].alias("ord"), s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content"))))
 
         def fold(part: Column) -> Column:
             first = F.get(part, F.lit(0))
@@ -116,7 +116,7 @@ def section_array(sections: Column, merging: Merging = Merging()) -> Column:
         sections = T.let(keyed, lambda s: T.let(starts(s), lambda at: T.runs(s, F.size(s), at, fold)))
     else:
         sections = F.transform(sections, own)
-    return F.transform(F.array_sort(sections), lambda s, i: F.struct((i + 1).alias("rank"), s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content")))
+    return F.transform(F.sort_array(sections), lambda s, i: F.struct((i + 1).alias("rank"), s["heading"].alias("heading"), s["level"].alias("level"), s["content"].alias("content")))
 
 
 def merged(results: DataFrame, merging: Merging = Merging(), now: str | None = None) -> DataFrame:
@@ -126,26 +126,28 @@ def merged(results: DataFrame, merging: Merging = Merging(), now: str | None = N
     """
     from .extract import stamp
 
-    parts = F.struct("group_ord", "title", "summary", "raw_content", "entities", "sections", "tables", group_metadata().alias("m"))
-    own = succeeded(results).groupBy("doc_id").agg(F.array_sort(F.collect_list(parts)).alias("r"), F.count("*").alias("total_groups"), F.count_if("success").alias("successful_groups"))
-    filled = lambda c: F.filter(F.transform("r", lambda x: x[c]), lambda x: F.coalesce(x, F.lit("")) != "")
-    flat = lambda c, f: F.flatten(F.transform("r", lambda x: F.coalesce(F.transform(x[c], lambda e, i: f(x, e, i)), F.array())))
-    place = lambda x, i: F.struct(x["group_ord"].alias("group_ord"), i.alias("i")).alias("ord")
-    entities = flat("entities", lambda x, e, i: F.struct(place(x, i), e["type"].alias("type"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence")))
-    sections = flat("sections", lambda x, e, i: F.struct(place(x, i), e["heading"].alias("heading"), e["level"].alias("level"), e["content"].alias("content")))
-    tables = flat("tables", lambda x, e, i: F.struct(x["group_ord"].alias("group_ord"), i.alias("i"), e["headers"].alias("headers"), e["rows"].alias("rows"), e["caption"].alias("caption"), e["page_no"].alias("page_no")))
+    # A list for each part, so that a reader of some parts leaves the others out of the plan.
+    each = lambda name, c: F.sort_array(F.collect_list(F.struct("group_ord", c.alias("x")))).alias(name)
+    parts = {c: F.col(c) for c in ("title", "summary", "raw_content", "entities", "sections", "tables")} | {"m": group_metadata()}
+    own = succeeded(results).groupBy("doc_id").agg(*[each(*p) for p in parts.items()], F.count("*").alias("total_groups"), F.count_if("success").alias("successful_groups"))
+    filled = lambda c: F.filter(F.transform(c, lambda r: r["x"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    flat = lambda c, f: F.flatten(F.transform(c, lambda r: F.coalesce(F.transform(r["x"], lambda e, i: f(r, e, i)), F.array())))
+    place = lambda r, i: F.struct(r["group_ord"].alias("group_ord"), i.alias("i")).alias("ord")
+    entities = flat("entities", lambda r, e, i: F.struct(place(r, i), e["type"].alias("type"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence")))
+    sections = flat("sections", lambda r, e, i: F.struct(place(r, i), e["heading"].alias("heading"), e["level"].alias("level"), e["content"].alias("content")))
+    tables = flat("tables", lambda r, e, i: F.struct(r["group_ord"].alias("group_ord"), i.alias("i"), e["headers"].alias("headers"), e["rows"].alias("rows"), e["caption"].alias("caption"), e["page_no"].alias("page_no")))
     text = F.array_join(filled("summary"), " ")
     return own.select(
         "doc_id",
         F.get(filled("title"), F.lit(0)).alias("title"),
         T.let(text, lambda s: F.when(s == "", T.NO_SUMMARY).otherwise(T.truncate_sentence(s, merging.summary_limit))).alias("summary"),
         section_array(sections, merging).alias("sections"),
-        best_array(entities, merging).alias("entities"),
+        T.let(entities, lambda e: best_array(e, merging)).alias("entities"),
         tables.alias("tables"),
         F.array_join(filled("raw_content"), BREAK).alias("full_content"),
         "total_groups",
         "successful_groups",
-        F.transform("r", lambda x: x["m"]).alias("of_groups"),
+        F.transform("m", lambda r: r["x"]).alias("of_groups"),
         stamp(now).alias("extracted_at"),
     )
 
@@ -176,7 +178,7 @@ class Parts:
         entities = listed(self.entities, ["rank"], "entities", ["rank", "type", "name", "value", "confidence"])
         tables = listed(self.tables, ["group_ord", "i"], "tables", ["group_ord", "i", "headers", "rows", "caption", "page_no"])
         groups = listed(self.groups, ["group_ord"], "of_groups", ["m.*"])
-        contents = self.contents.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "content"))), lambda x: x["content"]), BREAK).alias("full_content"))
+        contents = self.contents.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "content"))), lambda x: x["content"]), BREAK).alias("full_content"))
         out = self.documents
         for own in (sections, entities, tables, groups, contents):
             out = out.join(own, "doc_id", "left")
@@ -210,7 +212,7 @@ def in_parts(results: DataFrame, merging: Merging = Merging(), now: str | None =
         F.count("*").alias("total"), F.count_if("success").alias("ok"), F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("group_ord"))).alias("title"),
         F.substring(_joined("summary", " "), 1, merging.summary_limit + 1).alias("summary"),
     )
-    starts = F.array_sort(F.collect_list(F.when(F.col("summary") != "", F.struct("piece", "summary"))))
+    starts = F.sort_array(F.collect_list(F.when(F.col("summary") != "", F.struct("piece", "summary"))))
     per = parts.groupBy("doc_id").agg(F.sum("total").alias("total_groups"), F.sum("ok").alias("successful_groups"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("piece"))).alias("title"), F.array_join(F.transform(starts, lambda x: x["summary"]), " ").alias("s"))
     # A summary over the limit is longer by one letter or more, which is all that counts of the rest.
     text = F.when(F.col("s") == "", T.NO_SUMMARY).otherwise(T.truncate_sentence(F.substring("s", 1, merging.summary_limit + 1), merging.summary_limit))

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: All heading patterns as one: lines that are none are tested once.
+_ANY_HEADING = r"\A(?:" + "|".join(f"(?:{p})" for p in T.HEADING_PATTERNS) + ")"
+
+
 def pattern_index(line: Column, patterns: list[str] | None = None) -> Column:
     """Position of the first heading pattern that matches, else null."""
     out = F.lit(None).cast("int")
@@ -31,7 +35,7 @@ def heading_level(line: Column, patterns: list[str] | None = None) -> Column:
         .when(line.rlike(r"(?i)\A(abstract|introduction|conclusion|references|appendix)"), 1)
         .otherwise(F.least(at + 1, F.lit(4)))
     )
-    level = F.when(at.isNotNull(), by_start)
+    level = F.when(at.isNotNull() if patterns else line.rlike(_ANY_HEADING), by_start)
     if patterns:
         level = level.when(line.rlike(T.CAPS_HEADING) & (F.size(F.split(line, " ")) <= 8), 2)
     return level
@@ -53,12 +57,13 @@ def _offsets(raw: Column) -> Column:
 def lines(pages: DataFrame, offsets: bool = True) -> DataFrame:
     """doc_id, page_no, line_no (from 0), pos (character offset in the page; null without ``offsets``), line, text (trimmed). Blank lines are there."""
     split = pages.select("doc_id", "page_no", F.split(F.coalesce("text", F.lit("")), "\n").alias("raw"))
-    if not offsets:
-        each = split.select("doc_id", "page_no", F.posexplode("raw").alias("line_no", "line"))
-        return each.select("doc_id", "page_no", "line_no", F.lit(None).cast("int").alias("pos"), "line", T.trim(F.col("line")).alias("text"))
-    split = split.select("doc_id", "page_no", "raw", _offsets(F.col("raw")).alias("sums"))
-    each = split.select("doc_id", "page_no", F.posexplode(F.arrays_zip("raw", "sums")).alias("line_no", "z"))
-    return each.select("doc_id", "page_no", "line_no", F.col("z.sums").alias("pos"), F.col("z.raw").alias("line"), T.trim(F.col("z.raw")).alias("text"))
+    # Trimmed before lines become rows: filters on the text would trim again each time they name it.
+    line = lambda x, pos: F.struct(pos.alias("pos"), x.alias("line"), T.trim(x).alias("text"))
+    if offsets:
+        rows = F.zip_with("raw", _offsets(F.col("raw")), line)
+    else:
+        rows = F.transform("raw", lambda x: line(x, F.lit(None).cast("int")))
+    return split.select("doc_id", "page_no", F.posexplode(rows).alias("line_no", "z")).select("doc_id", "page_no", "line_no", "z.pos", "z.line", "z.text")
 
 
 def _kind(text: Column, level: Column, lists: bool) -> Column:
@@ -85,7 +90,7 @@ def element_array(text: Column, headings: bool = True, lists: bool = True, patte
 
 def headings(elements: DataFrame, levels: tuple[int, ...] | None = None) -> DataFrame:
     """doc_id, page_no, line_no, pos, text, level of headings, at ``levels`` or all."""
-    found = elements.filter(F.col("type") == "heading")
-    if levels is not None:
-        found = found.filter(F.col("level").isin(*levels))
+    kept = F.col("type") == "heading"
+    # Few lines have a level, so it is looked at first.
+    found = elements.filter(kept if levels is None else F.col("level").isin(*levels) & kept)
     return found.select("doc_id", "page_no", "line_no", "pos", "text", "level")
