@@ -71,6 +71,17 @@ def _batches(rows: Iterator[tuple], heads: list[tuple[str, pa.DataType]], table:
         yield batch()
 
 
+#: Rows that are Python objects at a time: a batch may hold thousands of documents, which as objects take many times their bytes.
+SLICE = 32
+
+
+def _slices(batches):
+    """Parts of a few rows each; no row of a batch is copied."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def from_bytes(files: DataFrame, table: str = "pages", content_col: str = "content", keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """Rows of a table from a column of files' bytes, with the columns in ``keep``: for files in any store of Spark, or kept in a table.
 
@@ -79,7 +90,7 @@ def from_bytes(files: DataFrame, table: str = "pages", content_col: str = "conte
     own = files.select(F.col(content_col).cast("binary").alias("b_content"), *[F.col(c) for c in keep])
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             heads = [(f.name, f.type) for f in b.schema][1:]
             kept = list(zip(*[c.to_pylist() for c in b.columns[1:]])) if heads else [()] * b.num_rows
             rows = ((*own_columns, *row) for content, own_columns in zip(b.column(0), kept) for row in rows_of(content.as_py() or b"", table))
@@ -259,7 +270,7 @@ def to_bytes(documents: DataFrame) -> DataFrame:
     own = documents.select("doc_id", "title", "author", "pages", "items")
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = b.to_pylist()
             content = [written(r["pages"], r["title"], r["author"], [(i["title"], i["page"], i["parent"]) for i in r["items"] or []]) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], ["doc_id", "content"])
