@@ -166,6 +166,8 @@ class Parts:
     tables: DataFrame
     contents: DataFrame
     groups: DataFrame
+    #: All of a document but its sections and entities in a row, which only ``whole`` reads: one pass over the results instead of four.
+    gathered: DataFrame
 
     def whole(self) -> DataFrame:
         """One row per document, as ``merged``."""
@@ -176,14 +178,9 @@ class Parts:
 
         sections = listed(self.sections, ["rank"], "sections", ["rank", "heading", "level", "content"])
         entities = listed(self.entities, ["rank"], "entities", ["rank", "type", "name", "value", "confidence"])
-        tables = listed(self.tables, ["group_ord", "i"], "tables", ["group_ord", "i", "headers", "rows", "caption", "page_no"])
-        groups = listed(self.groups, ["group_ord"], "of_groups", ["m.*"])
-        contents = self.contents.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "content"))), lambda x: x["content"]), BREAK).alias("full_content"))
-        out = self.documents
-        for own in (sections, entities, tables, groups, contents):
-            out = out.join(own, "doc_id", "left")
-        kinds = {own.columns[1]: own.schema[own.columns[1]].dataType for own in (sections, entities, tables, groups)}
-        out = out.withColumns({name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in kinds.items()} | {"full_content": F.coalesce("full_content", F.lit(""))})
+        out = self.gathered.join(sections, "doc_id", "left").join(entities, "doc_id", "left")
+        kinds = {own.columns[1]: own.schema[own.columns[1]].dataType for own in (sections, entities)}
+        out = out.withColumns({name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in kinds.items()})
         return out.select("doc_id", "title", "summary", "sections", "entities", "tables", "full_content", "total_groups", "successful_groups", "of_groups", "extracted_at")
 
 
@@ -205,18 +202,27 @@ def in_parts(results: DataFrame, merging: Merging = Merging(), now: str | None =
 
     own = succeeded(results)
     piece = F.floor(F.col("group_ord") / segment).alias("piece")
-    each = lambda c: own.select("doc_id", "group_ord", F.posexplode(c).alias("i", "e"))
+    # Outer, and the empty ones' rows dropped: of a plain one Spark asks below whether the array is empty, and so makes it a second time.
+    each = lambda c: own.select("doc_id", "group_ord", F.posexplode_outer(c).alias("i", "e")).filter("i IS NOT NULL")
     place = F.struct("group_ord", "i").alias("ord")
 
-    parts = own.groupBy("doc_id", piece).agg(
+    kept = lambda name, c: F.sort_array(F.collect_list(F.struct("group_ord", c.alias("x")))).alias(name)
+    pieces = own.groupBy("doc_id", piece).agg(
         F.count("*").alias("total"), F.count_if("success").alias("ok"), F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("group_ord"))).alias("title"),
-        F.substring(_joined("summary", " "), 1, merging.summary_limit + 1).alias("summary"),
-    )
-    starts = F.sort_array(F.collect_list(F.when(F.col("summary") != "", F.struct("piece", "summary"))))
-    per = parts.groupBy("doc_id").agg(F.sum("total").alias("total_groups"), F.sum("ok").alias("successful_groups"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("piece"))).alias("title"), F.array_join(F.transform(starts, lambda x: x["summary"]), " ").alias("s"))
+        F.substring(_joined("summary", " "), 1, merging.summary_limit + 1).alias("summary"), _joined("raw_content", BREAK).alias("content"), kept("tables", F.col("tables")), kept("groups", group_metadata()),
+    )
+    filled = lambda name, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(name) != "", F.struct("piece", name)))), lambda x: x[name]), by)
+    flat = lambda name: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", name))), lambda x: x[name]))
+    per = pieces.groupBy("doc_id").agg(
+        F.sum("total").alias("total_groups"), F.sum("ok").alias("successful_groups"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("piece"))).alias("title"), filled("summary", " ").alias("s"),
+        filled("content", BREAK).alias("full_content"), flat("tables").alias("t"), flat("groups").alias("g"),
+    )
+    table = lambda r, e, i: F.struct(r["group_ord"].alias("group_ord"), i.alias("i"), e["headers"].alias("headers"), e["rows"].alias("rows"), e["caption"].alias("caption"), e["page_no"].alias("page_no"))
+    tables = F.flatten(F.transform("t", lambda r: F.coalesce(F.transform(r["x"], lambda e, i: table(r, e, i)), F.array())))
     # A summary over the limit is longer by one letter or more, which is all that counts of the rest.
     text = F.when(F.col("s") == "", T.NO_SUMMARY).otherwise(T.truncate_sentence(F.substring("s", 1, merging.summary_limit + 1), merging.summary_limit))
-    documents = per.select("doc_id", "title", text.alias("summary"), "total_groups", "successful_groups", stamp(now).alias("extracted_at"))
+    gathered = per.select("doc_id", "title", text.alias("summary"), tables.alias("tables"), "full_content", "total_groups", "successful_groups", F.transform("g", lambda r: r["x"]).alias("of_groups"), stamp(now).alias("extracted_at"))
+    documents = gathered.select("doc_id", "title", "summary", "total_groups", "successful_groups", "extracted_at")
 
     found = each("entities").select("doc_id", place, "e.type", F.lower("e.name").alias("key"), F.coalesce(-F.col("e.confidence"), F.lit(float("inf"))).alias("d"), F.struct("e.type", "e.name", "e.value", "e.confidence").alias("t"))
     if merging.deduplicate:
@@ -232,5 +238,5 @@ def in_parts(results: DataFrame, merging: Merging = Merging(), now: str | None =
         order = Window.partitionBy("doc_id").orderBy("level", F.collate("heading", "UNICODE"), "ord")
         sections = heads.withColumn("rank", F.row_number().over(order))
     sections = sections.select("doc_id", "rank", "heading", "level", "content")
-    contents = own.groupBy("doc_id", piece).agg(_joined("raw_content", BREAK).alias("content")).filter("content <> ''")
-    return Parts(documents, sections, entities, each("tables").select("doc_id", "group_ord", "i", "e.headers", "e.rows", "e.caption", "e.page_no"), contents, own.select("doc_id", "group_ord", group_metadata().alias("m")))
+    contents = pieces.select("doc_id", "piece", "content").filter("content <> ''")
+    return Parts(documents, sections, entities, each("tables").select("doc_id", "group_ord", "i", "e.headers", "e.rows", "e.caption", "e.page_no"), contents, own.select("doc_id", "group_ord", group_metadata().alias("m")), gathered)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.functions.config import Merging
 from quirework.operators import merge
@@ -49,3 +50,12 @@ def test_a_document_of_very_many_groups(spark):
     assert parts.contents.count() == 60 and parts.contents.selectExpr("max(length(content)) AS m").first().m < 20_000
     (a,), (b,) = parts.whole().collect(), merge.merged(df, now=NOW).collect()
     assert a.asDict(True) == b.asDict(True)
+
+
+def test_results_are_made_once_for_each_way_they_are_dealt(spark):
+    """Once for what goes by segment, by name and by heading; an array that is exploded isn't asked for its size first, which would make it twice."""
+    rows = results(random.Random(1), [(1, 3), (2, 2)])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    df = df.withColumn("entities", F.concat("entities", F.array_distinct("entities")))
+    plan = merge.in_parts(df, now=NOW).whole()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 1 and plan.count("LogicalRDD") == 3
