@@ -46,12 +46,14 @@ _BLOCK = 256
 
 
 def _offsets(raw: Column) -> Column:
-    """Character offset of each line: sums within blocks of lines, after the sums of the blocks."""
+    """Character offset of each line: sums within blocks of lines, after the sums of the blocks. Most pages are one block, for which none are cut."""
     after = lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x) + 1)
+    few = F.aggregate(F.slice(raw, F.lit(1), F.size(raw) - 1), F.array(F.lit(0)), after)
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(raw) - 1) / _BLOCK).cast("int")), lambda k: F.slice(raw, k * _BLOCK + 1, _BLOCK))
     sizes = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x) + 1))
     starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, at: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), F.array(at), after)))
+    many = F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, at: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), F.array(at), after)))
+    return F.when(F.size(raw) <= _BLOCK, few).otherwise(many)
 
 
 def lines(pages: DataFrame, offsets: bool = True) -> DataFrame:
@@ -66,6 +68,12 @@ def lines(pages: DataFrame, offsets: bool = True) -> DataFrame:
     return split.select("doc_id", "page_no", F.posexplode(rows).alias("line_no", "z")).select("doc_id", "page_no", "line_no", "z.pos", "z.line", "z.text")
 
 
+def _texts(pages: DataFrame) -> DataFrame:
+    """doc_id, page_no, line_no, text of ``lines``: an array of plain strings, as a structure for each line costs more than its patterns."""
+    split = pages.select("doc_id", "page_no", F.split(F.coalesce("text", F.lit("")), "\n").alias("raw"))
+    return split.select("doc_id", "page_no", F.posexplode(F.transform("raw", T.trim)).alias("line_no", "text"))
+
+
 def _kind(text: Column, level: Column, lists: bool) -> Column:
     kind = F.when(level.isNotNull(), "heading")
     return (kind.when(text.rlike(T.LIST_PATTERN), "list") if lists else kind).otherwise("text")
@@ -77,7 +85,8 @@ def _level(text: Column, headings: bool, patterns: Sequence[str] | None) -> Colu
 
 def elements(pages: DataFrame, headings: bool = True, lists: bool = True, patterns: Sequence[str] | None = None, offsets: bool = True) -> DataFrame:
     """doc_id, page_no, line_no, pos (null without ``offsets``, for readers that go by lines), type (heading, list, text), text, level (of headings). Blank lines give none."""
-    found = lines(pages, offsets).filter("text <> ''").drop("line").withColumn("level", _level(F.col("text"), headings, patterns))
+    every = lines(pages).drop("line") if offsets else _texts(pages).withColumn("pos", F.lit(None).cast("int"))
+    found = every.filter("text <> ''").withColumn("level", _level(F.col("text"), headings, patterns))
     return found.select("doc_id", "page_no", "line_no", "pos", _kind(F.col("text"), F.col("level"), lists).alias("type"), "text", "level")
 
 

@@ -91,3 +91,27 @@ def test_hits_of_questions_are_not_dealt_out(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(question_id#\d+, doc_id", plan) and re.search(r"hashpartitioning\(doc_id#\d+L, group_ord", plan)
     assert sorted((r.question_id, r["rank"], r.doc_id) for r in found.collect())[2:4] == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_lines_that_need_no_offsets_are_plain_strings(spark):
+    pages = readers.report_pages(spark, SF)
+    bare, placed = parse.elements(pages, offsets=False), parse.elements(pages)
+    plan = bare._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(" not in plan and plan.count("trim(") == 1
+    assert bare.dtypes == placed.dtypes and sorted(bare.drop("pos").collect()) == sorted(placed.drop("pos").collect())
+
+
+def test_offsets_of_pages_of_one_block_and_of_more(spark):
+    """A page of one block isn't cut into blocks."""
+    rng = random.Random(3)
+    texts = [None, ""] + ["\n".join("é" * rng.randrange(4) for _ in range(n)) for n in (1, 2, 255, 256, 257, 512, 700)]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id int, page_no int, text string")
+    found = parse.lines(df)
+    assert f"<= {parse._BLOCK}" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for i, t in enumerate(texts):
+        at = 0
+        for k, line in enumerate((t or "").split("\n")):
+            want.append((i, k, at, line))
+            at += len(line) + 1
+    assert sorted((r.doc_id, r.line_no, r.pos, r.line) for r in found.collect()) == want
