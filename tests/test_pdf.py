@@ -168,3 +168,40 @@ def test_few_documents_are_objects_at_a_time(spark):
     batch = pa.RecordBatch.from_pydict({"n": list(range(10_000))})
     parts = list(pdf_source._slices([batch, batch.slice(0, 0)]))
     assert max(p.num_rows for p in parts) <= pdf_source.SLICE and [n for p in parts for n in p.column(0).to_pylist()] == list(range(10_000))
+
+
+def test_a_code_is_looked_up_once(monkeypatch):
+    """What the codes of a font mean and how wide they are is found for each code, not for each letter of a text."""
+    from quirework.sources import pdf
+
+    asked = []
+    monkeypatch.setattr(pdf._Font, "_char", lambda self, code, was=pdf._Font._char: (asked.append(code), was(self, code))[1])
+    line = "abcä日𝒳" * 2000
+    assert [r[1] for r in rows_of(written([[line], [line]]), "pages")] == [f"{line}"] * 2
+    assert sorted(asked) == sorted({int.from_bytes(line.encode("utf-16-be")[k : k + 2], "big") for k in range(0, 14, 2)})
+
+
+@pytest.mark.parametrize("widths", [b"", b"/W [65 [100 200 300]]", b"/W [66 67 250 70 [10]]"])
+@pytest.mark.parametrize("usual", [b"", b"/DW 750", b"/DW 333.3"])
+def test_widths_and_texts_are_those_of_each_code(widths, usual):
+    """A shown string is its codes one by one, with or without widths of their own, and a byte left over."""
+    from quirework.sources import pdf
+
+    to = b"<< /Length 0 >> stream\n1 beginbfchar <0043> <00660069> endbfchar 1 beginbfrange <0041> <0050> <0061> endbfrange\nendstream"
+    data = built(b"", b"<< /Subtype /Type0 /DescendantFonts [5 0 R] /ToUnicode 6 0 R >>", b"<< /Subtype /CIDFontType2 %s %s >>" % (widths, usual), to)
+    own = pdf.Pdf(data)
+    font = own._font(pdf.Ref(4, 0))
+    for raw in (b"\0A\0B\0C\0D\0F\0A", b"\0A\0B\0A", b"\xff\xfe\0A", b""):
+        codes = [int.from_bytes(raw[k : k + 2], "big") for k in range(0, len(raw), 2)]
+        text, width, n, spaces = font.read(raw)
+        assert (text, n, spaces) == ("".join(map(font._char, codes)), len(codes), 0) and width == pytest.approx(sum(map(font._width, codes)), rel=1e-14)
+    assert font.read(b"\0A\0B\0C")[0] == "abfi" and font.read(b"\0A\x41")[2] == 2
+
+
+def test_documents_are_dealt_out_before_they_are_files(spark):
+    """A table of one row group is read by one task; the work in Python isn't that task's."""
+    from quirework.plans.queries import pdf_fixture, QUERIES
+    from tests.conftest import SF
+    from tests.test_steps import exchanges
+
+    assert exchanges(pdf_fixture(spark, SF)) == 1 and exchanges(QUERIES["pdf_pages"](spark, SF)) == 1
