@@ -85,17 +85,24 @@ def group_metadata() -> Column:
 def best_array(entities: Column, merging: Merging = Merging(), fold_case: bool = True) -> Column:
     """As ``best_entities``, of an array of (ord, type, name, value, confidence): array of (rank, type, name, value, confidence).
 
-    Two sorts bring the entities with one type and name together, the surest or the earliest first; no pair is compared. An entity without a
-    confidence is the least sure.
+    A sort brings the entities with one type and name together, the surest first; no pair is compared. The earliest of them is another one only where
+    they aren't equally sure, and only then is sorted for too. An entity without a confidence is the least sure.
     """
     key = lambda e: F.lower(e["name"]) if fold_case else e["name"]
     rest = lambda e: [e["type"].alias("type"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence")]
     doubt = lambda e: F.coalesce(-e["confidence"], F.lit(float("inf")))
-    same = lambda a, b: a["type"].eqNullSafe(b["type"]) & a["key"].eqNullSafe(b["key"])
+    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & a["type"].eqNullSafe(b["type"])
     if merging.deduplicate:
-        sure = F.sort_array(F.transform(entities, lambda e: F.struct(e["type"].alias("type"), key(e).alias("key"), doubt(e).alias("d"), e["ord"].alias("ord"), F.struct(*rest(e)).alias("e"))))
-        early = F.sort_array(F.transform(entities, lambda e: F.struct(e["type"].alias("type"), key(e).alias("key"), e["ord"].alias("ord"))))
-        kept = F.zip_with(T.first_of_each(sure, same), T.first_of_each(early, same), lambda a, b: F.struct((a["d"] if merging.sort_entities else F.lit(0.0)).alias("d"), b["ord"].alias("ord"), a["e"].alias("e")))
+        by_doubt = F.sort_array(F.transform(entities, lambda e: F.struct(key(e).alias("key"), e["type"].alias("type"), doubt(e).alias("d"), e["ord"].alias("ord"), F.struct(*rest(e)).alias("e"))))
+        keep = lambda x, order: F.struct((x["d"] if merging.sort_entities else F.lit(0.0)).alias("d"), order.alias("ord"), x["e"].alias("e"))
+
+        def best(sure: Column) -> Column:
+            early = F.sort_array(F.transform(sure, lambda x: F.struct(x["key"].alias("key"), x["type"].alias("type"), x["ord"].alias("ord"))))
+            uneven = F.exists(T.places(F.size(sure), lambda i: i > 0), lambda i: (F.get(sure, i)["d"] != F.get(sure, i - 1)["d"]) & same(F.get(sure, i), F.get(sure, i - 1)))
+            apart = F.zip_with(T.first_of_each(sure, same), T.first_of_each(early, same), lambda a, b: keep(a, b["ord"]))
+            return F.when(uneven, apart).otherwise(F.transform(T.first_of_each(sure, same), lambda x: keep(x, x["ord"])))
+
+        kept = T.let(by_doubt, best)
     else:
         kept = F.transform(entities, lambda e: F.struct((doubt(e) if merging.sort_entities else F.lit(0.0)).alias("d"), e["ord"].alias("ord"), F.struct(*rest(e)).alias("e")))
     return F.transform(F.sort_array(kept), lambda x, i: F.struct((i + 1).alias("rank"), *rest(x["e"])))
@@ -133,7 +140,9 @@ def merged(results: DataFrame, merging: Merging = Merging(), now: str | None = N
     filled = lambda c: F.filter(F.transform(c, lambda r: r["x"]), lambda x: F.coalesce(x, F.lit("")) != "")
     flat = lambda c, f: F.flatten(F.transform(c, lambda r: F.coalesce(F.transform(r["x"], lambda e, i: f(r, e, i)), F.array())))
     place = lambda r, i: F.struct(r["group_ord"].alias("group_ord"), i.alias("i")).alias("ord")
-    entities = flat("entities", lambda r, e, i: F.struct(place(r, i), e["type"].alias("type"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence")))
+    # One number is made and compared faster than two.
+    number = lambda r, i: (r["group_ord"].cast("long") * (1 << 32) + i).alias("ord")
+    entities = flat("entities", lambda r, e, i: F.struct(number(r, i), e["type"].alias("type"), e["name"].alias("name"), e["value"].alias("value"), e["confidence"].alias("confidence")))
     sections = flat("sections", lambda r, e, i: F.struct(place(r, i), e["heading"].alias("heading"), e["level"].alias("level"), e["content"].alias("content")))
     tables = flat("tables", lambda r, e, i: F.struct(r["group_ord"].alias("group_ord"), i.alias("i"), e["headers"].alias("headers"), e["rows"].alias("rows"), e["caption"].alias("caption"), e["page_no"].alias("page_no")))
     text = F.array_join(filled("summary"), " ")

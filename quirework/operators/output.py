@@ -112,18 +112,25 @@ def search_documents(merged: DataFrame) -> DataFrame:
 
 
 def search_index(merged: DataFrame) -> DataFrame:
-    """One JSON text per document with its records, always indented."""
-    part = lambda name, f: F.coalesce(F.transform(F.col(name), f), F.array().cast("array<string>"))
-    j = lambda i, kind, **cols: F.to_json(F.struct(F.concat(F.lit(kind + "-"), i).alias("id"), F.lit(kind).alias("type"), *[v.alias(k) for k, v in cols.items()]))
+    """One JSON text per document with its records, always indented.
+
+    Records of all kinds have one type, so that a document is written as JSON in one go; what a kind doesn't have is null, and nulls aren't written.
+    """
+    kinds = {"id": "string", "type": "string", "heading": "string", "content": "string", "title": "string", "level": "int", "entityType": "string", "name": "string", "value": "string", "confidence": "double", "caption": "string", "headers": "array<string>", "rows": "array<array<string>>", "pageNumber": "int"}
+    of = f"array<struct<{', '.join(f'{n}: {t}' for n, t in kinds.items())}>>"
+
+    def record(kind: str, place: Column, **cols: Column) -> Column:
+        return F.struct(*[(cols | {"id": place, "type": F.lit(kind)}).get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+
+    part = lambda name, kind, f: F.coalesce(F.transform(F.col(name), lambda x, i: record(kind, F.concat(F.lit(kind + "-"), i), **f(x))), F.array().cast(of))
+    summary = record("summary", F.lit("summary"), content=F.col("summary"), title=F.coalesce(F.nullif("title", F.lit("")), F.lit("Summary")))
     listed = F.concat(
-        F.when(F.coalesce("summary", F.lit("")) != "", F.array(F.to_json(F.struct(F.lit("summary").alias("id"), F.lit("summary").alias("type"), F.col("summary").alias("content"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Summary")).alias("title"))))).otherwise(F.array().cast("array<string>")),
-        part("sections", lambda s, i: j(i, "section", heading=s["heading"], content=s["content"], level=s["level"])),
-        part("entities", lambda e, i: j(i, "entity", entityType=e["type"], name=e["name"], value=e["value"], confidence=e["confidence"])),
-        part("tables", lambda t, i: j(i, "table", caption=t["caption"], headers=t["headers"], rows=t["rows"], pageNumber=t["page_no"])),
+        F.when(F.coalesce("summary", F.lit("")) != "", F.array(summary)).otherwise(F.array().cast(of)),
+        part("sections", "section", lambda s: {"heading": s["heading"], "content": s["content"], "level": s["level"]}),
+        part("entities", "entity", lambda e: {"entityType": e["type"], "name": e["name"], "value": e["value"], "confidence": e["confidence"]}),
+        part("tables", "table", lambda t: {"caption": t["caption"], "headers": t["headers"], "rows": t["rows"], "pageNumber": t["page_no"]}),
     )
-    head = F.coalesce(F.concat(F.lit('"title":'), F.to_json(F.array("title")).substr(F.lit(2), F.length(F.to_json(F.array("title"))) - 2), F.lit(",")), F.lit(""))
-    text = F.concat(F.lit("{"), head, F.lit('"documents":['), F.array_join(listed, ","), F.lit('],"metadata":'), F.to_json(_metadata()), F.lit("}"))
-    return merged.select("doc_id", _pretty(text).alias("output"))
+    return merged.select("doc_id", _pretty(F.to_json(F.struct("title", listed.alias("documents"), _metadata().alias("metadata")))).alias("output"))
 
 
 def format_output(merged: DataFrame, output: Output = Output()) -> DataFrame:

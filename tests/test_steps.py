@@ -115,3 +115,32 @@ def test_offsets_of_pages_of_one_block_and_of_more(spark):
             want.append((i, k, at, line))
             at += len(line) + 1
     assert sorted((r.doc_id, r.line_no, r.pos, r.line) for r in found.collect()) == want
+
+
+def test_a_documents_index_is_written_in_one_go_by_more_tasks_than_slots(spark):
+    """One call writes a document as JSON, not one for each record; tasks aren't merged by their bytes to one for each slot."""
+    df = QUERIES["search_index_text"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator(") == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert int(re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 4 * spark.sparkContext.defaultParallelism and exchanges(df) == 1
+
+
+def test_entities_that_are_not_equally_sure(spark):
+    """The surest of one type and name, at the place of the earliest, and among others as sure by place; with equal confidences too."""
+    from quirework.functions.config import Merging
+    from quirework.operators.merge import best_array
+
+    rng, docs = random.Random(11), []
+    for d in range(300):
+        sure = [None, 0.5, 0.9] if d % 3 else [0.9]
+        docs.append((d, [(k, rng.choice(["a", "b", None]), rng.choice(["X", "x", "y", "Z", None]), f"v{k}", rng.choice(sure)) for k in range(rng.randrange(0, 12))]))
+    df = spark.createDataFrame(docs, "d int, e array<struct<ord: int, type: string, name: string, value: string, confidence: double>>")
+    for ranked in (True, False):
+        got = {r.d: [(e.rank, e.type, e.name, e.value, e.confidence) for e in r.b] for r in df.select("d", best_array(F.col("e"), Merging(sort_entities=ranked)).alias("b")).collect()}
+        for d, entities in docs:
+            doubt = lambda e: float("inf") if e[4] is None else -e[4]
+            by = {}
+            for e in entities:
+                by.setdefault((e[1], e[2] and e[2].lower()), []).append(e)
+            want = sorted(((doubt(best) if ranked else 0, min(x[0] for x in own), best[1:]) for own in by.values() for best in [min(own, key=lambda e: (doubt(e), e[0]))]), key=lambda x: x[:2])
+            assert got[d] == [(k + 1, *x[2]) for k, x in enumerate(want)], (d, ranked)
