@@ -69,3 +69,40 @@ def test_exported_files_are_the_formatted_documents(spark, tmp_path, fmt):
     flow.export_files(run, str(tmp_path / "out"), fmt)
     want = {f"{r.doc_id}{file_sink.EXTENSIONS[fmt]}": r.output.encode() for r in run.formatted(fmt).collect()}
     assert files_of(tmp_path / "out") == want and len(want) == 3
+
+
+@pytest.mark.parametrize("folders", [0, 3])
+def test_files_are_read_again(spark, tmp_path, folders):
+    """The same rows, in folders or not, with names of all letters, and those that were appended."""
+    path = f"file://{tmp_path}/out"
+    rows = [(f"d{k}", f"text {k}\n\né 𝒳") for k in range(600)] + [("a/../b c%.txt", "up"), ("+attempts", "x"), ("long", "y" * (file_sink.BATCH_BYTES + 1)), ("empty", "")]
+    file_sink.write_files(named(spark, rows), path, ".txt", folders=folders)
+    file_sink.write_files(named(spark, [("more", "z")]), path, ".txt", overwrite=False, folders=folders)
+    file_sink.write_files(named(spark, [("other", "z")]), path, ".md", overwrite=False)
+    got = file_sink.read_files(spark, path, ".txt")
+    assert sorted(map(tuple, got.collect())) == sorted([*rows, ("more", "z")])
+
+
+def test_no_file_is_listed_where_the_plan_is_made(spark, tmp_path):
+    """An export of many executions lies in folders; the driver lists these, when it writes and when it reads."""
+    from quirework.plans import queries
+    from tests.conftest import SF
+
+    wrote = []
+    was = file_sink.write_files
+
+    def watched(files, path, extension="", overwrite=True, folders=0):
+        wrote.append((path, folders))
+        was(files, path, extension, overwrite, folders)
+
+    file_sink.write_files = watched
+    try:
+        df = queries.QUERIES["export_files"](spark, SF)
+    finally:
+        file_sink.write_files = was
+    ((path, folders),) = wrote
+    top = path.removeprefix("file://")
+    assert folders == file_sink.FOLDERS and all(os.path.isdir(os.path.join(top, n)) for n in os.listdir(top))
+    shares = file_sink.FileReader({"path": path, "extension": ".txt", "tasks": "5"}).partitions()
+    assert len(shares) == 5 and all(folder for s in shares for _, folder in s.places) and sum(len(s.places) for s in shares) == len(os.listdir(top))
+    assert df.count() == len(files_of(top)) == 150 and not df.inputFiles()
